@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, quality, rules, simhash_dedup
+from . import chat, fingerprint, langid, mixing, packing, quality, rules, simhash_dedup, sstable
 
 QUERIES = {
     f.__name__: f
@@ -12,7 +12,10 @@ QUERIES = {
         quality.op3_quality,
         mixing.op4_mix,
         rules.op5_rules,
+        sstable.op6_sstable,
         chat.op7_chat,
+        fingerprint.op8_fingerprint,
+        packing.op10_pack,
     )
 }
 ORACLE_SQL = {"op4_mix": mixing.OP4_SQL, "op5_rules": rules.OP5_SQL, "op7_chat": chat.OP7_SQL}
