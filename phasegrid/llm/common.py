@@ -53,3 +53,10 @@ def rows(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[tuple[l
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or a longer one that isn't taken (Spark doesn't tell names apart by case)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name

@@ -133,6 +133,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs int")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose text is for at least `least` in the model's languages; `und` texts go."""
+    sent, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [m.mixture(t) for t in part.column("text").to_pylist()]
+                yield part.filter(pa.array([bool(x) and sum(x.values()) >= least for x in found]))
+
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(mod: int, left: int):
     """Whether the CRC-32 of the id's text leaves `left` modulo `mod`; false for a null id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == left, F.lit(False))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, stored, table
+from .common import SPACES, WORD, fresh, stored, table
 
 BINS = 4096
 
@@ -49,11 +49,11 @@ def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix", cap: int = 3, whole: bool = False, weight=quality_weight) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, row_hash) for every row of docs(doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, copies, row_hash) for every row of docs(doc_id, text, source).
 
     taken: words taken from the row: its size times the source's whole epochs, and once more if its key is
     among the least; the row at the budget's end gives the words that are missing, or with whole=True
-    all or none of them, whichever is nearer. Null texts have size 0; a null source is a source of its own;
+    all or none of them, whichever is nearer. copies: how often the row is taken whole. Null texts have size 0; a null source is a source of its own;
     null ids draw by their text; repeated rows draw the same key and are counted one after the other.
     """
     size = word_count(F.col("text"))
@@ -71,11 +71,27 @@ def mix(docs: DataFrame, seed: str = "mix", cap: int = 3, whole: bool = False, w
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.round(F.col("target")).cast("long") - epochs * F.col("source_size") - (F.col("bin_before") + F.col("upto") - F.col("size"))
     more = F.when(2 * left >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0), F.least(left, F.col("size")))
-    return placed.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"), "row_hash")
+    copies = epochs + ((more == F.col("size")) & (F.col("size") > 0)).cast("long")
+    return placed.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"), copies.alias("copies"), "row_hash")
+
+
+def mixed(docs: DataFrame, seed: str = "mix", cap: int = 3) -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it, whole documents only.
+
+    Rows that share id and text also share what is taken of them, as evenly as it goes.
+    """
+    columns = docs.columns
+    h, n = fresh("h", columns), fresh("n", columns)
+    total = mix(docs, seed, cap, whole=True).groupBy(F.col("doc_id").alias("of"), "row_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    docs = docs.withColumn(h, F.xxhash64("text"))
+    docs = docs.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.xxhash64(*columns))))
+    joined = docs.join(total, docs["doc_id"].eqNullSafe(total["of"]) & (docs[h] == total["row_hash"]))
+    times = F.floor(total["copies"] / total["rows"]) + (docs[n] <= total["copies"] % total["rows"]).cast("long")
+    return joined.select(*[docs[c] for c in columns], F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(n)).drop(n)
 
 
 def op4_mix(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).drop("row_hash")
+    return mix(table(spark, sf_dir, "documents")).drop("row_hash", "copies")
 
 
 _SPACES_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, langid, mixing, packing, quality, rules, simhash_dedup, sstable
+from . import chat, fingerprint, langid, mixing, packing, quality, rules, simhash_dedup, sstable, substring_dedup
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         sstable.op6_sstable,
         chat.op7_chat,
         fingerprint.op8_fingerprint,
+        substring_dedup.op9_substring_dedup,
         packing.op10_pack,
     )
 }

@@ -17,10 +17,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, rows, stored, table
+from .common import fresh, partitions, rows, stored, table
 from .components import components
 
 FANOUT = 8
@@ -192,5 +192,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
+def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """docs without near copies: of each component the document with the least doc_id stays.
+
+    Rows that share a doc_id count as one document; one of them stays. Rows with a null doc_id stay if their component has no
+    document with an id, all of them.
+    """
+    found = near_duplicates(docs, width=width, radius=radius)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("of")).distinct()
+    n = fresh("n", docs.columns)
+    named = docs.join(kept, docs["doc_id"] == kept["of"], "left_semi")
+    named = named.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))).where(F.col(n) == 1).drop(n)
+    nameless = docs.where("doc_id IS NULL")
+    alone = found.where("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
+    return named if nameless.isEmpty() else named.unionByName(_nameless(nameless, alone, width, fresh("fp", docs.columns)))
+
+
+def _nameless(docs: DataFrame, alone: DataFrame, width: int, name: str) -> DataFrame:
+    """The rows of docs whose fingerprint is among alone(fp)."""
+    mark = F.udf(lambda t: majority(shingle_hashes(t, width)), "long")
+    marked = docs.withColumn(name, mark(F.col("text")))
+    alone = alone.select(F.col("fp").alias("of"))
+    return marked.join(alone, marked[name] == alone["of"], "left_semi").drop(name)
+
+
 def op1_simhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
