@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
 
-#: Most pieces that a worker keeps.
-CACHE = 200_000
-#: A space between a piece and the next one's first character that isn't white space: no token crosses it from the left.
+#: Most pieces in each of a cache's two generations.
+CACHE = 400_000
+#: A space whose next character isn't white space: no token crosses it from the left.
 _CUT = re.compile(r" (?=\S)")
-_AWAY = re.compile(r"(?:^| )(?:\s|$)|[\x1c-\x1f]")
 
 
 def default_path() -> str:
@@ -20,11 +20,48 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Joined(Exception):
+    """A part that begins with white space: it isn't a piece of its own."""
+
+
+class _Pieces(dict):
+    """ids by piece; `before` stands in front of each piece when it is encoded. Pieces not used for a generation are forgotten.
+
+    The vocabulary's pre-tokenizer also ends a piece at a lone line feed and between letters or digits and the
+    punctuation that follows, so a piece with either is put together from its parts.
+    """
+
+    def __init__(self, direct, before: str, first: _Pieces | None = None):
+        super().__init__()
+        self.direct, self.before, self.first, self.old = direct, before, self if first is None else first, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            if not part or part[0].isspace():
+                raise _Joined
+            ids = self._make(part)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+    def _make(self, part: str) -> bytes:
+        head, feed, rest = part.partition("\n")
+        if feed and head and rest and not head[-1].isspace() and not rest[0].isspace():
+            return self[head] + self.direct("\n") + self.first[rest]
+        stem = part.rstrip(string.punctuation)
+        if stem and stem != part and (stem[-1].isalpha() or stem[-1].isdecimal()):
+            return self[stem] + self.first[part[len(stem) :]]
+        return self.direct(self.before + part)
+
+
 class Encoder:
     """ids of a text as little-endian unsigned 32-bit integers, equal to those of the tokenizer for the whole text.
 
-    The vocabulary's pre-tokenizer ends a piece before each space that a non-space follows, so a text can be
-    encoded in parts cut there; parts recur, and the tokenizer sees each of them once until the cache is full.
+    A text is cut at spaces where the pre-tokenizer ends a piece anyway; the pieces recur, and the tokenizer
+    sees those that the cache doesn't hold.
     """
 
     def __init__(self, path: str | None = None):
@@ -32,7 +69,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.first = _Pieces(self._direct, "")
+        self.pieces = _Pieces(self._direct, " ", self.first)
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -40,15 +78,12 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        parts = text.split(" ") if not _AWAY.search(text) else _CUT.split(text)
-        cache, out = self.cache, [self._direct(parts[0])]
-        for part in parts[1:]:
-            if (ids := cache.get(part)) is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                ids = cache[part] = self._direct(" " + part)
-            out.append(ids)
-        return b"".join(out)
+        head, *parts = text.split(" ")
+        try:
+            return (self.first[head] if head else b"") + b"".join(map(self.pieces.__getitem__, parts))
+        except _Joined:
+            head, *parts = _CUT.split(text)
+            return self._direct(head) + b"".join(map(self.pieces.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
