@@ -111,7 +111,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     lead = F.when(F.col("doc_id").isNull() | F.col("doc_id").isin([x for x in before if x is not None]), ahead)
     both = F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("ahead")), F.when(lead.isNotNull(), F.struct(lead.alias("bucket"), F.lit(True).alias("ahead")))))
     dealt = docs.select("doc_id", "text", F.explode(both).alias("at")).select("doc_id", "text", "at.*")
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text").select("doc_id", "text", "bucket", "ahead")
+    dealt = dealt.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text").select("doc_id", "text", "bucket", "ahead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, out = None, []  # last: a row of whose successor we don't know yet
