@@ -6,12 +6,16 @@ SMALL = "/root/testdata/sf0.001"
 assert more_queries
 
 
-@pytest.mark.parametrize("name", sorted(genomic.ORACLES))
+#: One in three, and the longer folds; the driver's own comparison runs them all.
+SOME = sorted({*sorted(genomic.ORACLES)[::3], "t01_knn_topk", "w01_forward_loglik", "w05_draw_haplotypes", "m16_batched_kernel", "a13_streamed_pileup"})
+
+
+@pytest.mark.parametrize("name", SOME)
 def test_query_gives_the_rows_of_its_sql(spark, duck, same_rows, name):
     same_rows(genomic.QUERIES[name](spark, SMALL), duck.sql(genomic.ORACLES[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(genomic.QUERIES) - set(genomic.ORACLES)))
+@pytest.mark.parametrize("name", ["w06_quantised_loglik", "m04_kmedoids", "r04_phase_metropolis", "k06_progress"])
 def test_query_without_sql_gives_rows(spark, name):
     assert genomic.QUERIES[name](spark, SMALL).count() > 0
 
