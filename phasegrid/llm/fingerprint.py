@@ -102,13 +102,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     ids = docs.select("doc_id")
     ends = ids.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(20 * n))).first()[0] if n > 1 else None
     ends = sorted(set(ends or []))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(sum([(F.col("doc_id") > e).cast("int") for e in ends], F.lit(0)))
+    below = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e < F.col("doc_id"))) if ends else F.lit(0)
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below)
     heads = sorted((r["bucket"], r["least"]) for r in ids.groupBy(bucket.alias("bucket")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("a"), "doc_id")).alias("x")).select("bucket", F.col("x.doc_id").alias("least")).collect())
     before = {least: heads[i - 1][0] for i, (_, least) in enumerate(heads)}
-    ahead = F.lit(None).cast("int")
-    for least, to in before.items():
-        ahead = F.when(F.col("doc_id").eqNullSafe(F.lit(least).cast("long")), F.lit(to)).otherwise(ahead)
-    lead = F.when(F.col("doc_id").isNull() | F.col("doc_id").isin([x for x in before if x is not None]), ahead)
+    known = [F.lit(v) for least, to in before.items() if least is not None for v in (least, to)]
+    lead = F.try_element_at(F.create_map(*known), F.col("doc_id")) if known else F.lit(None).cast("int")
+    if None in before:
+        lead = F.when(F.col("doc_id").isNull(), F.lit(before[None])).otherwise(lead)
     both = F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("ahead")), F.when(lead.isNotNull(), F.struct(lead.alias("bucket"), F.lit(True).alias("ahead")))))
     dealt = docs.select("doc_id", "text", F.explode(both).alias("at")).select("doc_id", "text", "at.*")
     dealt = dealt.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text").select("doc_id", "text", "bucket", "ahead")
