@@ -60,15 +60,16 @@ def frequent_sites(alleles: DataFrame, low: float, high: float, use_maf: bool =
     return af.where((maf(F.col("af")) if use_maf else F.col("af")).between(low, high))
 
 
-def distances(targets: DataFrame, panel: DataFrame, metric: str = "hamming", n_sites: int | None = None) -> DataFrame:
+def distances(targets: DataFrame, panel: DataFrame, metric: str = "hamming", n_sites: int | None = None, most_sent: int = 200_000) -> DataFrame:
     """(sample_idx, which, hap_id, distance): each target haplotype against the panel's, those of its own sample left out.
 
-    All pairs are what is asked for; the panel, (hap_id, words) of at most some ten thousand rows of 128 bytes for each
-    window of 1,024 sites, goes to every task, and targets stay where they are.
+    All pairs are what is asked for. A panel of up to most_sent haplotypes (128 bytes each in a window of 1,024 sites)
+    goes to every task, and targets stay where they are; beyond that Spark joins partition by partition.
     """
     t = targets.select(F.expr("hap_id div 2").alias("sample_idx"), F.expr("cast(hap_id % 2 AS int)").alias("which"), F.col("words").alias("mine"))
     p = panel.select("hap_id", "words")
-    joined = t.join(F.broadcast(p), F.expr("hap_id div 2") != F.col("sample_idx"))
+    small = p.limit(most_sent + 1).count() <= most_sent
+    joined = t.join(F.broadcast(p) if small else p, F.expr("hap_id div 2") != F.col("sample_idx"))
     far = hamming(F.col("mine"), F.col("words")) if metric == "hamming" else (n_sites - max_tract_words(F.col("mine"), F.col("words"), n_sites)).cast("long")
     return joined.select("sample_idx", "which", "hap_id", far.alias("distance"))
 
