@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import re
 import string
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 #: Most pieces in each of a cache's two generations.
 CACHE = 400_000
 #: A space whose next character isn't white space: no token crosses it from the left.
@@ -34,6 +33,7 @@ class _Pieces(dict):
     def __init__(self, direct, before: str, first: _Pieces | None = None):
         super().__init__()
         self.direct, self.before, self.first, self.old = direct, before, self if first is None else first, {}
+        self.feed = direct("\n")
 
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
@@ -50,7 +50,7 @@ class _Pieces(dict):
     def _make(self, part: str) -> bytes:
         head, feed, rest = part.partition("\n")
         if feed and head and rest and not head[-1].isspace() and not rest[0].isspace():
-            return self[head] + self.direct("\n") + self.first[rest]
+            return self[head] + self.feed + self.first[rest]
         stem = part.rstrip(string.punctuation)
         if stem and stem != part and (stem[-1].isalpha() or stem[-1].isdecimal()):
             return self[stem] + self.first[part[len(stem) :]]
@@ -73,7 +73,8 @@ class Encoder:
         self.pieces = _Pieces(self._direct, " ", self.first)
 
     def _direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
