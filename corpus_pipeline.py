@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import langid, mixing, packing, simhash_dedup, substring_dedup
+from phasegrid.llm import langid, mixing, near_copies as copies, packing, substring_dedup
 from phasegrid.llm.common import stored, table
 
 
@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id."""
-    return simhash_dedup.one_of_each(docs)
+    """One document of each group of near copies (similarity 0.8 over five-word shingles), the one with the least id."""
+    return copies.one_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
