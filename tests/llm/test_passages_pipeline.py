@@ -98,6 +98,18 @@ def test_alignment_bridges_small_edits():
     assert G.align(a[:49], a[:49], 50, 0.8) == [] and G.align([], a, 50, 0.8) == []
 
 
+def test_alignment_tries_each_occurrence_of_a_repeated_beginning():
+    rng = np.random.default_rng(5)
+    w = lambda n: [x.encode() for x in words(rng, n)]
+    passage = w(60)
+    x, y = w(30) + passage + w(30), w(30) + passage[:20] + w(40) + passage + w(30)
+    assert G.align(x, y, 50, 0.8) == [(30, 90, 90, 150, 1.0)]
+    edited = [*passage[:12], b"new", *passage[12:]]
+    found = G.align(x, w(30) + passage[:20] + w(40) + edited + w(30), 50, 0.8)
+    assert [f[:4] for f in found] == [(30, 90, 90, 151)]
+    assert G.align([b"again"] * 500, [b"again"] * 400, 50, 0.8)[0][:2] == (0, 400)
+
+
 def test_pipeline_stages_follow_on(spark):
     import corpus_pipeline as C
 
