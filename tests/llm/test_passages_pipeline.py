@@ -110,6 +110,18 @@ def test_alignment_tries_each_occurrence_of_a_repeated_beginning():
     assert G.align([b"again"] * 500, [b"again"] * 400, 50, 0.8)[0][:2] == (0, 400)
 
 
+def test_both_copies_inside_one_document_are_found_however_rows_are_dealt(spark):
+    rng = np.random.default_rng(6)
+    passage = words(rng, 60)
+    twice = " ".join(words(rng, 40) + passage + words(rng, 400) + passage + words(rng, 40))
+    rows = [(1, " ".join(words(rng, 40) + passage + words(rng, 40)), "en", "s", 1, "x"), (5, twice, "en", "s", 1, "x")]
+    for n in (1, 2):
+        docs = stored(spark.createDataFrame(rows, SCHEMA).repartitionByRange(n, "doc_id"), "dealt")
+        assert docs.rdd.getNumPartitions() >= n
+        got = sorted((r.start, r.end) for r in G.near_passages(docs).collect() if r.doc_id == 5)
+        assert got == [(40, 100), (500, 560)]
+
+
 def test_pipeline_stages_follow_on(spark):
     import corpus_pipeline as C
 
