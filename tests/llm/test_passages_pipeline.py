@@ -122,6 +122,17 @@ def test_both_copies_inside_one_document_are_found_however_rows_are_dealt(spark)
         assert got == [(40, 100), (500, 560)]
 
 
+def test_a_head_with_part_of_the_passage_hides_no_link_of_the_others(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(40):
+        passage = words(rng, 51)
+        for i, n in enumerate((49, 51, 51)):
+            rows.append((10 * k + i, " ".join(words(rng, 60) + passage[:n] + words(rng, 60)), "en", "s", 1, "x"))
+    got = {(r.doc_id, r.of_id) for r in G.near_passages(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert len(got & {(10 * k + 2, 10 * k + 1) for k in range(40)}) >= 38
+
+
 def test_pipeline_stages_follow_on(spark):
     import corpus_pipeline as C
 
