@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import rows, stored, table
-from .tokens import default_path, encoder
+from .tokens import encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str
     end_id ends each document, so an empty or null text is one piece of one token. Repeated rows are
     documents of their own.
     """
-    vocabulary, end = tokenizer or default_path(), struct.pack("<I", end_id)
+    vocabulary, end = tokenizer, struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
@@ -164,7 +164,11 @@ def sequences(packed: DataFrame, length: int = 1024, pad_id: int = 0) -> DataFra
 
 
 def pack_documents(docs: DataFrame, length: int = 1024) -> DataFrame:
-    """Every piece of docs, placed. Texts are read and encoded once: the pieces are stored."""
+    """Every piece of docs(doc_id, text), placed. Texts are read and encoded once: the pieces are stored.
+
+    Null and empty texts are one token, null ids documents like any other, repeated rows documents of their own. Other columns are not
+    read. An empty table gives no rows. A text of any length is cut; documents that tie in size are ranked by hash, then by id.
+    """
     return pack(stored(pieces(docs, length).drop("ids"), "pieces"), length)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, rows, shared_dir, stored, table
-from .tokens import default_path, encoder
+from .tokens import encoder
 
 MAGIC = b"PGRIDSST"
 FOOTER = struct.Struct("<QQQQQQI4x8s")  # places and lengths of index and filter, documents, tokens, hashes, magic
@@ -209,7 +209,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     folder: a URI that all executors reach. Shards ascend by identifier, null first; equal identifiers go by text. Null texts
     are empty. Other columns are not read. An empty table gives an empty manifest. The manifest is stored.
     """
-    spark, vocabulary = docs.sparkSession, tokenizer or default_path()
+    spark, vocabulary = docs.sparkSession, tokenizer
     folder = f"{folder or shared_dir(spark)}/sst-{uuid.uuid4().hex}"
     end = struct.pack("<I", end_id)
 

@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a public byte-level tokenizer, with a bounded cache of its pieces."""
+"""Token ids of whole texts by a public byte-level tokenizer, with a cache of its pieces that is bounded in bytes."""
 
 from __future__ import annotations
 
@@ -7,10 +7,14 @@ import string
 import struct
 from functools import lru_cache
 
-#: Most pieces in each of a cache's two generations.
-CACHE = 400_000
+#: Bytes in each of a cache's two generations, with ENTRY for what a piece takes besides its text and ids. A worker has two caches.
+ROOM, ENTRY = 40 << 20, 160
+#: Longer pieces recur too seldom to be kept.
+LONGEST = 64
 #: A space whose next character isn't white space: no token crosses it from the left.
 _CUT = re.compile(r" (?=\S)")
+#: A line feed alone is a token of its own.
+_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 def default_path() -> str:
@@ -33,27 +37,35 @@ class _Pieces(dict):
     def __init__(self, direct, before: str, first: _Pieces | None = None):
         super().__init__()
         self.direct, self.before, self.first, self.old = direct, before, self if first is None else first, {}
-        self.feed = direct("\n")
+        self.feed, self.left = direct("\n"), ROOM
 
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
             if not part or part[0].isspace():
                 raise _Joined
-            ids = self._make(part)
-        if len(self) >= CACHE:
-            self.old = dict(self)
+            if len(part) > LONGEST:
+                return self._lines(part)
+            ids = self._lines(part)
+        self.left -= len(part) + len(ids) + ENTRY
+        if self.left < 0:
+            self.old, self.left = dict(self), ROOM
             self.clear()
         self[part] = ids
         return ids
 
-    def _make(self, part: str) -> bytes:
-        head, feed, rest = part.partition("\n")
-        if feed and head and rest and not head[-1].isspace() and not rest[0].isspace():
-            return self[head] + self.feed + self.first[rest]
+    def _lines(self, part: str) -> bytes:
+        if "\n" not in part:
+            return self._line(part)
+        head, *rest = _FEED.split(part)
+        if not rest:
+            return self._line(part)
+        return self.feed.join([self[head] if len(head) <= LONGEST else self._line(head), *(self.first[x] if len(x) <= LONGEST else self.first._line(x) for x in rest)])
+
+    def _line(self, part: str) -> bytes:
         stem = part.rstrip(string.punctuation)
         if stem and stem != part and (stem[-1].isalpha() or stem[-1].isdecimal()):
-            return self[stem] + self.first[part[len(stem) :]]
+            return (self[stem] if len(stem) <= LONGEST else self.direct(self.before + stem)) + self.first[part[len(stem) :]]
         return self.direct(self.before + part)
 
 
@@ -61,14 +73,16 @@ class Encoder:
     """ids of a text as little-endian unsigned 32-bit integers, equal to those of the tokenizer for the whole text.
 
     A text is cut at spaces where the pre-tokenizer ends a piece anyway; the pieces recur, and the tokenizer
-    sees those that the cache doesn't hold.
+    sees those that the cache doesn't hold. The vocabulary's special tokens, spelled out in a text, are the library's
+    special ids; with plain=True they are text like any other.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
         self.first = _Pieces(self._direct, "")
         self.pieces = _Pieces(self._direct, " ", self.first)
 
@@ -79,15 +93,17 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(s in text for s in self.special):
+            return self._direct(text)
         head, *parts = text.split(" ")
         try:
             return (self.first[head] if head else b"") + b"".join(map(self.pieces.__getitem__, parts))
         except _Joined:
             head, *parts = _CUT.split(text)
-            return self._direct(head) + b"".join(map(self.pieces.__getitem__, parts))
+            return (self.first._lines(head) if head and not head[0].isspace() else self._direct(head)) + b"".join(map(self.pieces.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker and vocabulary; tasks that follow find its cache filled."""
-    return Encoder(path)
+def encoder(path: str | None = None, plain: bool = False) -> Encoder:
+    """One encoder for each worker and vocabulary; tasks that follow find its cache filled. Without a path, the worker finds the default."""
+    return Encoder(path, plain)

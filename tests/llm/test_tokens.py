@@ -7,6 +7,7 @@ import pytest
 
 from phasegrid.llm import packing as P
 from phasegrid.llm import sstable as S
+from phasegrid.llm import tokens
 from phasegrid.llm.common import stored
 from phasegrid.llm.tokens import Encoder, default_path
 
@@ -18,7 +19,6 @@ def encode():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -26,7 +26,7 @@ def rows():
     rng = random.Random(1)
     words = ["alpha", "bêta", "γ", "don't", "x\ty", "12", "!!", "\n\nnext", "  two"]
     some = [(i * 7 - 20, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))), 1, "c") for i in range(60)]
-    return [*some, (None, "no id", None, None), (1, None, 0, "x"), (2, "", 0, "x"), (3, "long text " * 30_000, 0, "x"), (8, some[4][1], 0, "x"), (8, some[4][1], 0, "x"), (-(2**63), "least", 0, "x"), (2**63 - 1, "most <|endoftext|>", 0, "x")]
+    return [*some, (None, "no id", None, None), (1, None, 0, "x"), (2, "", 0, "x"), (3, "long text " * 30_000, 0, "x"), (4, "line\n" * 3000 + "<|endoftext|>" + "z" * 20_000, 0, "x"), (8, some[4][1], 0, "x"), (8, some[4][1], 0, "x"), (-(2**63), "least", 0, "x"), (2**63 - 1, "most <|endoftext|>", 0, "x")]
 
 
 def test_cached_encoding_is_that_of_the_whole_text(encode):
@@ -37,6 +37,26 @@ def test_cached_encoding_is_that_of_the_whole_text(encode):
         assert fast(text) == encode(text), repr(text)
 
 
+def test_long_pieces_and_special_tokens(encode):
+    fast, rng = Encoder(), random.Random(4)
+    lines = [f"w{rng.randint(0, 3000)}" for _ in range(100_000)]
+    for text in ("\n".join(lines), "\n\nab" * 5000, "中文字" * 30_000, "".join(rng.choice("abcdef") for _ in range(5_000_000)), "." * 9000, "a <|endoftext|> b", "<|endoftext|>" * 3):
+        assert fast(text) == encode(text)
+    assert encode("a <|endoftext|> b") == np.array([64, 220, 50256, 275], "<u4").tobytes()
+    plain = np.frombuffer(Encoder(plain=True)("a <|endoftext|> b"), "<u4")
+    assert 50256 not in plain and fast.tokenizer.decode(plain.tolist()) == "a <|endoftext|> b"
+
+
+def test_cache_is_bounded_in_bytes(monkeypatch, encode):
+    monkeypatch.setattr(tokens, "ROOM", 20_000)
+    fast, rng = Encoder(), random.Random(5)
+    for _ in range(40):
+        text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 200))) for _ in range(50))
+        assert fast(text) == encode(text)
+    for cache in (fast.pieces, fast.pieces.old, fast.first, fast.first.old):
+        assert all(len(k) <= tokens.LONGEST for k in cache) and sum(len(k) + len(v) + tokens.ENTRY for k, v in cache.items()) <= 20_000 + 1000
+
+
 def test_shards_hold_all_ids_in_order(spark, encode):
     docs = spark.createDataFrame(rows(), SCHEMA)
     manifest = S.write_shards(docs)
