@@ -7,6 +7,9 @@ few words, too many words in five-word windows that recur in it).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,57 +25,82 @@ BOILERPLATE_PATTERN = "(?i)(" + "|".join(BOILERPLATE) + ")"
 NAVIGATION_PATTERN = r"(\|[^|]*\|)|([»›][^»›]*[»›])|^[\x20\x09-\x0D]*(?i:home|menu|search|login|next|previous|back to top)[\x20\x09-\x0D]*$"
 
 
+_PLAIN_NAVIGATION = ("home", "menu", "search", "login", "next", "previous", "back to top")
+
+
 def line_passes(line: Column) -> Column:
-    """Whether a line with words stays: it has punctuation if five words or more, few symbols, isn't all in capitals, and is neither navigation nor boilerplate."""
+    """Whether a line with words stays, boilerplate aside: it has punctuation if five words or more, few symbols, isn't all in capitals, and isn't navigation.
+
+    Each rule begins with a cheap condition that a line which fails it must meet, so few lines are counted or searched in full.
+    """
     n = F.regexp_count(line, F.lit(WORD))
-    bare = (n >= 5) & ~line.rlike(r"[.!?,;:…。]")
-    symbols = 2 * F.regexp_count(line, F.lit(r"[#*$%&|<>]")) > n
-    loud = (n >= 3) & (F.upper(line) == line) & (F.lower(line) != line)
-    return ~(bare | symbols | loud | line.rlike(NAVIGATION_PATTERN) | line.rlike(BOILERPLATE_PATTERN))
+    bare = ~line.rlike(r"[.!?,;:…。]") & (n >= 5)
+    symbols = line.rlike(r"[#*$%&|<>]") & (2 * F.regexp_count(line, F.lit(r"[#*$%&|<>]")) > n)
+    loud = ~line.rlike("[a-z]") & (F.upper(line) == line) & (F.lower(line) != line) & (n >= 3)
+    bar = F.contains(line, F.lit("|")) | F.contains(line, F.lit("»")) | F.contains(line, F.lit("›")) | F.lower(F.btrim(line, F.lit(SPACES))).isin(*_PLAIN_NAVIGATION)
+    return ~(bare | symbols | loud | (bar & line.rlike(NAVIGATION_PATTERN)))
+
+
+def has_boilerplate(text: Column) -> Column:
+    """Whether one of the phrases stands in the text, in any case."""
+    low = F.lower(text)
+    return reduce(Column.__or__, [F.contains(low, F.lit(p)) for p in BOILERPLATE])
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often use names it, whatever the optimiser makes of the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _repeats(words: Column, n: Column) -> Column:
-    """The hashes of the five-word windows, null for fewer words."""
-    return F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)])))
+def _windows(words: Column) -> Column:
+    """The hashes of the five-word windows; none for fewer words."""
+    each = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(F.size(words) - 4, F.lit(0))) for k in range(5)])
+    return F.transform(each, lambda x: F.xxhash64(x))
 
 
-def _recurring(base: DataFrame) -> DataFrame:
-    """base with n_repeat_words, the words inside windows that occur twice or more.
+def _repeat_words(windows: Column) -> Column:
+    """How many words lie in windows that occur twice or more.
 
-    The windows are sorted by hash only where some recur. Each step is a column of its own, so that it is computed
-    once a row. A recurring window, in order of place, adds the words that the one before hasn't covered.
+    Windows are sorted by hash, only where some recur. Each recurring window, in order of place, adds the words that the one
+    before hasn't covered.
     """
-    base = base.withColumn("recurs", F.coalesce(F.size(F.array_distinct("windows")) < F.size("windows"), F.lit(False)))
-    base = base.withColumn("by_hash", F.when(F.col("recurs"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    twice = F.filter("by_hash", lambda x, i: (F.get("by_hash", i + 1)["h"] == x["h"]) | ((i > 0) & (F.get("by_hash", i - 1)["h"] == x["h"])))
-    base = base.withColumn("places", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    base = base.withColumn("steps", F.transform("places", lambda x, i: F.least(F.lit(5), F.coalesce(F.get("places", i + 1) - x, F.lit(5))).cast("long")))
-    return base.withColumn("n_repeat_words", F.coalesce(F.aggregate("steps", F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long")))
+    by_hash = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    twice = lambda s: F.filter(s, lambda x, i: (F.get(s, i + 1)["h"] == x["h"]) | ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])))
+    places = bound(by_hash, lambda s: F.sort_array(F.transform(twice(s), lambda x: x["i"])))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-5).alias("last"))
+    words = F.aggregate(places, start, lambda a, x: F.struct((a["n"] + F.least(F.lit(5), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), words).otherwise(F.lit(0).cast("long"))
 
 
 def clean(docs: DataFrame, least_words: int = 10, most_repeats: int = 20, least_left: float = 0.5) -> DataFrame:
     """One row for each of docs(doc_id, text), with the counts, the verdicts and clean_text, the lines that stay.
 
     A null text has no words and is rejected. A line equals another if all their characters do. Repeated rows return
-    as often as they came; null ids are kept; other columns are not read.
+    as often as they came; null ids are kept; other columns are not read; an empty table gives no rows. Work grows with a text's
+    length times its logarithm. All that is measured comes out of one generator, so a filter on any of it isn't moved below
+    and what it measures isn't computed again.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id"), text.alias("text"))
+    base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     base = base.select("*", F.split(F.btrim("text", F.lit(SPACES)), GAP).alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    base = base.withColumn("n_words", F.when(F.get("words", F.lit(0)) == "", F.lit(0)).otherwise(F.size("words")).cast("int"))
-    base = base.withColumn("windows", _repeats(F.col("words"), F.col("n_words"))).withColumn("kept_lines", F.filter("lines", line_passes))
-    base = _recurring(base).select(
-        "doc_id",
-        F.col("n_words").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
+    base = base.withColumn("words", F.when(F.get("words", F.lit(0)) == "", F.array().cast("array<string>")).otherwise(F.col("words")))
+    wordy = F.filter("lines", lambda x: x.rlike(BOILERPLATE_PATTERN) | ~line_passes(x))
+    plain = F.filter("lines", lambda x: ~line_passes(x))
+    base = base.withColumn("windows", _windows(F.col("words"))).withColumn("bad_lines", F.when(has_boilerplate(F.col("text")), wordy).otherwise(plain))
+    base = base.withColumn("n_words", F.size("words").cast("long"))
+    measured = F.struct(
+        "n_words",
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-        F.concat_ws("\n", "kept_lines").alias("clean_text"),
+        _repeat_words(F.col("windows")).alias("n_repeat_words"),
+        (F.col("n_words") - F.regexp_count(F.array_join("bad_lines", "\n"), F.lit(WORD))).alias("left_words"),
     )
+    base = base.select("doc_id", "text", F.inline(F.array(measured)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    base = base.withColumn("base_failed", failed).withColumn("left_words", F.regexp_count("clean_text", F.lit(WORD)).cast("long"))
-    return base.withColumn("kept", ~F.col("base_failed") & (F.col("left_words") >= least_left * F.col("n_words")))
+    base = base.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("left_words") >= least_left * F.col("n_words")))
+    some = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    stays = F.when(has_boilerplate(F.col("text")), F.filter(some, lambda x: line_passes(x) & ~x.rlike(BOILERPLATE_PATTERN))).otherwise(F.filter(some, line_passes))
+    return base.withColumn("clean_text", F.array_join(stays, "\n")).drop("text")
 
 
 def op5_rules(spark, sf_dir):

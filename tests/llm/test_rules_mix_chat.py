@@ -43,6 +43,26 @@ def test_rules_equal_brute_force(spark):
     assert rules.clean(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_filter_on_the_rules_does_not_compute_them_again(spark):
+    mixed = " ".join(f"w{i % 700} v{i % 11}." for i in range(20_000))
+    docs = spark.createDataFrame([(1, mixed, "a", 1, "b", 1), *((i, t, "a", 1, "b", 1) for i, t in enumerate(TEXTS[:8], 2))], DOCS)
+    whole = rules.clean(docs)
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    every = whole.collect()
+    for condition, holds in {
+        "n_words > 5": lambda r: r.n_words > 5,
+        "word_chars > 5 AND n_symbols >= 0 AND n_dup_lines >= 0": lambda r: r.word_chars > 5,
+        "n_repeat_words >= 0 AND left_words > 3 AND NOT base_failed AND kept": lambda r: r.left_words > 3 and r.kept,
+        "NOT base_failed": lambda r: not r.base_failed,
+    }.items():
+        kept = whole.where(condition)
+        nodes = [x.split("[")[0] for x in plan_of(kept).split("\n")]
+        of = lambda name: next(i for i, x in enumerate(nodes) if f"{name} " in x)  # noqa: E731, B023
+        assert of("Filter") < of("Generate") and plan_of(kept).count("xxhash64") == plan_of(whole).count("xxhash64")
+        assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in every if holds(r))
+    assert whole.where("clean_text <> ''").count() == sum(r.clean_text != "" for r in every)
+
+
 def test_rules_keep_good_and_drop_bad_documents(spark):
     got = rules.op5_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("NOT base_failed")
     share = {r.quality: r.k for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
