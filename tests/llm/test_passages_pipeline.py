@@ -89,6 +89,55 @@ def test_removal(spark):
     assert G.near_passages(empty).count() == 0 and G.remove_passages(empty, G.near_passages(empty)).count() == 0
 
 
+def repeated(texts, n):
+    """(document, place) of every word in a run of n words that also stands in a document with a lesser id."""
+    seen, out = {}, set()
+    for d in sorted(texts):
+        grams = [tuple(texts[d][i : i + n]) for i in range(len(texts[d]) - n + 1)]
+        out |= {(d, j) for i, g in enumerate(grams) if seen.get(g, d) < d for j in range(i, i + n)}
+        for g in grams:
+            seen.setdefault(g, d)
+    return out
+
+
+def shingle_likeness(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    texts, planted = {}, []
+    for g in range(40):  # the least holder has only a part, of 27 to 49 words, of what two others share
+        passage, part = words(rng, int(rng.integers(50, 61))), int(rng.integers(27, 50))
+        at = int(rng.integers(0, len(passage) - part + 1))
+        for k, body in enumerate((passage[at : at + part], passage, passage)):
+            texts[1000 * k + g] = words(rng, int(rng.integers(0, 60))) + body + words(rng, int(rng.integers(0, 60)))
+    long = words(rng, 2000)
+    for k in range(3):
+        texts[5000 + k] = words(rng, 300) + long + words(rng, 200 * k)
+    for k in range(20):  # one edit in every 60 words
+        passage = words(rng, 120)
+        edited = [*passage]
+        edited[30], edited[90] = "x", "y"
+        texts[6000 + k], texts[7000 + k] = words(rng, 40) + passage + words(rng, 40), words(rng, 20) + edited + words(rng, 60)
+        planted.append((7000 + k, 20, 140))
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1, "x") for i, w in texts.items()], SCHEMA).repartition(3)
+    got = G.near_passages(docs).collect()
+    covered = {}
+    for r in got:
+        assert r.of_id < r.doc_id and r.end - r.start >= 50 and r.of_end - r.of_start >= 50
+        assert shingle_likeness(texts[r.doc_id][r.start : r.end], texts[r.of_id][r.of_start : r.of_end]) >= 0.78
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    want = repeated(texts, 50)
+    assert len(want) > 6000 and sum(i in covered.get(d, ()) for d, i in want) >= 0.97 * len(want)
+    whole = {d for d, _ in want}
+    assert sum(d in covered for d in whole) >= 0.95 * len(whole)
+    assert all(len(covered[5000 + k] & set(range(300, 2300))) == 2000 for k in (1, 2))
+    assert sum(len(covered.get(d, set()) & set(range(s, e))) >= 0.9 * (e - s) for d, s, e in planted) >= 19
+    assert set(covered) <= whole | {d for d, _, _ in planted}
+
+
 def test_alignment_bridges_small_edits():
     rng = np.random.default_rng(4)
     a = [w.encode() for w in words(rng, 200)]
