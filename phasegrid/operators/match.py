@@ -29,6 +29,18 @@ def first_sites(sites: DataFrame, limit: int) -> DataFrame:
     return sites.agg(F.least(F.count("*"), F.lit(limit)).alias("n_kept"), F.greatest(F.count("*") - limit, F.lit(0)).alias("n_dropped"))
 
 
+class LoadedOnce:
+    """A guard over a run's panels: each kind may be loaded once."""
+
+    def __init__(self):
+        self.seen: set[str] = set()
+
+    def __call__(self, kind: str) -> None:
+        if kind in self.seen:
+            raise PanelError(f"the {kind} panel was loaded before")
+        self.seen.add(kind)
+
+
 def filter_sites(panel: DataFrame, sites: DataFrame) -> DataFrame:
     """The panel's rows at the likelihoods' sites, with their site_idx; all four parts of a site must agree."""
     return panel.join(sites.select("site_idx", *KEY), KEY)
@@ -78,17 +90,36 @@ def append_reference(alleles: DataFrame, reference: DataFrame, n_samples: int) -
     return alleles.unionByName(reference.withColumn("hap_id", F.col("hap_id") + 2 * n_samples))
 
 
-def map_location(sites: DataFrame, gmap: DataFrame) -> DataFrame:
-    """sites with cm, interpolated between the neighbouring points of gmap(pos, cm); null outside the map.
+def map_location(sites: DataFrame, gmap: DataFrame, strict: bool = False, stretch: int = 1 << 20) -> DataFrame:
+    """sites with cm, interpolated between the neighbouring points of gmap([chr, ]pos, cm) on their chromosome.
 
-    The map is a sorted list of a chromosome's points, some thousand rows; it is turned into intervals and joined by range.
+    A site outside the map has none, or with strict is an error when the row is computed. A map without chr is that of one chromosome, and
+    sites on several are an error. Points become intervals, which are joined by the stretches of a chromosome they reach into.
     """
-    order = Window.orderBy("pos")
-    spans = gmap.select(F.col("pos").alias("a"), F.col("cm").alias("ca"), F.lead("pos").over(order).alias("b"), F.lead("cm").over(order).alias("cb"))
-    spans = spans.select("a", "ca", F.coalesce("b", F.col("a") + 1).alias("b"), F.coalesce("cb", "ca").alias("cb"))
-    on = (F.col("pos") >= F.col("a")) & (F.col("pos") < F.col("b"))
+    if "chr" not in gmap.columns:
+        if sites.select("chr").distinct().limit(2).count() > 1:
+            raise PanelError("a map without chromosomes, but sites on more than one")
+        gmap, on = gmap.withColumn("chr", F.lit("")), F.lit("")
+    else:
+        on = F.col("chr")
+    order = Window.partitionBy("chr").orderBy("pos")
+    spans = gmap.select(F.col("chr").alias("of"), F.col("pos").alias("a"), F.col("cm").alias("ca"), F.lead("pos").over(order).alias("b"), F.lead("cm").over(order).alias("cb"))
+    spans = spans.select("of", "a", "ca", F.coalesce("b", F.col("a") + 1).alias("b"), F.coalesce("cb", "ca").alias("cb"))
+    spans = spans.select("*", F.explode(F.sequence(F.expr(f"a div {stretch}"), F.expr(f"(b - 1) div {stretch}"))).alias("stretch"))
+    inside = (on == F.col("of")) & (F.expr(f"pos div {stretch}") == F.col("stretch")) & (F.col("pos") >= F.col("a")) & (F.col("pos") < F.col("b"))
     cm = F.col("ca") + (F.col("pos") - F.col("a")) * (F.col("cb") - F.col("ca")) / (F.col("b") - F.col("a"))
-    return sites.join(F.broadcast(spans), on, "left").select(*sites.columns, cm.alias("cm"))
+    if strict:
+        cm = F.coalesce(cm, F.raise_error(F.concat(F.lit("outside the map: "), "chr", F.lit(":"), F.col("pos").cast("string"))).cast("double"))
+    return sites.join(spans, inside, "left").select(*sites.columns, cm.alias("cm"))
+
+
+def look_up(asked: DataFrame, sites: DataFrame, strict: bool = True) -> DataFrame:
+    """asked(chr, pos, ref, alt and others) with the site_idx of the site that has all four; with strict, an absent site is an error when its row is computed."""
+    found = asked.join(sites.select("site_idx", *KEY), KEY, "left")
+    if not strict:
+        return found
+    name = F.concat_ws(":", "chr", F.col("pos").cast("string"), "ref", "alt")
+    return found.withColumn("site_idx", F.coalesce("site_idx", F.raise_error(F.concat(F.lit("no such site: "), name)).cast("long")))
 
 
 def map_distance(located: DataFrame) -> DataFrame:
@@ -97,7 +128,9 @@ def map_distance(located: DataFrame) -> DataFrame:
 
 
 def reorder(records: DataFrame, ranked: DataFrame) -> DataFrame:
-    """records in the order of ranked(chr, pos, ref, alt, rank): by the first rank of their position, then by their own; those without one are missing."""
+    """records in the order of ranked(chr, pos, ref, alt, rank): by the first rank of their position, then by their own; a record without one is an error."""
+    if not records.join(ranked, KEY, "left_anti").isEmpty():
+        raise PanelError("a record has no rank")
     first = F.min("rank").over(Window.partitionBy("chr", "pos", "ref"))
     return records.join(ranked.withColumn("group_rank", first), KEY).orderBy("group_rank", "rank")
 

@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, which driver and executors share; in a folder of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="phasegrid-")
+    """A new path in spark.checkpoint.dir, which driver and executors share; in local mode in a folder of our own where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="phasegrid-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
