@@ -2,9 +2,10 @@
 
 Each document draws u in (0, 1) from a hash of seed and id, and gets the key -ln(u) / weight; the least keys
 of a source, up to its budget of words, are a weighted sample without replacement. Whole epochs of a source
-come first; the keys choose what is taken once more. The keys' order is cut into BINS bins per source: sums
-by bin give where each bin begins, and only the rows of one bin are sorted together, so a source that holds
-a third of all rows is no single task.
+come first; the keys choose what is taken once more. The keys' order is cut into bins, OCTAVE for each doubling of the key:
+sums by bin give where each bin begins, and only the rows of one bin are sorted together, so a source that holds
+a third of all rows is no single task. An exponential key's logarithm has a density of at most 1 / e whatever its
+rate, so whatever the weights a bin is expected to hold no more than ln 2 / (e OCTAVE), 0.00025, of its source's rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, WORD, fresh, stored, table
 
-BINS = 4096
+OCTAVE = 1024
 
 
 def word_count(text):
@@ -54,14 +55,15 @@ def mix(docs: DataFrame, seed: str = "mix", cap: int = 3, whole: bool = False, w
     taken: words taken from the row: its size times the source's whole epochs, and once more if its key is
     among the least; the row at the budget's end gives the words that are missing, or with whole=True
     all or none of them, whichever is nearer. copies: how often the row is taken whole. Null texts have size 0; a null source is a source of its own;
-    null ids draw by their text; repeated rows draw the same key and are counted one after the other.
+    null ids draw by their text; repeated rows draw the same key and are counted one after the other. A text of any length is one
+    document; other columns are not read; an empty table gives no rows.
     """
     size = word_count(F.col("text"))
     text_hash = F.xxhash64("text")
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), text_hash.cast("string"))).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
     rows = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source_key"), "text", size.alias("size"))
     rows = rows.select("doc_id", "source", "source_key", "size", (-F.ln(u) / weight(F.col("text"), F.col("size"))).alias("key"), text_hash.alias("row_hash"))
-    rows = stored(rows.withColumn("bin", F.floor(BINS * (1 - F.exp(-F.col("key")))).cast("int")), "mix")
+    rows = stored(rows.withColumn("bin", F.floor(OCTAVE * F.log2("key")).cast("int")), "mix")
     goal = targets(rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), cap)
     bins = rows.groupBy("source_key", "bin").agg(F.sum("size").alias("bin_size"))
     before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
