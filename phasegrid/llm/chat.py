@@ -1,6 +1,6 @@
 r"""Operator 7: chat formatting in budgeted windows, by DataFrame functions only.
 
-Prefix sums of turn lengths (in words) deal a conversation's turns out to windows: turns that lie inside
+Prefix sums of turn lengths (in words, which stand for tokens) deal a conversation's turns out to windows: turns that lie inside
 one stretch of `new_words` words share a window, and a turn that crosses a stretch's end gets a window of
 its own, so a window's new turns exceed the budget only if a single turn does. Each window repeats the
 system turn and a few turns before it, within `history_words`; only an assistant turn's first occurrence is
@@ -40,7 +40,7 @@ def windows(turns: DataFrame, new_words: int = 384, history_words: int = 128, hi
     spans: for each turn in text its start and length in characters, whether it is new here (not repeated)
     and whether it is a target. Null roles and texts are empty; a null conv_id is a conversation of its own.
     Turns with equal numbers go by role and text; repeated rows are turns of their own. A system turn counts as such if it comes
-    first. Other columns are not read.
+    first. Other columns are not read. A turn of any length is one turn; an empty table gives no rows.
     """
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     rows = turns.select("conv_id", F.col("turn").alias("number"), role.alias("role"), text.alias("text"))
@@ -57,13 +57,18 @@ def windows(turns: DataFrame, new_words: int = 384, history_words: int = 128, hi
     first = ~F.col("system") & (F.col("window") != F.coalesce(F.lag("window").over(order), F.lit(-1)))
     rows = rows.withColumn("first", first)
     later = [F.lead(F.struct("first", "window", "before"), j).over(order) for j in range(1, history_turns + 1)]
-    rows = rows.withColumn("later", F.array(*later)).withColumn("all", F.collect_set("window").over(Window.partitionBy("conv_id")))
+    rows = rows.withColumn("later", F.array(*later))
     place_of = lambda w, new: F.struct(w.alias("window"), new.alias("new"))
     history = F.filter("later", lambda x: x["first"] & (x["before"] - F.col("before") <= history_words))
     own = F.concat(F.array(place_of(F.col("window"), F.lit(True))), F.transform(history, lambda x: place_of(x["window"], F.lit(False))))
-    every = F.when(F.size("all") > 0, F.col("all")).otherwise(F.array(F.lit(0).cast("long")))
-    everywhere = F.transform(every, lambda w: place_of(w, w == F.array_min(every)))
-    dealt = rows.select("conv_id", "role", "piece", "place", F.explode(F.when(F.col("system"), everywhere).otherwise(own)).alias("at")).select("*", "at.*").drop("at")
+    dealt = rows.where(~F.col("system")).select("conv_id", "role", "piece", "place", F.explode(own).alias("at")).select("conv_id", "role", "piece", "place", "at.*")
+    # The system turn is repeated in each window of its conversation, and is the only turn of one that has no other.
+    repeated = rows.where("system").select(F.col("conv_id").alias("of"), "role", "piece", "place")
+    known = rows.where("first").select("conv_id", "window").distinct()
+    repeated = repeated.join(known, F.col("of").eqNullSafe(F.col("conv_id")), "left")
+    earliest = F.col("window") == F.min("window").over(Window.partitionBy("of"))
+    repeated = repeated.select(F.col("of").alias("conv_id"), "role", "piece", "place", F.coalesce("window", F.lit(0).cast("long")).alias("window"), F.coalesce(earliest, F.lit(True)).alias("new"))
+    dealt = dealt.unionByName(repeated)
     inside = Window.partitionBy("conv_id", "window").orderBy("place")
     dealt = dealt.withColumn("length", F.length("piece")).withColumn("start", F.sum("length").over(inside) - F.col("length"))
     part = F.struct("place", "piece", "start", "length", "new", (F.col("new") & (F.col("role") == "assistant")).alias("target"))
