@@ -5,8 +5,8 @@ that is flat over all trigrams. Expectation-maximisation gives the parts' propor
 is grown from the single best one for as long as the penalised log-likelihood rises.
 
 The model is fitted on a bounded sample of labelled rows: about PER_LANG whole documents of each language,
-chosen by a hash of the id. The model has 65,536 x languages numbers; the LANGS most frequent labels are
-kept, so what is sent to the executors is at most 32 MB.
+chosen by a hash of the id. Every label that occurs gets a model, held as the counts of the trigrams its sample has: what is
+sent to the executors is 8 bytes for each trigram of each language, of at most 65,536, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import rows, table
 
-BUCKETS, PER_LANG, LANGS = 1 << 16, 3000, 128
+BUCKETS, PER_LANG, PRIOR = 1 << 16, 3000, 0.5
 #: Overlapping trigrams repeat each other's evidence: three count as one.
 OVERLAP = 3.0
 LETTER = re.compile(r"[^\W\d_]")
@@ -54,15 +54,32 @@ def _em(p: np.ndarray, n: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
 
 @dataclass
 class Model:
+    """Counts by bucket: those of bucket b, for the languages lang[start[b]:start[b + 1]], are n[start[b]:start[b + 1]]."""
+
     langs: list[str]
-    p: np.ndarray  # (bucket, language and then the background)
+    start: np.ndarray
+    lang: np.ndarray
+    n: np.ndarray
+
+    def __post_init__(self):
+        total = np.bincount(self.lang, self.n, len(self.langs)) + PRIOR * BUCKETS
+        self.floor, self.p = (PRIOR / total).astype(np.float32), ((PRIOR + self.n) / total[self.lang]).astype(np.float32)
+
+    def rows(self, grams: np.ndarray) -> np.ndarray:
+        """Probabilities (trigram, language and then the background)."""
+        first, size = self.start[grams], self.start[grams + 1] - self.start[grams]
+        out = np.empty((len(grams), len(self.langs) + 1), np.float32)
+        out[:, :-1], out[:, -1] = self.floor, 1 / BUCKETS
+        at = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        out[np.repeat(np.arange(len(grams)), size), self.lang[at]] = self.p[at]
+        return out
 
     def mixture(self, text: str | None, steps: int = 12) -> dict[str, float]:
         """Proportions of the chosen languages; what is missing to 1 is background. Empty without letters or languages."""
         if not text or not self.langs or not LETTER.search(text):
             return {}
         grams, n = np.unique(trigrams(text), return_counts=True)
-        p, n, back = self.p[grams], n.astype(np.float32), len(self.langs)
+        p, n, back = self.rows(grams.astype(np.int64)), n.astype(np.float32), len(self.langs)
         alone = n @ np.log(p[:, :back])
         first = int(np.argmax(alone))
         full, _ = _em(p, n, steps)
@@ -82,34 +99,42 @@ class Model:
         return max(sorted(found.items()), key=lambda x: x[1]) if found else ("und", 0.0)
 
 
-def fit(labelled: DataFrame, per_lang: int = PER_LANG, most: int = LANGS) -> Model:
+def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model from labelled(doc_id, text, lang), of about per_lang documents of each language.
 
     Rows with a null text or lang are left out. Without any, the model has no language.
     """
     spark = labelled.sparkSession
     labelled = labelled.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return Model([], np.full((BUCKETS, 1), 1 / BUCKETS, np.float32))
+        return Model([], np.zeros(BUCKETS + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
     number = {v: i for i, v in enumerate(langs)}
     share = spark.createDataFrame([(r["lang"], min(1.0, per_lang / r["count"])) for r in sizes], "lang string, share double")
     sample = labelled.join(F.broadcast(share), "lang").where("pmod(xxhash64(doc_id, 'langid'), 1000000) < share * 1000000").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(langs), BUCKETS), np.int64)
+        sums: dict[int, np.ndarray] = {}
         for texts, of in rows(batches):
             for text, lang in zip(texts, of):
-                sums[number[lang]] += np.bincount(trigrams(text), minlength=BUCKETS)
-        lang, gram = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int64()), pa.array(gram, pa.int64()), pa.array(sums[lang, gram])], ["lang", "gram", "n"])
-
-    got = sample.mapInArrow(count, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.full((BUCKETS, len(langs)), 0.5)
-    counts[got["gram"], got["lang"]] += got["n"]
-    p = np.c_[counts / counts.sum(0), np.full(BUCKETS, 1 / BUCKETS)]
-    return Model(langs, p.astype(np.float32))
+                if (i := number[lang]) not in sums:
+                    if len(sums) == 64:
+                        yield from map(_counted, sums.items())
+                        sums.clear()
+                    sums[i] = np.zeros(BUCKETS, np.int64)
+                sums[i] += np.bincount(trigrams(text), minlength=BUCKETS)
+        yield from map(_counted, sums.items())
+
+    got = sample.mapInArrow(count, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas().sort_values(["gram", "lang"])
+    start = np.r_[0, np.cumsum(np.bincount(got["gram"], minlength=BUCKETS))]
+    return Model(langs, start, got["lang"].to_numpy(np.int32), got["n"].to_numpy(np.int32))
+
+
+def _counted(item: tuple[int, np.ndarray]) -> pa.RecordBatch:
+    lang, sums = item
+    gram = np.flatnonzero(sums)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), lang)), pa.array(gram), pa.array(sums[gram])], ["lang", "gram", "n"])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
