@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: What separates words: the ASCII white space of the contract's word pattern.
 SPACES = " \t\n\x0b\x0c\r"
@@ -16,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="phasegrid-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -60,3 +64,21 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in {t.lower() for t in taken}:
         name += "_"
     return name
+
+
+def first_by_id(docs: DataFrame) -> DataFrame:
+    """One row of docs for each doc_id: the first by the hash of its columns (maps, which have none, left out)."""
+    n = fresh("n", docs.columns)
+    hashed = [F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t and t != "variant"])]
+    return docs.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(*hashed))).where(F.col(n) == 1).drop(n)
+
+
+def with_mark(docs: DataFrame, name: str, mark: Callable[[str | None], int]) -> DataFrame:
+    """docs with a long column made from each row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([mark(t) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))

@@ -1,7 +1,9 @@
 """The pipeline's near copies: documents whose sets of five-word shingles are alike by `similarity` or more.
 
-Candidates share a key, made of several minima of the set under different hash functions (MinHash); the Jaccard similarity
-of the sets themselves decides. Equal sets are one node from the start. In a key's group each node is compared with the one
+Candidates come from operator 1 (SimHash fingerprints over the same shingles, linked by its Gray-order indexes) and, since its radius
+reaches few pairs at a similarity of 0.8, from MinHash: sets that share a band of minima under several hash functions. A
+signature of SIGNS minima decides on pairs that are clearly alike or clearly not; for those within SURE of the similarity the sets
+themselves do, made anew from the texts. Equal sets are one node from the start. In a band's group each node is compared with the one
 that meets most others, and then, in groups of up to SMALL, all pairs that aren't connected yet. The nodes of greater groups
 that are still apart get finer keys, which hardly join what is less alike; there all pairs that aren't connected are compared.
 So only families that stay just below the similarity cost the square of their size.
@@ -14,24 +16,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, rows, stored
+from . import simhash_dedup
+from .common import cut, first_by_id, fresh, rows, stored, with_mark
 from .components import components
-from .simhash_dedup import shingle_hashes
+from .simhash_dedup import majority, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Bands and minima in each, for all sets and for those in crowded groups; at a similarity of 0.8, 0.2 % and 0.1 % of the pairs share no band.
-LEVELS, SMALL = ((16, 5), (64, 10)), 64
-
-
-def _hashes(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    odd, plus = np.random.default_rng(seed).integers(0, 2**63, (2, n, 1), dtype=np.uint64)
-    return odd * np.uint64(2) + np.uint64(1), plus
-
-
-_HASHES = [_hashes(n * m, i) for i, (n, m) in enumerate(LEVELS)]
+#: Minima in a signature, and how far from the similarity its estimate decides alone: 3.7 standard deviations at 0.8.
+SIGNS, SURE = 128, 0.13
+SMALL = 64
+_ODD, _PLUS = np.random.default_rng(0).integers(0, 2**63, (2, SIGNS, 1), dtype=np.uint64)
+_ODD = _ODD * np.uint64(2) + np.uint64(1)
+#: The minima of each band, for all sets (16 of 5) and for those in crowded groups (64 of 10); at a similarity of 0.8, 0.2 % and 0.1 % of the pairs share none.
+BANDS = (np.arange(80).reshape(16, 5), np.stack([np.random.default_rng(i).permutation(SIGNS)[:10] for i in range(64)]))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -43,16 +43,22 @@ def node(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63
 
 
-def keys(found: np.ndarray, level: int = 0) -> list[int]:
-    """A key a band; none for an empty set."""
+def signature(found: np.ndarray) -> np.ndarray:
+    """The least of SIGNS hash functions over the set, 32 bits of each; nothing for an empty set."""
     if not len(found):
-        return []
-    odd, plus = _HASHES[level]
-    least = np.full(len(odd), ~np.uint64(0))
+        return np.empty(0, np.uint32)
+    least = np.full(SIGNS, ~np.uint64(0))
     for at in range(0, len(found), 1024):
-        x = (found[at : at + 1024] ^ plus) * odd
-        least = np.minimum(least, ((x ^ (x >> np.uint64(32))) * odd).min(1))
-    return [xxhash.xxh3_64_intdigest(b.tobytes(), i) - 2**63 for i, b in enumerate(least.reshape(LEVELS[level]))]
+        x = (found[at : at + 1024] ^ _PLUS) * _ODD
+        least = np.minimum(least, ((x ^ (x >> np.uint64(32))) * _ODD).min(1))
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def keys(sign: np.ndarray, level: int = 0) -> list[int]:
+    """A key a band; none for an empty set."""
+    if not len(sign):
+        return []
+    return [xxhash.xxh3_64_intdigest(b.tobytes(), i) - 2**63 for i, b in enumerate(sign[BANDS[level]])]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -61,41 +67,89 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, fp, keys, sign) of every row."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows(batches, 128):
-            sets = [shingle_set(t) for t in texts]
-            columns = (ids, [node(s) for s in sets], [keys(s) for s in sets], [s.tobytes() for s in sets])
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "node", "keys", "found"])
+            hashes = [shingle_hashes(t, WIDTH) for t in texts]
+            sets = [np.unique(h) for h in hashes]
+            signs = [signature(s) for s in sets]
+            columns = (ids, [node(s) for s in sets], [majority(h) for h in hashes], [keys(s) for s in signs], [s.tobytes() for s in signs])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "node", "fp", "keys", "sign"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, node long, fp long, keys array<long>, sign binary")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, node long, keys array<long>, found binary")
 
+def _estimated(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """pairs(a, b) with the share of equal minima in their signatures."""
 
-def _alike(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint32).reshape(-1, SIGNS) for n in ("x", "y"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).mean(1))], ["a", "b", "alike"])
+
+    mine = pairs.join(members.select(F.col("node").alias("a"), F.col("sign").alias("x")), "a")
+    both = mine.join(members.select(F.col("node").alias("b"), F.col("sign").alias("y")), "b").where("length(x) > 0 AND length(y) > 0")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, alike double")
+
+
+def _sets(docs: DataFrame, marks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, found): the sets of the nodes asked for, from one text of each."""
+    wanted = marks.join(asked, marks["node"] == asked["of"], "left_semi")
+    holders = wanted.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(holders, F.col("doc_id") == F.col("id"), "left_semi").select("text")
+    nameless = wanted.where("doc_id IS NULL")
+    if not nameless.isEmpty():
+        texts = texts.unionByName(docs.where("doc_id IS NULL").select("text"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (some,) in rows(batches, 128):
+            found = [shingle_set(t) for t in some]
+            yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "found"])
+
+    made = texts.mapInArrow(make, "node long, found binary").join(asked, F.col("node") == F.col("of"), "left_semi")
+    return stored(made.dropDuplicates(["node"]), "sets")
+
+
+def _alike(docs: DataFrame, marks: DataFrame, members: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs(a, b) whose sets are similar enough."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
-    sets = marks.join(asked, marks["node"] == asked["of"], "left_semi").groupBy("node").agg(F.first("found").alias("found"))
-    sets = stored(sets, "sets")
+    guessed = cut(_estimated(pairs, members).where(F.col("alike") > similarity - SURE))
+    sure, unsure = guessed.where(F.col("alike") >= similarity + SURE).select("a", "b"), guessed.where(F.col("alike") < similarity + SURE).select("a", "b")
+    sets = _sets(docs, marks, unsure.select(F.explode(F.array("a", "b")).alias("of")).distinct())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(n).to_pylist() for n in ("x", "y"))
-            yield batch.select(["a", "b"]).filter(pa.array([jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= similarity for p, q in zip(x, y)], pa.bool_()))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x, y = (part.column(n).to_pylist() for n in ("x", "y"))
+                yield part.select(["a", "b"]).filter(pa.array([jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= similarity for p, q in zip(x, y)], pa.bool_()))
 
-    mine = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
-    return mine.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    mine = unsure.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
+    both = mine.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
+    return sure.unionByName(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
-def _fine(marks: DataFrame, crowd: DataFrame) -> DataFrame:
+def _fine(members: DataFrame, crowd: DataFrame) -> DataFrame:
     """(node, key): the second level's keys of the nodes in crowd."""
-    sets = marks.join(crowd, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, found in rows(batches, 128):
-            out = [keys(np.frombuffer(f, np.uint64), 1) for f in found]
+        for nodes, signs in rows(batches, 128):
+            out = [keys(np.frombuffer(x, np.uint32), 1) for x in signs]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "keys"])
 
-    return sets.mapInArrow(make, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    signs = members.join(crowd, "node", "left_semi").select("node", "sign")
+    return signs.mapInArrow(make, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+
+
+def _by_fingerprint(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that operator 1 links: those of one fingerprint with its least node, and the least nodes of linked fingerprints."""
+    marks = stored(members.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    same = members.join(marks, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    linked = simhash_dedup.links(marks.select("fp"))
+    x, y = (marks.select(F.col("fp").alias(c), F.col("least").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    linked = linked.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(linked).where("a <> b")
 
 
 def _grouped(bands: DataFrame) -> DataFrame:
@@ -107,16 +161,16 @@ def _grouped(bands: DataFrame) -> DataFrame:
     return cut(bands.join(heads, "key"))
 
 
-def named(marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root, least): of each node of marks its component and the component's least doc_id."""
-    members = stored(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")), "members")
+def named(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root, least): of each node of marks, which are those of docs, its component and the component's least doc_id."""
+    members = stored(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "keys", "sign")]), "members")
     tried = edges = marks.sparkSession.createDataFrame([], "a long, b long")
     roots = marks.sparkSession.createDataFrame([], "node long, root long")
 
     def compare(pairs: DataFrame) -> None:
         nonlocal tried, edges, roots
         pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried, edges = tried.unionByName(pairs), edges.unionByName(cut(_alike(pairs, marks, similarity)))
+        tried, edges = tried.unionByName(pairs), edges.unionByName(cut(_alike(docs, marks, members, pairs, similarity)))
         roots = cut(components(edges))
 
     def apart(shared: DataFrame) -> DataFrame:
@@ -133,12 +187,12 @@ def named(marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     shared = _grouped(members.select("node", F.explode("keys").alias("key")))
-    compare(stars(shared))
+    compare(stars(shared).unionByName(_by_fingerprint(members)))
     left = apart(shared)
     compare(crossed(left.where(f"size <= {SMALL}")))
     crowd = left.where(f"size > {SMALL}").select("node").distinct()
     if not crowd.isEmpty():
-        fine = _grouped(_fine(marks, crowd))
+        fine = _grouped(_fine(members, crowd))
         compare(stars(fine))
         compare(crossed(apart(fine)))
     found = members.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
@@ -153,15 +207,13 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     with a null doc_id stay if their component has no document with an id, all of them.
     """
     marks = stored(_marks(docs), "marks")
-    found = cut(marks.select("doc_id", "node").join(named(marks, similarity), "node"))
+    found = cut(marks.select("doc_id", "node").join(named(docs, marks, similarity), "node"))
     kept = found.where("doc_id = least").select(F.col("doc_id").alias("of")).distinct()
-    n = fresh("n", docs.columns)
-    with_id = docs.join(kept, docs["doc_id"] == kept["of"], "left_semi")
-    with_id = with_id.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))).where(F.col(n) == 1).drop(n)
+    with_id = first_by_id(docs.join(kept, docs["doc_id"] == kept["of"], "left_semi"))
     nameless = docs.where("doc_id IS NULL")
     if nameless.isEmpty():
         return with_id
     alone = found.where("doc_id IS NULL AND least IS NULL").select(F.col("node").alias("of")).distinct()
     name = fresh("node", docs.columns)
-    marked = nameless.withColumn(name, F.udf(lambda t: node(shingle_set(t)), "long")("text"))
+    marked = with_mark(nameless, name, lambda t: node(shingle_set(t)))
     return with_id.unionByName(marked.join(alone, marked[name] == alone["of"], "left_semi").drop(name))

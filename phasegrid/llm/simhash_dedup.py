@@ -6,21 +6,23 @@ entries lie in Gray order; the upmost nodes fix the leading block, and lower nod
 their entries share, as (mask, pattern). A search adds up differences from the top and drops a node with
 all it holds once they exceed the radius. If two fingerprints differ in at most `radius` bits, some block
 is equal in both, so they meet below one upmost node of some index: the result is exact. Upmost nodes are
-what Spark shuffles by; a crowded one is searched in slices by several tasks.
+what Spark shuffles by. A crowded one is parted: of radius + k blocks of its entries' other bits, two that lie within
+the radius agree in k, so the entries go below a node for each choice of k blocks, with k growing for as long as nodes are crowded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import reduce
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, partitions, rows, stored, table
+from .common import first_by_id, fresh, partitions, rows, stored, table, with_mark
 from .components import components
 
 FANOUT = 8
@@ -134,18 +136,16 @@ def _search(radius: int, most_pairs: int):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        col = lambda n: np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in got])
-        code, turn, bucket, slice_, asks = col("fp").view(np.uint64), col("turn").astype(np.uint64), col("bucket"), col("slice"), col("asks")
+        code, turn, bucket = (np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in got]) for n in ("fp", "turn", "bucket"))
+        code, turn = code.view(np.uint64), turn.astype(np.uint64)
         turned = (code << turn) | (code >> ((np.uint64(64) - turn) % np.uint64(64)))
-        order = np.lexsort((gray_rank(turned), slice_, bucket))
-        code, turned, asks = code[order], turned[order], asks[order]
-        bucket, slice_ = bucket[order], slice_[order]
-        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (slice_[1:] != slice_[:-1])]
-        group = np.cumsum(new) - 1
+        order = np.lexsort((gray_rank(turned), bucket))
+        code, turned, bucket = code[order], turned[order], bucket[order]
+        group = np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]]) - 1
         index = GrayIndex(turned, group)
         sizes = np.bincount(group)
         parent = np.arange(len(code))
-        ask = np.flatnonzero(asks & (sizes[group] > 1))
+        ask = np.flatnonzero(sizes[group] > 1)
         for part in np.split(ask, np.flatnonzero(np.diff(np.cumsum(sizes[group[ask]]) // most_pairs)) + 1):
             if len(part):
                 who, entry = index.search(turned[part], group[part], part, radius)
@@ -157,22 +157,37 @@ def _search(radius: int, most_pairs: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 4, slice_rows: int = 50_000, most_pairs: int = 4_000_000) -> DataFrame:
+def _parted(entries: DataFrame, cuts: list[int], k: int, radius: int) -> DataFrame:
+    """entries(fp, turn, bucket), each in a bucket of its bucket for each choice of k of radius + k blocks of the bits behind the leading block."""
+    lead, blocks = max(y - x for x, y in zip(cuts, cuts[1:])), radius + k
+    ends = [lead + round(i * (64 - lead) / blocks) for i in range(blocks + 1)]
+    masks = [sum(((1 << (ends[b + 1] - ends[b])) - 1) << (64 - ends[b + 1]) for b in chosen) for chosen in combinations(range(blocks), k)]
+    turned = F.coalesce(*[F.when(F.col("turn") == t, F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", 64 - t)) if t else F.col("fp")) for t in cuts[:-1]])
+    keys = F.array(*[F.xxhash64("bucket", F.lit(i), turned.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks)])
+    return entries.select("fp", "turn", F.explode(keys).alias("bucket"))
+
+
+def links(distinct: DataFrame, radius: int = 4, crowd: int = 50_000, deepest: int = 3, most_pairs: int = 4_000_000) -> DataFrame:
     """Edges (a, b) that connect the fingerprints of distinct(fp) differing in at most radius bits.
 
     Not all such pairs, but enough to have the same connected components: what is linked below an upmost
-    node becomes edges to its least member, so no group's pairs are written out.
+    node becomes edges to its least member, so no group's pairs are written out. Nodes of over crowd entries are parted
+    up to deepest times; fingerprints that then still share a node share over half their bits.
     """
     n, cuts = radius + 1, [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
     blocks = F.array(*[F.struct(F.lit(cuts[i]).alias("turn"), (F.lit(i).cast("long") * F.lit(1 << 32) + F.shiftrightunsigned(F.shiftleft("fp", cuts[i]), 64 - (cuts[i + 1] - cuts[i]))).alias("bucket")) for i in range(n)])
-    entries = distinct.select("fp", F.explode(blocks).alias("x")).select("fp", "x.*")
-    slices = F.ceil(F.count("*") / slice_rows).cast("int").alias("slices")
-    crowd = entries.groupBy("bucket").agg(F.count("*").alias("n"), slices).where("n > 1").drop("n")
-    spread = entries.join(crowd, "bucket").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
-    spread = spread.select("fp", "turn", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    spread = spread.select("fp", "turn", "bucket", "slice", (F.col("slice") == F.col("own")).alias("asks"))
-    spread = spread.repartition(partitions(distinct.sparkSession), "bucket", "slice")
-    return spread.mapInArrow(_search(radius, most_pairs), "a long, b long")
+    entries, ready = distinct.select("fp", F.explode(blocks).alias("x")).select("fp", "x.*"), []
+    for k in range(deepest):
+        sizes = stored(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        ready.append(entries.join(sizes.where(F.col("n") <= crowd), "bucket", "left_semi"))
+        over = sizes.where(F.col("n") > crowd)
+        if over.isEmpty():
+            break
+        entries = _parted(stored(entries.join(over, "bucket", "left_semi"), "crowded"), cuts, k + 1, radius)
+    else:
+        ready.append(entries)
+    spread = reduce(DataFrame.unionByName, ready).repartition(partitions(distinct.sparkSession), "bucket")
+    return spread.select("fp", "turn", "bucket").mapInArrow(_search(radius, most_pairs), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -200,9 +215,7 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """
     found = near_duplicates(docs, width=width, radius=radius)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("of")).distinct()
-    n = fresh("n", docs.columns)
-    named = docs.join(kept, docs["doc_id"] == kept["of"], "left_semi")
-    named = named.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))).where(F.col(n) == 1).drop(n)
+    named = first_by_id(docs.join(kept, docs["doc_id"] == kept["of"], "left_semi"))
     nameless = docs.where("doc_id IS NULL")
     alone = found.where("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
     return named if nameless.isEmpty() else named.unionByName(_nameless(nameless, alone, width, fresh("fp", docs.columns)))
@@ -210,9 +223,8 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
 
 def _nameless(docs: DataFrame, alone: DataFrame, width: int, name: str) -> DataFrame:
     """The rows of docs whose fingerprint is among alone(fp)."""
-    mark = F.udf(lambda t: majority(shingle_hashes(t, width)), "long")
-    marked = docs.withColumn(name, mark(F.col("text")))
     alone = alone.select(F.col("fp").alias("of"))
+    marked = with_mark(docs, name, lambda t: majority(shingle_hashes(t, width)))
     return marked.join(alone, marked[name] == alone["of"], "left_semi").drop(name)
 
 

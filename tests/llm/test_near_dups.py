@@ -78,7 +78,7 @@ def test_links_of_many_close_fingerprints(spark):
     codes = sorted(codes)
     signed = [c - 2**64 if c >> 63 else c for c in codes]
     df = spark.createDataFrame([(c,) for c in signed], "fp long")
-    edges = S.links(df, slice_rows=100, most_pairs=1000)
+    edges = S.links(df, crowd=100, most_pairs=1000)
     assert edges.count() <= 5 * 2 * len(codes)
     found = {r.node: r.root for r in components.components(edges).collect()}
     want = brute_components(range(len(codes)), codes, 4)
@@ -99,6 +99,28 @@ def test_gray_index_is_exact():
     assert set(zip(who.tolist(), entry.tolist())) == want
 
 
+@pytest.mark.parametrize("crowd,deepest", [(50_000, 3), (40, 3), (5, 2), (2, 1)])
+def test_links_of_crowded_blocks_equal_brute_force(spark, crowd, deepest):
+    rng = np.random.default_rng(9)
+    lead = int(rng.integers(2**12)) << 52
+    codes = [lead | int(c) for c in rng.integers(0, 2**52, 120)]
+    for c in codes[:60]:
+        for d in (1, 3, 4, 5, 6):
+            x = c
+            for b in rng.choice(64, d, replace=False):
+                x ^= 1 << int(b)
+            codes.append(x)
+    signed = [c - 2**64 if c >> 63 else c for c in codes]
+    edges = S.links(spark.createDataFrame([(c,) for c in signed], "fp long").distinct(), crowd=crowd, deepest=deepest)
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    assert [got.get(c, c) for c in signed] == brute_components(signed, codes, 4)
+
+
+def test_one_of_each_ignores_map_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", {"k": 1}), (2, "a b c d e", {"k": 2}), (None, "x y z", None), (1, "a b c d e", {"k": 3})], "doc_id long, text string, extra map<string,int>")
+    assert sorted((r.doc_id for r in S.one_of_each(docs).collect()), key=repr) == [1, None]
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
@@ -159,7 +181,28 @@ def test_block_tables_find_all_within_the_radius(spark, radius, keep):
     assert got == want
 
 
-def test_query_columns(spark):
-    got = fingerprint.op8_fingerprint(spark, "/root/testdata/sf0.001")
-    assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    assert got.where(~F.col("near_edited").between(0, 1)).count() == 0 and got.count() == 200
+def brute_term_fingerprint(text):
+    """Each term's hash votes bit by bit with weight 1 + ln(count)."""
+    words = (text or "").lower().split()
+    terms = [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]
+    counts = {t: terms.count(t) for t in terms}
+    hashes = {t: xxhash.xxh3_64_intdigest(t.encode()) for t in counts}
+    votes = [sum((1 + np.log(n)) * (1 if hashes[t] >> b & 1 else -1) for t, n in counts.items()) for b in range(64)]
+    return sum(1 << b for b in range(64) if votes[b] > 0)
+
+
+def test_query_equals_brute_force(spark):
+    got = {r.doc_id: r for r in fingerprint.op8_fingerprint(spark, "/root/testdata/sf0.001").collect()}
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    short = [(i, t) for i, t in docs if len(t) < 4000]
+    marks = {i: fingerprint.fingerprint(t) & (2**64 - 1) for i, t in docs}
+    assert len(short) > 100 and all(marks[i] == brute_term_fingerprint(t) for i, t in short[:60])
+    far = lambda x, y: bin(x ^ y).count("1")
+    for (i, t), (j, n) in zip(docs, docs[1:] + docs[:1]):
+        half = len(t) // 2
+        e = t[: len(t) - half] + n[:half]
+        mark = fingerprint.fingerprint(e) & (2**64 - 1)
+        want = (i, len(t), hashlib.sha256(e.encode()).hexdigest(), f"{marks[i]:016x}", f"{mark:016x}", 1 - far(marks[i], mark) / 64, 1 - far(marks[i], marks[j]) / 64)
+        near = len({m for m in marks.values() if 0 < far(m, marks[i]) <= 3}) if i % 50 == 0 else None
+        assert tuple(got[i]) == (*want, near)
+    assert len(got) == len(docs) == 200
