@@ -8,7 +8,7 @@ import struct
 from functools import lru_cache
 
 #: Bytes in each of a cache's two generations, with ENTRY for what a piece takes besides its text and ids. A worker has two caches.
-ROOM, ENTRY = 40 << 20, 160
+ROOM, ENTRY = 24 << 20, 200
 #: Longer pieces recur too seldom to be kept.
 LONGEST = 64
 #: A space whose next character isn't white space: no token crosses it from the left.
