@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +78,52 @@ def distances(targets: DataFrame, panel: DataFrame, metric: str = "hamming", n_s
     return joined.select("sample_idx", "which", "hap_id", far.alias("distance"))
 
 
+def _blocks(haps: DataFrame, per: int) -> tuple[DataFrame, int]:
+    """(block, ids, words) with about per haplotypes of haps(hap_id, words) in each row; how many blocks."""
+    n = max(1, -(-haps.count() // per))
+    each = F.sort_array(F.collect_list(F.struct("hap_id", "words")))
+    dealt = haps.groupBy(F.pmod(F.xxhash64("hap_id"), F.lit(n)).cast("int").alias("block")).agg(each.alias("x"))
+    return dealt.select("block", F.transform("x", lambda h: h["hap_id"]).alias("ids"), F.flatten(F.transform("x", lambda h: h["words"])).alias("words")), n
+
+
+def _longest_equal(a: np.ndarray, b: np.ndarray, n_sites: int) -> np.ndarray:
+    """(a, b): the longest run of equal sites of each two rows of words."""
+    bits = [np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")[:, :n_sites] for x in (a, b)]
+    at, out = np.arange(1, n_sites + 1), np.empty((len(a), len(b)), np.int64)
+    for i, row in enumerate(bits[0]):
+        last = np.maximum.accumulate(np.where(bits[1] != row, at, 0), axis=1)
+        out[i] = (at - last).max(1)
+    return out
+
+
+def near_distances(targets: DataFrame, panel: DataFrame, k: int, metric: str = "hamming", n_sites: int | None = None, per: int = 1024) -> DataFrame:
+    """The rows of distances() that nearest() needs for k neighbours, and few others: each target's nearest of each block of the panel.
+
+    Targets and panel are dealt into blocks of about per haplotypes; each two blocks meet in one task, which keeps a target's k + 1
+    nearest of the panel's block. So what is written is targets x blocks x k rows, and nothing is sent to all tasks.
+    """
+    mine, _ = _blocks(targets, per)
+    theirs, n = _blocks(panel, per)
+    met = mine.select(F.col("ids").alias("t"), F.col("words").alias("tw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(theirs, "block")
+    keep = 2 * ((k + 1) // 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.select(["t", "tw", "ids", "words"]).to_pylist():
+                t, p = np.array(row["t"]), np.array(row["ids"])
+                a, b = (np.array(row[c], np.int64).view(np.uint64).reshape(len(i), -1) for c, i in (("tw", t), ("words", p)))
+                far = n_sites - _longest_equal(a, b, n_sites) if metric != "hamming" else np.stack([np.bitwise_count(b ^ x).sum(1, dtype=np.int64) for x in a])
+                own = (t // 2)[:, None] == (p // 2)[None]
+                order = np.lexsort((np.broadcast_to(p, far.shape), far, own), axis=1)[:, :keep]
+                i = np.repeat(np.arange(len(t)), order.shape[1])
+                j = order.ravel()
+                i, j = i[~own[i, j]], j[~own[i, j]]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip((t[i] // 2, t[i] % 2, p[j], far[i, j]), kinds)], ["sample_idx", "which", "hap_id", "distance"])
+
+    return met.mapInArrow(run, "sample_idx long, which int, hap_id long, distance long")
+
+
 def nearest(dist: DataFrame, k: int) -> DataFrame:
     """(sample_idx, rank, hap_id): for each sample ceil(k / 2) neighbours of its first haplotype and as many others of its second, alternating; ties go to the lesser haplotype."""
     half = (k + 1) // 2  # a k beyond the panel takes all of it, as far as both halves reach

@@ -13,7 +13,7 @@ from ..sources import readers, writers
 from ..streaming import pileup
 from . import engine
 from .bridge import HAPS, MU, NS, NV, u
-from .queries import _AB, _CODED, CELL, _ab, _coded, query, r6
+from .queries import _AB, _BOOK, _CODED, CELL, _ab, _coded, query, r6
 from .scratch import scratch
 
 
@@ -78,10 +78,12 @@ def _(b):
     return readers.read_gmap(b.spark, path)
 
 
-@query("k01_vcf_cells", f"SELECT sample_idx, site_idx, CASE WHEN rr >= het AND rr >= aa THEN '0|0' WHEN het >= rr AND het >= aa THEN CASE WHEN a > b THEN '1|0' ELSE '0|1' END ELSE '1|1' END AS gt, round(CASE WHEN a = 0 THEN 380.0 WHEN a = 1 THEN 0.0 ELSE -10 * log10(a) END, 1) AS app FROM (SELECT *, (1 - a) * (1 - b) AS rr, (1 - a) * b + a * (1 - b) AS het, a * b AS aa FROM (SELECT sample_idx, site_idx, round(a, 2) AS a, round(b, 2) AS b FROM {_AB})) WHERE a > 0.2 OR a = 0")
+_PHRED = lambda x: f"printf('%.3g', CASE WHEN {x} = 0 THEN 380.0 WHEN {x} = 1 THEN 0.0 ELSE abs(-10 * log10({x})) END)"
+
+
+@query("k01_vcf_cells", f"SELECT sample_idx, site_idx, CASE WHEN rr >= het AND rr >= aa THEN '0|0' WHEN het >= rr AND het >= aa THEN CASE WHEN a > b THEN '1|0' ELSE '0|1' END ELSE '1|1' END || ':' || {_PHRED('rr')} || ',' || {_PHRED('het')} || ',' || {_PHRED('aa')} || ':' || {_PHRED('a')} || ',' || {_PHRED('b')} AS cell FROM (SELECT *, (1 - a) * (1 - b) AS rr, (1 - a) * b + a * (1 - b) AS het, a * b AS aa FROM (SELECT sample_idx, site_idx, round(a, 2) AS a, round(b, 2) AS b FROM {_AB}))")
 def _(b):
-    cells = writers.vcf_cells(_ab(b).select(*CELL, F.round("a", 2).alias("p_a"), F.round("b", 2).alias("p_b")).where("p_a > 0.2 OR p_a = 0"))
-    return cells.select(*CELL, F.substring_index("cell", ":", 1).alias("gt"), F.round(F.split(F.split("cell", ":")[2], ",")[0].cast("double"), 1).alias("app"))
+    return writers.vcf_cells(_ab(b).select(*CELL, F.round("a", 2).alias("p_a"), F.round("b", 2).alias("p_b")))
 
 
 @query("k02_plain_cells", f"SELECT sample_idx, site_idx, CASE WHEN rr >= het AND rr >= aa THEN '0|0' WHEN het >= rr AND het >= aa THEN CASE WHEN a > b THEN '1|0' ELSE '0|1' END ELSE '1|1' END || printf(':%.3f,%.3f', a, b) AS cell FROM (SELECT *, (1 - a) * (1 - b) AS rr, (1 - a) * b + a * (1 - b) AS het, a * b AS aa FROM (SELECT sample_idx, site_idx, round(a, 3) AS a, round(b, 3) AS b FROM {_AB}))")
@@ -124,7 +126,10 @@ def _(b):
     return b.gl.select(*CELL, S.draw(F.array("rr", "het", "aa"), uniform("f26", F.col("sample_idx"), F.col("site_idx"))).alias("dosage"))
 
 
-@query("w06_quantised_loglik")
+_COARSE = f"SELECT c.sample_idx, c.site_idx, k.crr AS rr, k.chet AS het, greatest(1 - k.crr - k.chet, 0.0) AS aa FROM {_CODED} c JOIN {_BOOK} k USING (code)"
+
+
+@query("w06_quantised_loglik", f"SELECT sample_idx, round(score, 6) AS loglik FROM fw WHERE site_idx = {NV - 1}", likelihoods=_COARSE)
 def _(b):
     book = quantise.first_codebook(b.spark)
     words = quantise.pack_codes(_coded(b))
@@ -197,15 +202,14 @@ def _(b):
 
 @query("k05_proposal_log")
 def _(b):
-    p = _window(b)
-    run = engine.Run(p, _SMALL)
-    s = kernel.solve(p.window, run.haps, np.arange(NS), run.choice(0), 6, 1.0, 7, 0, keep_log=True)
-    return b.spark.createDataFrame(s.log, "sample_idx long, proposal int, loglik double, accepted boolean, p0 long, p1 long, p2 long, p3 long")
+    """The first generation's proposals of Metropolis steps and of chains, as rows that the tasks write."""
+    logs = [engine.proposal_log(b.spark, _window(b), PhaseConfig(algorithm=a, annealing_gens=2, burnin_gens=2, sampling_gens=4, nested_gens=6, seed=7)).withColumn("algorithm", F.lit(a)) for a in (0, 1)]
+    return logs[0].unionByName(logs[1])
 
 
 @query("k06_progress")
 def _(b):
-    run = engine.run_local(_window(b), _SMALL)
+    run = engine.phase(b.spark, _window(b), _SMALL)
     return b.spark.createDataFrame(run.report, "generation int, penalty double, mean_loglik double")
 
 

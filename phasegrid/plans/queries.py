@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import region as regions
 from ..functions import scalar as S
 from ..operators import hmm, match, panel, quantise, sampling, tally
-from ..rng import uniform
+from ..rng import hash32, uniform
 from . import bridge as B
 from .bridge import HAPS, MU, NS, NV, ORACLE_VIEWS, Bridge, u
 
@@ -18,13 +18,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a function of the bridge views under a name, with its SQL over the same views."""
+def query(name: str, sql: str | None = None, likelihoods: str | None = None):
+    """Registers a function of the bridge views under a name, with its SQL over the same views; likelihoods: SQL that stands for them in the folds."""
+    views = ORACLE_VIEWS
+    if likelihoods:
+        views = views.replace("like4 AS (", f"coarse AS ({likelihoods}),\nlike4 AS (", 1).replace(" AS k3 FROM gl)", " AS k3 FROM coarse)", 1)
 
     def register(make: Callable[[Bridge], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: make(Bridge(spark, sf_dir))
         if sql:
-            ORACLES[name] = ORACLE_VIEWS + sql
+            ORACLES[name] = views + sql
         return make
 
     return register
@@ -284,10 +287,18 @@ def _(b):
     return match.filter_sites(_panel_rows(b), b.sites).select("hap_id", "site_idx", "allele")
 
 
-@query("j02_site_lookup", "SELECT s.site_idx, count(*) AS n FROM lineitem JOIN sites s ON s.pos = 100000 + 1000 * (l_partkey % 128) + (s.pos - 100000) % 1000 AND s.chr = '20' WHERE s.site_idx = l_partkey % 128 GROUP BY 1")
+_ASKED = f"(SELECT '20' AS chr, 100000 + 1000 * i + hh % 997 AS pos, substr('ACGT', (hh % 4 + 1)::INT, 1) AS ref, substr('ACGT', ((hh + CASE WHEN odd THEN 2 ELSE 1 END) % 4 + 1)::INT, 1) AS alt FROM (SELECT l_partkey % {NV} AS i, l_linenumber = 7 AS odd, {B.h(f"'s:' || (l_partkey % {NV})")} AS hh FROM lineitem))"
+
+
+@query("j02_site_lookup", f"SELECT coalesce(s.site_idx, -1) AS site_idx, count(*) AS n FROM {_ASKED} a LEFT JOIN sites s ON s.chr = a.chr AND s.pos = a.pos AND s.ref = a.ref AND s.alt = a.alt GROUP BY 1")
 def _(b):
-    keys = b.table("lineitem").groupBy((F.col("l_partkey") % NV).alias("site_idx")).agg(F.count("*").alias("n"))
-    return keys.join(b.sites.select("site_idx"), "site_idx").select("site_idx", "n")
+    """Each line item asks for a site by all four parts; every seventh line names an allele that isn't there."""
+    i = F.col("l_partkey") % NV
+    asked = b.table("lineitem").select(i.alias("i"), (F.col("l_linenumber") == 7).alias("odd"), hash32(F.concat(F.lit("s:"), i)).alias("h"))
+    base = lambda k: F.substring(F.lit("ACGT"), ((F.col("h") + k) % 4 + 1).cast("int"), F.lit(1))
+    asked = asked.select(F.lit("20").alias("chr"), (100000 + 1000 * F.col("i") + F.col("h") % 997).alias("pos"), base(0).alias("ref"), F.when(F.col("odd"), base(2)).otherwise(base(1)).alias("alt"))
+    found = match.look_up(asked, b.sites, strict=False)
+    return found.groupBy(F.coalesce("site_idx", F.lit(-1)).alias("site_idx")).agg(F.count("*").alias("n"))
 
 
 _PS = "(SELECT sample_idx, CASE WHEN sample_idx < 6 THEN 'X' || sample_idx ELSE 'S' || lpad((29 - sample_idx)::VARCHAR, 3, '0') END AS sample_id FROM samples)"
@@ -330,6 +341,17 @@ def _(b):
     return match.map_location(b.sites, b.gmap).select("site_idx", "pos", F.round("cm", 9).alias("cm"))
 
 
+_TWO_MAPS = "(SELECT '20' AS chr, pos, cm FROM gmap UNION ALL SELECT '21', pos + 500, 3 * cm FROM gmap)"
+
+
+@query("j08_gmap_two_chromosomes", f"SELECT s.chr, s.site_idx, round(ca + (s.pos - a) * (cb - ca) / (b - a), 9) AS cm FROM (SELECT site_idx, chr, pos FROM sites UNION ALL SELECT site_idx, '21', pos FROM sites) s LEFT JOIN (SELECT chr, pos AS a, cm AS ca, lead(pos) OVER (PARTITION BY chr ORDER BY pos) AS b, lead(cm) OVER (PARTITION BY chr ORDER BY pos) AS cb FROM {_TWO_MAPS}) m ON m.chr = s.chr AND s.pos >= a AND s.pos < b")
+def _(b):
+    maps = b.gmap.select(F.lit("20").alias("chr"), "pos", "cm").unionByName(b.gmap.select(F.lit("21").alias("chr"), (F.col("pos") + 500).alias("pos"), (3 * F.col("cm")).alias("cm")))
+    sites = b.sites.select("site_idx", "chr", "pos")
+    both = sites.unionByName(sites.withColumn("chr", F.lit("21")))
+    return match.map_location(both, maps).select("chr", "site_idx", F.round("cm", 9).alias("cm"))
+
+
 @query("j09_gmap_distance", "SELECT site_idx, round(morgans, 9) AS morgans FROM dist")
 def _(b):
     return match.map_distance(match.map_location(b.sites, b.gmap)).select("site_idx", F.round("morgans", 9).alias("morgans"))
@@ -408,7 +430,7 @@ _KNN = f"""(WITH d AS (SELECT hap_a // 2 AS sample_idx, hap_a % 2 AS which, hap_
 
 def _knn(b):
     packed = panel.pack(b.alleles)
-    return panel.nearest(panel.distances(packed.where(F.col("hap_id") < 2 * NS), packed), 4)
+    return panel.nearest(panel.near_distances(packed.where(F.col("hap_id") < 2 * NS), packed, 4, per=16), 4)
 
 
 @query("t01_knn_topk", f"SELECT * FROM {_KNN}")
