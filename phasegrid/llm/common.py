@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -66,11 +66,15 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a row's columns; maps, which Spark doesn't hash, are left out."""
+    return F.xxhash64(*[docs[c] for c, t in docs.dtypes if "map<" not in t and t != "variant"])
+
+
 def first_by_id(docs: DataFrame) -> DataFrame:
-    """One row of docs for each doc_id: the first by the hash of its columns (maps, which have none, left out)."""
+    """One row of docs for each doc_id: the first by its hash."""
     n = fresh("n", docs.columns)
-    hashed = [F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t and t != "variant"])]
-    return docs.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(*hashed))).where(F.col(n) == 1).drop(n)
+    return docs.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(row_hash(docs)))).where(F.col(n) == 1).drop(n)
 
 
 def with_mark(docs: DataFrame, name: str, mark: Callable[[str | None], int]) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, fresh, stored, table
+from .common import SPACES, WORD, fresh, row_hash, stored, table
 
 OCTAVE = 1024
 
@@ -86,7 +86,7 @@ def mixed(docs: DataFrame, seed: str = "mix", cap: int = 3) -> DataFrame:
     h, n = fresh("h", columns), fresh("n", columns)
     total = mix(docs, seed, cap, whole=True).groupBy(F.col("doc_id").alias("of"), "row_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     docs = docs.withColumn(h, F.xxhash64("text"))
-    docs = docs.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.xxhash64(*columns))))
+    docs = docs.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(row_hash(docs))))
     joined = docs.join(total, docs["doc_id"].eqNullSafe(total["of"]) & (docs[h] == total["row_hash"]))
     times = F.floor(total["copies"] / total["rows"]) + (docs[n] <= total["copies"] % total["rows"]).cast("long")
     return joined.select(*[docs[c] for c in columns], F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(n)).drop(n)

@@ -182,34 +182,96 @@ def test_a_head_with_part_of_the_passage_hides_no_link_of_the_others(spark):
     assert len(got & {(10 * k + 2, 10 * k + 1) for k in range(40)}) >= 38
 
 
-def test_pipeline_stages_follow_on(spark):
-    import corpus_pipeline as C
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage over what the one before kept, against loops over its rows that share no code with it."""
+    import zlib
+    from collections import Counter
 
-    from phasegrid.llm import langid, mixing, simhash_dedup
+    import corpus_pipeline as C
+    from test_models import brute_grams, brute_mixture
+    from test_near_copies import brute
+    from test_rules_mix_chat import WORD, brute_targets
+    from tokenizers import Tokenizer
+
+    from phasegrid.llm.tokens import default_path
+
+    docs = stored(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 150").select("doc_id", "text", "lang", "source", "n_chars"), "docs")
+    before, stages = {r.doc_id: r for r in docs.collect()}, dict(C.STAGES)
+    read = lambda df: sorted(df.collect(), key=lambda r: (r.doc_id, r.text))
+
+    out = stored(stages["language"](spark, docs, ""), "language")
+    counts = {}
+    for i, r in before.items():
+        if r.text is not None and r.lang is not None and zlib.crc32(str(i).encode()) % 5:
+            counts.setdefault(r.lang, Counter()).update(brute_grams(r.text))
+    totals = {x: sum(c.values()) + 0.5 * 65536 for x, c in counts.items()}
+    rows = {r.doc_id: r for r in read(out)}
+    asked = [i for i, r in before.items() if len(r.text or "") < 1500][:50]
+    for i in asked:
+        text = before[i].text or ""
+        assert (i in rows) == (any(c.isalpha() for c in text) and sum(brute_mixture(text, counts, totals).values()) >= 0.5)
+    assert len(asked) > 25 and all(tuple(r) == tuple(before[i]) for i, r in rows.items())
+
+    before, docs = rows, out
+    out = stored(stages["near_copies"](spark, docs, ""), "near_copies")
+    ids = sorted(before)
+    rows = {r.doc_id: r for r in read(out)}
+    assert sorted(rows) == sorted({ids[k] for k in brute([before[i].text for i in ids], 0.8)}) and all(tuple(r) == tuple(before[i]) for i, r in rows.items())
+
+    before, docs = rows, out
+    out = stored(stages["passages"](spark, docs, ""), "passages")
+    words = {i: (r.text or "").lower().split() for i, r in before.items()}
+    rows = {r.doc_id: r for r in read(out)}
+    left = {i: (r.text or "").lower().split() for i, r in rows.items()}
+    held = repeated(words, 50)
+    assert held and len(repeated(left, 50)) <= 0.03 * len(held)
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    clean = [i for i in words if all(len(shingles[i] & shingles[j]) < 25 for j in words if j < i)]
+    assert len(clean) > 20 and all(rows[i].text == before[i].text for i in clean)
+    assert all(r.n_chars == len(r.text) for i, r in rows.items() if r.text != before[i].text)
+
+    before, docs = rows, out
+    out = stored(stages["mix"](spark, docs, ""), "mix")
+    sizes, taken = Counter(), Counter()
+    for r in before.values():
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+    copies = Counter(r.doc_id for r in read(out))
+    for i, n in copies.items():
+        taken[before[i].source] += n * len(WORD.findall(before[i].text or ""))
+    longest = {x: max(len(WORD.findall(r.text or "")) for r in before.values() if r.source == x) for x in sizes}
+    for x, target in brute_targets(dict(sizes)).items():
+        assert abs(taken[x] - target) <= longest[x] and all(int(target // sizes[x]) <= copies[i] <= int(target // sizes[x]) + 1 for i, r in before.items() if r.source == x)
+
+    packed = stages["pack"](spark, out, "").collect()
+    t = Tokenizer.from_file(default_path())
+    place = {}
+    for r in packed:
+        place.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in place.values():
+        spans.sort()
+        assert all(a == sum(n for _, n in spans[:k]) for k, (a, _) in enumerate(spans)) and sum(n for _, n in spans) <= 1024
+    pieces = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed)
+    want = Counter()
+    for i, n in copies.items():
+        ids = np.array([*t.encode(before[i].text, add_special_tokens=False).ids, 0], "<u4")
+        for at in range(0, len(ids), 1024):
+            want[i, at, len(ids[at : at + 1024]), zlib.crc32(ids[at : at + 1024].tobytes())] += n
+    assert pieces == want
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    import corpus_pipeline as C
 
-    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
-    docs = stored(rows.selectExpr("doc_id", "text", "lang", "source", "n_chars"), "docs")
-    before = docs
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans int, node int, keys string, `of` int, n int, a int, extra map<string,int>"
+    good = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40").collect()
+    tail = (1, 2, "k", 3, 4, 5, {"x": 1})
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, *tail) for r in good]
+    rows += [rows[3], rows[3], (None, rows[5][1], None, None, None, *[None] * 7), (500, None, None, None, None, *tail), (501, "", "en", "s", 0, *tail), (502, rows[7][1], "en", None, 5, *tail), (503, "\n".join([rows[9][1]] * 60), "en", "s", 9, *tail)]
+    docs = spark.createDataFrame(rows, schema)
+    before, n = docs, len(rows)
     for name, stage in C.STAGES:
         out = stored(stage(spark, before, ""), name)
         if name != "pack":
-            assert out.columns == docs.columns and out.count() > 0
-        ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
-        if name == "language":
-            model = langid.fit(before.where(~langid.held_out(5, 0)))
-            assert ids == {r.doc_id for r in before.collect() if sum(model.mixture(r.text).values()) >= 0.5}
-        if name == "near_copies":
-            assert ids == {r.component_id for r in simhash_dedup.near_duplicates(before).collect()}
-        if name == "passages":
-            from phasegrid.llm.substring_dedup import near_passages
-
-            assert near_passages(out).count() <= 0.02 * out.count() + 1
-        if name == "mix":
-            want = {r.doc_id: r.copies for r in mixing.mix(before, whole=True).collect() if r.copies}
-            assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == want
-        if name == "pack":
-            assert out.agg({"length": "sum"}).first()[0] > 0 and ids == {r.doc_id for r in before.collect()}
-        before = out
-    empty = docs.limit(0)
-    for _, stage in C.STAGES:
-        assert stage(spark, empty, "").count() == 0
+            assert out.schema == docs.schema and 0 < out.count() <= 3 * n
+        assert stage(spark, docs.limit(0), "").count() == 0
+        before, n = out, out.count()
