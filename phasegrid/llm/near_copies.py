@@ -3,7 +3,7 @@
 Candidates come from operator 1 (SimHash fingerprints over the same shingles, linked by its Gray-order indexes) and, since its radius
 reaches few pairs at a similarity of 0.8, from MinHash: sets that share a band of minima under several hash functions. A
 signature of SIGNS minima decides on pairs that are clearly alike or clearly not; for those within SURE of the similarity the sets
-themselves do, made anew from the texts. Equal sets are one node from the start. In a band's group each node is compared with the one
+themselves do. Both are made anew from the texts, once, for the sets that have a candidate. Equal sets are one node from the start. In a band's group each node is compared with the one
 that meets most others, and then, in groups of up to SMALL, all pairs that aren't connected yet. The nodes of greater groups
 that are still apart get finer keys, which hardly join what is less alike; there all pairs that aren't connected are compared.
 So only families that stay just below the similarity cost the square of their size.
@@ -43,14 +43,14 @@ def node(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """The least of SIGNS hash functions over the set, 32 bits of each; nothing for an empty set."""
+def signature(found: np.ndarray, n: int = SIGNS) -> np.ndarray:
+    """The least of n hash functions over the set, 32 bits of each; nothing for an empty set."""
     if not len(found):
         return np.empty(0, np.uint32)
-    least = np.full(SIGNS, ~np.uint64(0))
+    least, odd, plus = np.full(n, ~np.uint64(0)), _ODD[:n], _PLUS[:n]
     for at in range(0, len(found), 1024):
-        x = (found[at : at + 1024] ^ _PLUS) * _ODD
-        least = np.minimum(least, ((x ^ (x >> np.uint64(32))) * _ODD).min(1))
+        x = (found[at : at + 1024] ^ plus) * odd
+        least = np.minimum(least, ((x ^ (x >> np.uint64(32))) * odd).min(1))
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
@@ -67,21 +67,20 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, fp, keys, sign) of every row."""
+    """(doc_id, node, fp, keys) of every row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows(batches, 128):
             hashes = [shingle_hashes(t, WIDTH) for t in texts]
             sets = [np.unique(h) for h in hashes]
-            signs = [signature(s) for s in sets]
-            columns = (ids, [node(s) for s in sets], [majority(h) for h in hashes], [keys(s) for s in signs], [s.tobytes() for s in signs])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "node", "fp", "keys", "sign"])
+            columns = (ids, [node(s) for s in sets], [majority(h) for h in hashes], [keys(signature(s, BANDS[0].size)) for s in sets])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "node", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, node long, fp long, keys array<long>, sign binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, node long, fp long, keys array<long>")
 
 
-def _estimated(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) with the share of equal minima in their signatures."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,34 +88,39 @@ def _estimated(pairs: DataFrame, members: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint32).reshape(-1, SIGNS) for n in ("x", "y"))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).mean(1))], ["a", "b", "alike"])
 
-    mine = pairs.join(members.select(F.col("node").alias("a"), F.col("sign").alias("x")), "a")
-    both = mine.join(members.select(F.col("node").alias("b"), F.col("sign").alias("y")), "b").where("length(x) > 0 AND length(y) > 0")
+    mine = pairs.join(sets.select(F.col("node").alias("a"), F.col("sign").alias("x")), "a")
+    both = mine.join(sets.select(F.col("node").alias("b"), F.col("sign").alias("y")), "b").where("length(x) > 0 AND length(y) > 0")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, alike double")
 
 
+def _few(ids: DataFrame, most: int = 250_000) -> DataFrame:
+    """ids, a stored column of numbers; sent to all tasks if there are at most `most`, 4 MB, and else joined by a shuffle."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def _sets(docs: DataFrame, marks: DataFrame, asked: DataFrame) -> DataFrame:
-    """(node, found): the sets of the nodes asked for, from one text of each."""
-    wanted = marks.join(asked, marks["node"] == asked["of"], "left_semi")
-    holders = wanted.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(holders, F.col("doc_id") == F.col("id"), "left_semi").select("text")
-    nameless = wanted.where("doc_id IS NULL")
-    if not nameless.isEmpty():
+    """(node, found, sign): the sets of the nodes asked(of) for and their signatures, from one text of each."""
+    asked = stored(asked, "asked")
+    wanted = marks.join(_few(asked), marks["node"] == asked["of"], "left_semi")
+    holders = stored(wanted.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct(), "holders")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(_few(holders), F.col("doc_id") == F.col("id"), "left_semi").select("text")
+    if not wanted.where("doc_id IS NULL").isEmpty():
         texts = texts.unionByName(docs.where("doc_id IS NULL").select("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (some,) in rows(batches, 128):
             found = [shingle_set(t) for t in some]
-            yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "found"])
+            out = ([node(s) for s in found], [s.tobytes() for s in found], [signature(s).tobytes() for s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["node", "found", "sign"])
 
-    made = texts.mapInArrow(make, "node long, found binary").join(asked, F.col("node") == F.col("of"), "left_semi")
+    made = texts.mapInArrow(make, "node long, found binary, sign binary").join(_few(asked), F.col("node") == F.col("of"), "left_semi")
     return stored(made.dropDuplicates(["node"]), "sets")
 
 
-def _alike(docs: DataFrame, marks: DataFrame, members: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs(a, b) whose sets are similar enough."""
-    guessed = cut(_estimated(pairs, members).where(F.col("alike") > similarity - SURE))
+    guessed = cut(_estimated(pairs, sets).where(F.col("alike") > similarity - SURE))
     sure, unsure = guessed.where(F.col("alike") >= similarity + SURE).select("a", "b"), guessed.where(F.col("alike") < similarity + SURE).select("a", "b")
-    sets = _sets(docs, marks, unsure.select(F.explode(F.array("a", "b")).alias("of")).distinct())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +134,7 @@ def _alike(docs: DataFrame, marks: DataFrame, members: DataFrame, pairs: DataFra
     return sure.unionByName(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
-def _fine(members: DataFrame, crowd: DataFrame) -> DataFrame:
+def _fine(sets: DataFrame, crowd: DataFrame) -> DataFrame:
     """(node, key): the second level's keys of the nodes in crowd."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +142,7 @@ def _fine(members: DataFrame, crowd: DataFrame) -> DataFrame:
             out = [keys(np.frombuffer(x, np.uint32), 1) for x in signs]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "keys"])
 
-    signs = members.join(crowd, "node", "left_semi").select("node", "sign")
+    signs = sets.join(crowd, "node", "left_semi").select("node", "sign")
     return signs.mapInArrow(make, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
@@ -163,14 +167,14 @@ def _grouped(bands: DataFrame) -> DataFrame:
 
 def named(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root, least): of each node of marks, which are those of docs, its component and the component's least doc_id."""
-    members = stored(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "keys", "sign")]), "members")
+    members = stored(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "keys")]), "members")
     tried = edges = marks.sparkSession.createDataFrame([], "a long, b long")
     roots = marks.sparkSession.createDataFrame([], "node long, root long")
 
     def compare(pairs: DataFrame) -> None:
         nonlocal tried, edges, roots
         pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried, edges = tried.unionByName(pairs), edges.unionByName(cut(_alike(docs, marks, members, pairs, similarity)))
+        tried, edges = tried.unionByName(pairs), edges.unionByName(cut(_alike(pairs, sets, similarity)))
         roots = cut(components(edges))
 
     def apart(shared: DataFrame) -> DataFrame:
@@ -187,12 +191,14 @@ def named(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) ->
         return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     shared = _grouped(members.select("node", F.explode("keys").alias("key")))
-    compare(stars(shared).unionByName(_by_fingerprint(members)))
+    first = cut(stars(shared).unionByName(_by_fingerprint(members)))
+    sets = _sets(docs, marks, shared.select(F.col("node").alias("of")).unionByName(first.select(F.explode(F.array("a", "b")).alias("of"))).distinct())
+    compare(first)
     left = apart(shared)
     compare(crossed(left.where(f"size <= {SMALL}")))
     crowd = left.where(f"size > {SMALL}").select("node").distinct()
     if not crowd.isEmpty():
-        fine = _grouped(_fine(members, crowd))
+        fine = _grouped(_fine(sets, crowd))
         compare(stars(fine))
         compare(crossed(apart(fine)))
     found = members.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
