@@ -32,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: it is computed once, and a lost executor loses nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -55,7 +56,14 @@ def rows(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[tuple[l
             yield tuple(c.to_pylist() for c in part.columns)
 
 
+def small_batches(spark: SparkSession, n: int = 1000) -> None:
+    """Rows that hold whole texts go to Python n at a time, where the session still has Spark's default of ten times as many."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
