@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, WORD, fresh, row_hash, stored, table
 
 OCTAVE = 1024
+SYMBOLS, ENDS = r"[#*$%&|<>]", r"[.!?。]"
 
 
 def word_count(text):
@@ -23,9 +24,10 @@ def word_count(text):
 
 
 def quality_weight(text, size):
-    """Between 0 and 1: 1 at a mean word length of five characters, less the farther from it."""
-    mean = F.length(F.translate(text, SPACES, "")) / size
-    return F.when(size > 0, 1 / (1 + F.abs(mean - 5) / 5)).otherwise(F.lit(1.0))
+    """Between 0 and 1: less for symbols among the words, for few sentence ends, and the farther the mean word length is from five characters."""
+    mean, symbols, ends = F.length(F.translate(text, SPACES, "")) / size, F.regexp_count(text, F.lit(SYMBOLS)) / size, F.regexp_count(text, F.lit(ENDS)) / size
+    bare = F.greatest(F.lit(0.0), 0.04 - ends)
+    return F.when(size > 0, 1 / (1 + F.abs(mean - 5) / 5 + 10 * symbols + 25 * bare)).otherwise(F.lit(1.0))
 
 
 def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
@@ -104,7 +106,9 @@ WITH d AS (
 ), k AS (
   SELECT doc_id, source, source_key, size,
          -ln((('0x' || substr(md5('mix:' || doc_id), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-         / CASE WHEN size > 0 THEN 1 / (1 + abs(length(translate(text, {_SPACES_SQL}, ''))::DOUBLE / size - 5) / 5) ELSE 1.0 END AS key
+         / CASE WHEN size > 0 THEN 1 / (1 + abs(length(translate(text, {_SPACES_SQL}, ''))::DOUBLE / size - 5) / 5
+             + 10 * (len(regexp_extract_all(text, '{SYMBOLS}'))::DOUBLE / size)
+             + 25 * greatest(0.0::DOUBLE, 0.04::DOUBLE - len(regexp_extract_all(text, '{ENDS}'))::DOUBLE / size)) ELSE 1.0 END AS key
   FROM d
 ), s AS (
   SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS n
