@@ -8,7 +8,7 @@ import struct
 from functools import lru_cache
 
 #: Bytes in each of a cache's two generations, with ENTRY for what a piece takes besides its text and ids. A worker has two caches.
-ROOM, ENTRY = 24 << 20, 200
+ROOM, ENTRY = 48 << 20, 200
 #: Longer pieces recur too seldom to be kept.
 LONGEST = 64
 #: A space whose next character isn't white space: no token crosses it from the left.
@@ -72,7 +72,7 @@ class _Pieces(dict):
 class Encoder:
     """ids of a text as little-endian unsigned 32-bit integers, equal to those of the tokenizer for the whole text.
 
-    A text is cut at spaces where the pre-tokenizer ends a piece anyway; the pieces recur, and the tokenizer
+    A text is cut at lone line feeds and at spaces, where the pre-tokenizer ends a piece anyway; the pieces recur, and the tokenizer
     sees those that the cache doesn't hold. The vocabulary's special tokens, spelled out in a text, are the library's
     special ids; with plain=True they are text like any other.
     """
@@ -93,11 +93,15 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
-            return self._direct(text)
-        head, *parts = text.split(" ")
+        for s in self.special:
+            if s in text:
+                return self._direct(text)
+        first, ids_of, out = self.first, self.pieces.__getitem__, []
         try:
-            return (self.first[head] if head else b"") + b"".join(map(self.pieces.__getitem__, parts))
+            for line in text.split("\n"):
+                head, *parts = line.split(" ")
+                out.append(first[head] + b"".join(map(ids_of, parts)))
+            return first.feed.join(out)
         except _Joined:
             head, *parts = _CUT.split(text)
             return (self.first._lines(head) if head and not head[0].isspace() else self._direct(head)) + b"".join(map(self.pieces.__getitem__, parts))
