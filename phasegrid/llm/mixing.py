@@ -30,6 +30,11 @@ def quality_weight(text, size):
     return F.when(size > 0, 1 / (1 + F.abs(mean - 5) / 5 + 10 * symbols + 25 * bare)).otherwise(F.lit(1.0))
 
 
+def bin_of(key):
+    """The bin of a key: bins ascend with keys."""
+    return F.floor(OCTAVE * F.log2(key)).cast("int")
+
+
 def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     """(source_key, source_size, target) from sizes(source_key, source, source_size): one row for each source.
 
@@ -65,7 +70,7 @@ def mix(docs: DataFrame, seed: str = "mix", cap: int = 3, whole: bool = False, w
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), text_hash.cast("string"))).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
     rows = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("source_key"), "text", size.alias("size"))
     rows = rows.select("doc_id", "source", "source_key", "size", (-F.ln(u) / weight(F.col("text"), F.col("size"))).alias("key"), text_hash.alias("row_hash"))
-    rows = stored(rows.withColumn("bin", F.floor(OCTAVE * F.log2("key")).cast("int")), "mix")
+    rows = stored(rows.withColumn("bin", bin_of(F.col("key"))), "mix")
     goal = targets(rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), cap)
     bins = rows.groupBy("source_key", "bin").agg(F.sum("size").alias("bin_size"))
     before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

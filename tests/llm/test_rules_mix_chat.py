@@ -86,6 +86,15 @@ def brute_targets(sizes, cap=3):
             left -= target[s]
 
 
+@pytest.mark.parametrize("weight", ["0.004", "1", "0.1 + id % 7", "if(id % 3 = 0, 1e-6, 1)"])
+def test_bins_of_keys_are_even_whatever_the_weights(spark, weight):
+    keys = spark.range(200_000).select((-F.ln(F.rand(5)) / F.expr(weight)).alias("key"))
+    largest = keys.groupBy(mixing.bin_of(F.col("key")).alias("b")).count().agg(F.max("count")).first()[0]
+    assert largest < 2 * 200_000 * 0.00025 + 30
+    ends = keys.limit(1000).groupBy(mixing.bin_of(F.col("key")).alias("b")).agg(F.min("key").alias("a"), F.max("key").alias("z")).orderBy("b").collect()
+    assert all(x.z < y.a for x, y in zip(ends, ends[1:]))
+
+
 def mixture(spark):
     rows = [(i, "word " * (i % 37), f"s{i % 5}" if i % 11 else None, 0, "x", 1) for i in range(400)]
     rows += [(1000, "big " * 3000, "s9", 0, "x", 1), (1001, None, "s9", 0, "x", 1), (1002, "w", "tiny", 0, "x", 1), (1003, "", "nil", 0, "x", 1)]
