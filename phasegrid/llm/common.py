@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -85,6 +86,24 @@ def first_by_id(docs: DataFrame) -> DataFrame:
     return docs.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(row_hash(docs)))).where(F.col(n) == 1).drop(n)
 
 
+def ranked(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with `place`, from 0, among the rows that equal them in `by`, ascending in `order` (nulls first), and `total`, how many those are.
+
+    Rows are dealt out by ranges of both, so a key with a third of all rows is many tasks' work. A task numbers its own rows, and
+    a key's rows in it are moved by those in the tasks before: a row for each task and key. rows are read twice, so
+    they should be stored; the result is.
+    """
+    at, part = fresh("n", rows.columns), fresh("part", rows.columns)
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), *by, *order).sortWithinPartitions(*by, *order)
+    numbered = stored(dealt.withColumn(at, F.monotonically_increasing_id()), name).withColumn(part, F.shiftright(at, 33))
+    runs = numbered.groupBy(*[F.col(c).alias(f"{c}_") for c in by], F.col(part).alias("part_")).agg(F.min(at).alias("first"), F.count("*").alias("size"))
+    key = Window.partitionBy(*[f"{c}_" for c in by])
+    runs = runs.withColumn("before", F.sum("size").over(key.orderBy("part_")) - F.col("size")).withColumn("total", F.sum("size").over(key))
+    same = (F.col(part) == F.col("part_")) & reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by], F.lit(True))
+    place = (F.col("before") + F.col(at) - F.col("first")).alias("place")
+    return numbered.join(runs, same).select(*[F.col(c) for c in rows.columns], place, "total")
+
+
 def with_mark(docs: DataFrame, name: str, mark: Callable[[str | None], int]) -> DataFrame:
     """docs with a long column made from each row's text."""
 

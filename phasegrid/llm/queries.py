@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, langid, mixing, packing, quality, rules, simhash_dedup, sstable, substring_dedup
+from . import chat, fingerprint, langid, merkle, mixing, packing, quality, rules, simhash_dedup, sstable, substring_dedup
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         fingerprint.op8_fingerprint,
         substring_dedup.op9_substring_dedup,
         packing.op10_pack,
+        merkle.op12_merkle,
     )
 }
-ORACLE_SQL = {"op4_mix": mixing.OP4_SQL, "op5_rules": rules.OP5_SQL, "op7_chat": chat.OP7_SQL}
+ORACLE_SQL = {"op4_mix": mixing.OP4_SQL, "op5_rules": rules.OP5_SQL, "op7_chat": chat.OP7_SQL, "op12_merkle": merkle.OP12_SQL}
