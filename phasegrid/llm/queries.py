@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, langid, merkle, mixing, packing, quality, rules, simhash_dedup, sstable, substring_dedup
+from . import chat, fingerprint, langid, merkle, mixing, packing, quality, rules, simhash_dedup, sstable, substring_dedup, trie
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         substring_dedup.op9_substring_dedup,
         packing.op10_pack,
         merkle.op12_merkle,
+        trie.op13_trie,
     )
 }
-ORACLE_SQL = {"op4_mix": mixing.OP4_SQL, "op5_rules": rules.OP5_SQL, "op7_chat": chat.OP7_SQL, "op12_merkle": merkle.OP12_SQL}
+ORACLE_SQL = {"op4_mix": mixing.OP4_SQL, "op5_rules": rules.OP5_SQL, "op7_chat": chat.OP7_SQL, "op12_merkle": merkle.OP12_SQL, "op13_trie": trie.OP13_SQL}
