@@ -124,9 +124,12 @@ def near_distances(targets: DataFrame, panel: DataFrame, k: int, metric: str = "
     return met.mapInArrow(run, "sample_idx long, which int, hap_id long, distance long")
 
 
-def nearest(dist: DataFrame, k: int) -> DataFrame:
-    """(sample_idx, rank, hap_id): for each sample ceil(k / 2) neighbours of its first haplotype and as many others of its second, alternating; ties go to the lesser haplotype."""
-    half = (k + 1) // 2  # a k beyond the panel takes all of it, as far as both halves reach
+def nearest(dist: DataFrame, k: int, n_haps: int) -> DataFrame:
+    """(sample_idx, rank, hap_id): for each sample ceil(k / 2) neighbours of its first haplotype and as many others of its second, alternating; ties go to the lesser haplotype.
+
+    k is at most n_haps - 2: a sample's own two are no neighbours.
+    """
+    half = (min(k, n_haps - 2) + 1) // 2
     order = Window.partitionBy("sample_idx").orderBy("distance", "hap_id")
     first = dist.where("which = 0").withColumn("n", F.row_number().over(order)).where(F.col("n") <= half).select("sample_idx", "hap_id", "n")
     rest = dist.where("which = 1").join(first.select("sample_idx", "hap_id"), ["sample_idx", "hap_id"], "left_anti")

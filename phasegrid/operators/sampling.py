@@ -54,7 +54,8 @@ def update_graph(graph: DataFrame, proposals: DataFrame, n_samples: int) -> Data
     return both.groupBy("sample_idx", "col").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
-def four_rows(parents: DataFrame) -> DataFrame:
-    """(slot, haps): arrays of four parents by sample turned into a row for each slot, samples in order."""
+def four_rows(parents: DataFrame, per: int = 4096) -> DataFrame:
+    """(block, slot, haps): arrays of four parents by sample turned into a row for each slot and block of per samples, samples in order."""
     each = parents.select("sample_idx", F.posexplode("p").alias("slot", "hap_id"))
-    return each.groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("sample_idx", "hap_id"))).alias("x")).select("slot", F.transform("x", lambda v: v["hap_id"]).alias("haps"))
+    blocks = each.groupBy(F.expr(f"sample_idx div {per}").alias("block"), "slot").agg(F.sort_array(F.collect_list(F.struct("sample_idx", "hap_id"))).alias("x"))
+    return blocks.select("block", "slot", F.transform("x", lambda v: v["hap_id"]).alias("haps"))

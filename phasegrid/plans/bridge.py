@@ -1,4 +1,4 @@
-"""Genomic views over the star-schema tables: reads from line items, latent haplotypes from hashes, a map from orders.
+"""Genomic views over the star-schema tables, which grow with them: sites from parts, samples from nations, a panel from suppliers, reads from line items, a map from orders.
 
 The same views as SQL are in ORACLE_VIEWS, a WITH clause to be put before an oracle query.
 """
@@ -7,16 +7,21 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import transition, watterson
 from ..operators import match, tally
-from ..rng import hash32
 
-NS, NV, NREF, BLOCK, FOUNDERS = 24, 128, 8, 16, 8
-HAPS = 2 * NS + NREF
-THETA, MU = watterson(HAPS)
+#: Samples (the nations), sites in a block of one founder, founders, and the mutation rate, a panel of 56's.
+NS, BLOCK, FOUNDERS = 25, 16, 8
+MU = watterson(56)[1]
+_FOUNDER = f"((hap_id * 7919 + (site_idx {{div}} {BLOCK}) * 104729 + hap_id * (site_idx {{div}} {BLOCK}) * 31) % 10007) % {FOUNDERS}"
+_ALLELE = "CASE WHEN ((founder * 15485863 + site_idx * 32452843 + founder * size * 49979687) % 1000003) % 3 = 0 THEN 1 ELSE 0 END"
+
+
+#: Numbers that depend on the tables, as SQL.
+NV, HAPS = "(SELECT count(*) FROM part)", f"({2 * NS} + (SELECT count(*) FROM supplier))"
 
 
 class Bridge:
@@ -26,27 +31,48 @@ class Bridge:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def nv(self) -> int:
+        """Sites: the parts."""
+        return self.table("part").count()
+
+    @cached_property
+    def haps(self) -> int:
+        """Haplotypes: two of each sample, then one of each supplier, which make the reference panel."""
+        return 2 * NS + self.table("supplier").count()
+
+    def _alleles(self, first: int, end: int) -> DataFrame:
+        """(hap_id, site_idx, allele) of a range of haplotypes: mosaics of founders, in blocks of sites."""
+        site = self.table("part").select(F.col("p_partkey").alias("site_idx"), F.col("p_size").cast("long").alias("size"))
+        both = site.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "site_idx").select("*", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(end - 1).cast("long"))).alias("hap_id"))
+        return both.withColumn("founder", F.expr(_FOUNDER.format(div="div"))).select("hap_id", "site_idx", F.expr(_ALLELE).cast("int").alias("allele"))
+
     @cached_property
     def alleles(self) -> DataFrame:
-        """Latent haplotypes: mosaics of founders, in blocks of sites."""
-        both = self.spark.range(HAPS).select(F.col("id").alias("hap_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(NV - 1).cast("long"))).alias("site_idx"))
-        founder = hash32(F.concat(F.lit("h:"), F.col("hap_id"), F.lit(":"), F.expr(f"site_idx div {BLOCK}"))) % FOUNDERS
-        one = hash32(F.concat(F.lit("f:"), F.col("founder"), F.lit(":"), F.col("site_idx"))) % 3 == 0
-        return both.withColumn("founder", founder).select("hap_id", "site_idx", one.cast("int").alias("allele"))
+        return self._alleles(0, self.haps)
+
+    @cached_property
+    def own(self) -> DataFrame:
+        """The samples' haplotypes."""
+        return self._alleles(0, 2 * NS)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        """The reference panel's."""
+        return self._alleles(2 * NS, self.haps)
 
     @cached_property
     def truth(self) -> DataFrame:
-        own = self.alleles.where(F.col("hap_id") < 2 * NS)
         side = lambda i: F.max(F.when(F.col("hap_id") % 2 == i, F.col("allele")))
-        wide = own.groupBy(F.expr("hap_id div 2").alias("sample_idx"), "site_idx").agg(side(0).alias("a"), side(1).alias("b"))
+        wide = self.own.groupBy(F.expr("hap_id div 2").alias("sample_idx"), "site_idx").agg(side(0).alias("a"), side(1).alias("b"))
         return wide.withColumn("dosage", F.col("a") + F.col("b"))
 
     @cached_property
     def reads(self) -> DataFrame:
-        l = self.table("lineitem").select((F.col("l_suppkey") % NS).alias("sample_idx"), (F.col("l_partkey") % NV).alias("site_idx"), "l_linestatus", "l_linenumber", "l_quantity")  # noqa: E741
+        l = self.table("lineitem").select("l_suppkey", F.col("l_partkey").alias("site_idx"), "l_linestatus", "l_linenumber", "l_quantity")  # noqa: E741
+        of = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("sample_idx"))
         alt = F.expr("dosage = 2 OR (dosage = 1 AND l_linestatus = 'F')") != F.expr("l_linenumber = 7 AND l_quantity < 4")
-        # 3,072 rows of truth, whatever the number of reads.
-        return l.join(F.broadcast(self.truth.select("sample_idx", "site_idx", "dosage")), ["sample_idx", "site_idx"]).select("sample_idx", "site_idx", alt.alias("is_alt"))
+        return l.join(of, "l_suppkey").join(self.truth.select("sample_idx", "site_idx", "dosage"), ["sample_idx", "site_idx"]).select("sample_idx", "site_idx", alt.alias("is_alt"))
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -59,24 +85,28 @@ class Bridge:
 
     @cached_property
     def sites(self) -> DataFrame:
-        s = self.spark.range(NV).withColumnRenamed("id", "site_idx")
-        h = hash32(F.concat(F.lit("s:"), F.col("site_idx")))
-        base = lambda k: F.expr(f"substr('ACGT', cast((h + {k}) % 4 AS int) + 1, 1)")
-        s = s.withColumn("h", h)
-        return s.select("site_idx", F.lit("20").alias("chr"), (100000 + 1000 * F.col("site_idx") + F.col("h") % 997).alias("pos"), base(0).alias("ref"), base(1).alias("alt"))
+        base = lambda e: F.substring(F.lit("ACGT"), e.cast("int") + 1, F.lit(1))
+        i, size = F.col("p_partkey"), F.col("p_size")
+        return self.table("part").select(i.alias("site_idx"), F.lit("20").alias("chr"), (100000 + 1000 * i + i * 7919 % 997).alias("pos"), base(size % 4).alias("ref"), base((size + 1 + i % 3) % 4).alias("alt"))
 
     @cached_property
     def samples(self) -> DataFrame:
-        return self.spark.range(NS).select(F.col("id").alias("sample_idx"), F.format_string("S%03d", "id").alias("sample_id"), F.when(F.col("id") % 2 == 1, "male").otherwise("female").alias("sex"))
+        i = F.col("n_nationkey").cast("long")
+        return self.table("nation").select(i.alias("sample_idx"), F.format_string("S%03d", i).alias("sample_id"), F.when(i % 2 == 1, "male").otherwise("female").alias("sex"))
+
+    @cached_property
+    def cohort(self) -> DataFrame:
+        """The customers as a list of samples that nothing is known of but names and sexes."""
+        i = F.col("c_custkey")
+        return self.table("customer").select(i.alias("sample_idx"), F.format_string("C%06d", i).alias("sample_id"), F.when(F.col("c_nationkey") % 2 == 1, "male").otherwise("female").alias("sex"))
 
     @cached_property
     def gmap(self) -> DataFrame:
+        """A point every 16 sites; distances from the orders' prices."""
         cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
-        by = self.table("orders").groupBy((F.col("o_orderkey") % 64).alias("i")).agg(cents.alias("c"))
-        from pyspark.sql import Window
-
+        by = self.table("orders").groupBy((F.col("o_orderkey") % (self.nv // 16 + 2)).alias("i")).agg(cents.alias("c"))
         run = by.select("i", F.sum("c").over(Window.orderBy("i")).alias("run"), F.sum("c").over(Window.partitionBy()).alias("total"))
-        return run.select((99000 + 2100 * F.col("i")).alias("pos"), (F.col("run") / F.col("total") * 2.0).alias("cm"))
+        return run.select((99000 + 16000 * F.col("i")).alias("pos"), (F.col("run") / F.col("total") * (self.nv / 64.0)).alias("cm"))
 
     @cached_property
     def tran(self) -> DataFrame:
@@ -90,7 +120,8 @@ class Bridge:
 
     @cached_property
     def scaffold(self) -> DataFrame:
-        return self.alleles.where((F.col("hap_id") < 2 * NS) & (F.col("site_idx") % 4 == 0))
+        """Every fourth site's alleles, known beforehand."""
+        return self.own.where(F.col("site_idx") % 4 == 0)
 
 
 def h(text: str) -> str:
@@ -105,18 +136,19 @@ def u(*parts: str) -> str:
 _SAME, _ONE, _TWO = (1 - MU) * (1 - MU), MU * (1 - MU), MU * MU
 _D = lambda x: f"{x!r}::DOUBLE"
 ORACLE_VIEWS = f"""WITH RECURSIVE
-hap AS (SELECT hap_id, site_idx, ({h("'f:' || founder || ':' || site_idx")} % 3 = 0)::INT AS allele FROM (
-  SELECT k.i AS hap_id, v.i AS site_idx, {h(f"'h:' || k.i || ':' || (v.i // {BLOCK})")} % {FOUNDERS} AS founder FROM range({HAPS}) k(i), range({NV}) v(i))),
-truth AS (SELECT hap_id // 2 AS sample_idx, site_idx, max(allele) FILTER (hap_id % 2 = 0) AS a, max(allele) FILTER (hap_id % 2 = 1) AS b, sum(allele)::INT AS dosage FROM hap WHERE hap_id < {2 * NS} GROUP BY 1, 2),
+latent AS (SELECT hap_id, p_partkey AS site_idx, p_size AS size, {_FOUNDER.format(div='//').replace('site_idx', 'p_partkey')} AS founder FROM part, (SELECT unnest(range({HAPS})) AS hap_id)),
+hap AS MATERIALIZED (SELECT hap_id, site_idx, ({_ALLELE})::INT AS allele FROM latent),
+truth AS MATERIALIZED (SELECT hap_id // 2 AS sample_idx, site_idx, max(allele) FILTER (hap_id % 2 = 0) AS a, max(allele) FILTER (hap_id % 2 = 1) AS b, sum(allele)::INT AS dosage FROM hap WHERE hap_id < {2 * NS} GROUP BY 1, 2),
 reads AS (SELECT t.sample_idx, t.site_idx, (t.dosage = 2 OR (t.dosage = 1 AND l_linestatus = 'F')) <> (l_linenumber = 7 AND l_quantity < 4) AS is_alt
-  FROM lineitem JOIN truth t ON t.sample_idx = l_suppkey % {NS} AND t.site_idx = l_partkey % {NV}),
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN truth t ON t.sample_idx = s_nationkey AND t.site_idx = l_partkey),
 counts AS (SELECT t.sample_idx, t.site_idx, coalesce(r.n, 0) AS n, coalesce(r.k, 0) AS k FROM truth t LEFT JOIN (SELECT sample_idx, site_idx, count(*) AS n, count(*) FILTER (is_alt) AS k FROM reads GROUP BY 1, 2) r USING (sample_idx, site_idx)),
 logs AS (SELECT *, k * ln(0.005::DOUBLE) + (n - k) * ln(0.995::DOUBLE) AS l0, n * ln(0.5::DOUBLE) AS l1, k * ln(0.995::DOUBLE) + (n - k) * ln(0.005::DOUBLE) AS l2 FROM counts),
 exps AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS p0, exp(l1 - greatest(l0, l1, l2)) AS p1, exp(l2 - greatest(l0, l1, l2)) AS p2 FROM logs),
 gl AS (SELECT sample_idx, site_idx, n, k, p0 / (p0 + p1 + p2) AS rr, p1 / (p0 + p1 + p2) AS het, p2 / (p0 + p1 + p2) AS aa FROM exps),
-sites AS (SELECT i AS site_idx, '20' AS chr, 100000 + 1000 * i + hh % 997 AS pos, substr('ACGT', (hh % 4 + 1)::INT, 1) AS ref, substr('ACGT', ((hh + 1) % 4 + 1)::INT, 1) AS alt FROM (SELECT i, {h("'s:' || i")} AS hh FROM range({NV}) v(i))),
-samples AS (SELECT i AS sample_idx, 'S' || lpad(i::VARCHAR, 3, '0') AS sample_id, CASE WHEN i % 2 = 1 THEN 'male' ELSE 'female' END AS sex FROM range({NS}) s(i)),
-gmap AS (SELECT 99000 + 2100 * i AS pos, sum(c) OVER (ORDER BY i)::DOUBLE / (sum(c) OVER ())::DOUBLE * 2.0 AS cm FROM (SELECT o_orderkey % 64 AS i, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS c FROM orders GROUP BY 1)),
+sites AS MATERIALIZED (SELECT p_partkey AS site_idx, '20' AS chr, 100000 + 1000 * p_partkey + p_partkey * 7919 % 997 AS pos, substr('ACGT', (p_size % 4 + 1)::INT, 1) AS ref, substr('ACGT', ((p_size + 1 + p_partkey % 3) % 4 + 1)::INT, 1) AS alt FROM part),
+samples AS (SELECT n_nationkey::BIGINT AS sample_idx, 'S' || lpad(n_nationkey::VARCHAR, 3, '0') AS sample_id, CASE WHEN n_nationkey % 2 = 1 THEN 'male' ELSE 'female' END AS sex FROM nation),
+cohort AS (SELECT c_custkey AS sample_idx, 'C' || lpad(c_custkey::VARCHAR, 6, '0') AS sample_id, CASE WHEN c_nationkey % 2 = 1 THEN 'male' ELSE 'female' END AS sex FROM customer),
+gmap AS (SELECT 99000 + 16000 * i AS pos, sum(c) OVER (ORDER BY i)::DOUBLE / (sum(c) OVER ())::DOUBLE * ({NV} / 64.0::DOUBLE) AS cm FROM (SELECT o_orderkey % ({NV} // 16 + 2) AS i, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS c FROM orders GROUP BY 1)),
 spans AS (SELECT pos AS a, cm AS ca, coalesce(lead(pos) OVER (ORDER BY pos), pos + 1) AS b, coalesce(lead(cm) OVER (ORDER BY pos), cm) AS cb FROM gmap),
 located AS (SELECT s.*, ca + (s.pos - a) * (cb - ca) / (b - a) AS cm FROM sites s LEFT JOIN spans ON s.pos >= a AND s.pos < b),
 dist AS (SELECT *, (cm - lag(cm) OVER (ORDER BY site_idx)) / 100 AS morgans FROM located),
@@ -136,7 +168,7 @@ fw AS (
       SELECT s.sample_idx, s.site_idx, score, (a00 * t0 + (a01 + a10) * t1 + a11 * t2) * e00 AS n00, (a01 * t0 + (a00 + a11) * t1 + a10 * t2) * e01 AS n01, (a10 * t0 + (a11 + a00) * t1 + a01 * t2) * e10 AS n10, (a11 * t0 + (a10 + a01) * t1 + a00 * t2) * e11 AS n11
       FROM fw JOIN st s ON s.sample_idx = fw.sample_idx AND s.site_idx = fw.site_idx + 1))),
 bw AS (
-  SELECT sample_idx, {NV - 1}::BIGINT AS site_idx, 1.0::DOUBLE AS b00, 1.0::DOUBLE AS b01, 1.0::DOUBLE AS b10, 1.0::DOUBLE AS b11 FROM samples
+  SELECT sample_idx, {NV} - 1 AS site_idx, 1.0::DOUBLE AS b00, 1.0::DOUBLE AS b01, 1.0::DOUBLE AS b10, 1.0::DOUBLE AS b11 FROM samples
   UNION ALL
   SELECT sample_idx, site_idx, n00 / z, n01 / z, n10 / z, n11 / z FROM (
     SELECT *, n00 + n01 + n10 + n11 AS z FROM (

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..config import PhaseConfig
 from ..functions import scalar as S
 from ..operators import hmm, kernel, panel, quantise
+from ..operators.ligate import border_signs, ligate, windows_of
 from ..rng import uniform
 from ..sources import readers, writers
 from ..streaming import pileup
 from . import engine
-from .bridge import HAPS, MU, NS, NV, u
+from .bridge import MU, NS, NV, u
 from .queries import _AB, _BOOK, _CODED, CELL, _ab, _coded, query, r6
+from .run import phase_joined
 from .scratch import scratch
 
 
@@ -62,7 +65,7 @@ def _(b):
     return readers.read_haps(b.spark, path).alleles
 
 
-@query("s11_read_phased_vcf", "SELECT hap_id, site_idx, allele FROM hap WHERE hap_id < 48")
+@query("s11_read_phased_vcf", "SELECT hap_id, site_idx, allele FROM hap WHERE hap_id < 50")
 def _(b):
     path, names = scratch(b.spark, "panel"), [f"S{i:03d}" for i in range(NS)]
     cells = b.truth.select(*CELL, F.concat_ws("|", "a", "b").alias("cell"))
@@ -91,9 +94,9 @@ def _(b):
     return writers.plain_cells(_ab(b).select(*CELL, F.round("a", 3).alias("p_a"), F.round("b", 3).alias("p_b")))
 
 
-@query("k03_relationship_table", "SELECT l_suppkey % 24 AS sample_idx, l_partkey % 24 AS col, sum(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END)::DOUBLE AS num, count(*)::DOUBLE AS den, round(sum(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END)::DOUBLE / count(*), 6) AS ratio FROM lineitem GROUP BY 1, 2")
+@query("k03_relationship_table", "SELECT l_suppkey AS sample_idx, l_partkey % 32 AS col, sum(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END)::DOUBLE AS num, count(*)::DOUBLE AS den, round(sum(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END)::DOUBLE / count(*), 6) AS ratio FROM lineitem GROUP BY 1, 2")
 def _(b):
-    g = b.table("lineitem").groupBy((F.col("l_suppkey") % 24).alias("sample_idx"), (F.col("l_partkey") % 24).alias("col")).agg(F.sum(F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)).alias("num"), F.count("*").cast("double").alias("den"))
+    g = b.table("lineitem").groupBy(F.col("l_suppkey").alias("sample_idx"), (F.col("l_partkey") % 32).alias("col")).agg(F.sum(F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)).alias("num"), F.count("*").cast("double").alias("den"))
     return writers.graph_table(g).withColumn("ratio", r6("ratio"))
 
 
@@ -129,12 +132,12 @@ def _(b):
 _COARSE = f"SELECT c.sample_idx, c.site_idx, k.crr AS rr, k.chet AS het, greatest(1 - k.crr - k.chet, 0.0) AS aa FROM {_CODED} c JOIN {_BOOK} k USING (code)"
 
 
-@query("w06_quantised_loglik", f"SELECT sample_idx, round(score, 6) AS loglik FROM fw WHERE site_idx = {NV - 1}", likelihoods=_COARSE)
+@query("w06_quantised_loglik", f"SELECT sample_idx, round(score, 6) AS loglik FROM fw WHERE site_idx = {NV} - 1", likelihoods=_COARSE)
 def _(b):
     book = quantise.first_codebook(b.spark)
     words = quantise.pack_codes(_coded(b))
     coarse = quantise.unpack_codes(words, book)
-    return hmm.forward_loglik(hmm.sequences(hmm.states(coarse, b.parents, b.alleles, b.tran, MU))).select("sample_idx", r6("loglik").alias("loglik"))
+    return hmm.forward_loglik(hmm.states(coarse, b.parents, b.own, b.tran, MU)).select("sample_idx", r6("loglik").alias("loglik"))
 
 
 @query("v01_fit_codebook")
@@ -149,68 +152,84 @@ def _(b):
 
 @query("m04_kmedoids")
 def _(b):
-    packed = panel.pack(b.alleles).where(F.col("hap_id") < 2 * NS)
+    packed = panel.pack(b.own)
     other = F.broadcast(packed.select(F.col("hap_id").alias("other"), F.col("words").alias("theirs")))
     dist = packed.join(other).select("hap_id", "other", panel.hamming(F.col("words"), F.col("theirs")).alias("distance")).cache()
     return quantise.kmedoids(dist, 4)
 
 
 _SMALL = PhaseConfig(annealing_gens=2, burnin_gens=2, sampling_gens=4, nested_gens=6, seed=7)
+_FEW = {"annealing_gens": 1, "burnin_gens": 1, "sampling_gens": 2, "nested_gens": 4, "seed": 7}
 
 
-def _window(b, cfg=_SMALL):
-    """The bridge's window on the driver: 3,072 likelihoods and 128 sites, whatever the input."""
-    rows = b.gl.select(*CELL, "rr", "het", "aa").toPandas().sort_values(CELL)
-    sites = b.tran.toPandas().sort_values("site_idx")
-    ref = b.alleles.where(F.col("hap_id") >= 2 * NS).toPandas().sort_values(["hap_id", "site_idx"])
-    gl = rows[["rr", "het", "aa"]].to_numpy().reshape(NS, NV, 3)
-    tran = sites[["t0", "t1", "t2"]].to_numpy()
-    return engine.Prepared(kernel.Window(gl, tran, MU), ref["allele"].to_numpy().reshape(-1, NV).astype(np.int64))
-
-
-def _posterior_rows(b, run):
-    p = run.posterior()
-    rows = [(i, m, float(p[i, 0, m]), float(p[i, 1, m])) for i in range(NS) for m in range(NV)]
-    return b.spark.createDataFrame(rows, "sample_idx long, site_idx long, p_a double, p_b double")
+def _phased(b, cfg, output="posterior"):
+    """Windows of 256 sites over all parts, phased side by side with the suppliers' panel."""
+    sites = b.sites.join(b.tran.select("site_idx", "cm"), "site_idx").select("site_idx", "chr", "pos", "cm")
+    return engine.phase_windows(b.gl.select(*CELL, "rr", "het", "aa"), sites, cfg, b.panel, 256, output=output)
 
 
 @query("r04_phase_metropolis")
 def _(b):
-    return _posterior_rows(b, engine.phase(b.spark, _window(b), _SMALL))
+    return _phased(b, _SMALL)
 
 
 @query("r05_phase_chains")
 def _(b):
-    return _posterior_rows(b, engine.phase(b.spark, _window(b), PhaseConfig(algorithm=1, annealing_gens=1, burnin_gens=1, sampling_gens=2, nested_gens=4, seed=7)))
+    return _phased(b, PhaseConfig(algorithm=1, **_FEW))
 
 
 @query("r06_phase_adaptive")
 def _(b):
-    return _posterior_rows(b, engine.phase(b.spark, _window(b), PhaseConfig(algorithm=2, annealing_gens=1, burnin_gens=1, sampling_gens=2, nested_gens=4, seed=7)))
+    return _phased(b, PhaseConfig(algorithm=2, **_FEW))
 
 
 @query("m09_delayed_rejection")
 def _(b):
-    return _posterior_rows(b, engine.phase(b.spark, _window(b), PhaseConfig(delayed_rejection=True, annealing_gens=1, burnin_gens=1, sampling_gens=2, nested_gens=4, seed=7)))
+    return _phased(b, PhaseConfig(delayed_rejection=True, **_FEW))
 
 
 @query("r04_phase_windows")
 def _(b):
+    """Windows that share sites, phased and joined."""
     sites = b.sites.join(b.tran.select("site_idx", "cm"), "site_idx").select("site_idx", "chr", "pos", "cm")
-    return engine.phase_windows(b.gl.select(*CELL, "rr", "het", "aa"), sites, _SMALL, b.alleles.where(F.col("hap_id") >= 2 * NS), 32)
+    return phase_joined(b.gl.select(*CELL, "rr", "het", "aa"), sites, _SMALL, b.panel, 256)
 
 
 @query("k05_proposal_log")
 def _(b):
-    """The first generation's proposals of Metropolis steps and of chains, as rows that the tasks write."""
-    logs = [engine.proposal_log(b.spark, _window(b), PhaseConfig(algorithm=a, annealing_gens=2, burnin_gens=2, sampling_gens=4, nested_gens=6, seed=7)).withColumn("algorithm", F.lit(a)) for a in (0, 1)]
+    """Every generation's proposals of Metropolis steps and of chains, as rows that the tasks write."""
+    logs = [_phased(b, PhaseConfig(algorithm=a, **_FEW), "log").withColumn("algorithm", F.lit(a)) for a in (0, 1)]
     return logs[0].unionByName(logs[1])
 
 
 @query("k06_progress")
 def _(b):
-    run = engine.phase(b.spark, _window(b), _SMALL)
-    return b.spark.createDataFrame(run.report, "generation int, penalty double, mean_loglik double")
+    return _phased(b, _SMALL, "report")
+
+
+_STEP, _SHARED = 48, 16
+_W = f"(SELECT t.sample_idx, t.site_idx, w.w AS win, {u("'lig'", 'sample_idx', 'w.w')} < 0.5 AS flip, (a * 0.8 + 0.1)::DOUBLE AS a, (b * 0.8 + 0.1)::DOUBLE AS b FROM truth t, LATERAL (SELECT unnest(range(greatest(0, (t.site_idx - {_STEP + _SHARED} + 1 + {_STEP - 1}) // {_STEP}), t.site_idx // {_STEP} + 1)) AS w) w)"
+_P = f"(SELECT sample_idx, site_idx, win, CASE WHEN flip THEN b ELSE a END AS pa, CASE WHEN flip THEN a ELSE b END AS pb FROM {_W})"
+_SIGNS = f"(SELECT x.sample_idx, y.win, sum((x.pa - x.pb) * (y.pa - y.pb)) < 0 AS swapped FROM {_P} x JOIN {_P} y ON y.sample_idx = x.sample_idx AND y.site_idx = x.site_idx AND y.win = x.win + 1 GROUP BY 1, 2)"
+
+
+def _window_parts(b):
+    """The true haplotypes in windows of 64 sites that share 16, each window and sample turned round by a draw."""
+    win = F.explode(windows_of(F.col("site_idx"), _STEP + _SHARED, _SHARED))
+    t = b.truth.select(*CELL, *[(F.col(x) * 0.8 + 0.1).alias(x) for x in ("a", "b")], win.alias("window"))
+    flip = uniform("lig", F.col("sample_idx"), F.col("window")) < 0.5
+    return t.select(F.lit("20").alias("chr"), "window", *CELL, F.when(flip, F.col("b")).otherwise(F.col("a")).alias("p_a"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("p_b"))
+
+
+@query("r01_border_signs", f"SELECT '20' AS chr, sample_idx, win AS window, swapped FROM {_SIGNS}")
+def _(b):
+    return border_signs(_window_parts(b), _STEP + _SHARED, _SHARED).select("chr", "sample_idx", "window", (F.col("agree") < 0).alias("swapped"))
+
+
+@query("r01_ligate", f"""SELECT '20' AS chr, p.sample_idx, p.site_idx, round(CASE WHEN turned THEN pb ELSE pa END, 6) AS p_a, round(CASE WHEN turned THEN pa ELSE pb END, 6) AS p_b
+ FROM {_P} p LEFT JOIN (SELECT sample_idx, win, sum(swapped::INT) OVER (PARTITION BY sample_idx ORDER BY win) % 2 = 1 AS turned FROM {_SIGNS}) s USING (sample_idx, win) WHERE p.win = greatest(0, floor((p.site_idx - {_SHARED // 2}) / {_STEP}))""")
+def _(b):
+    return ligate(_window_parts(b), _STEP + _SHARED, _SHARED).withColumn("p_a", r6("p_a")).withColumn("p_b", r6("p_b"))
 
 
 @query("a13_streamed_pileup", "SELECT sample_idx, site_idx, n::BIGINT AS n, k::BIGINT AS k, round(rr, 6) AS rr, round(het, 6) AS het, round(aa, 6) AS aa FROM gl WHERE n > 0")
@@ -223,21 +242,24 @@ def _(b):
     return got.select(*CELL, "n", "k", *[r6(c).alias(c) for c in ("rr", "het", "aa")])
 
 
-@query("m16_batched_kernel", f"SELECT sample_idx, round(score, 4) AS loglik FROM fw WHERE site_idx = {NV - 1}")
+_KERNEL_SITES = 256
+
+
+@query("m16_batched_kernel", f"SELECT sample_idx, site_idx // {_KERNEL_SITES} AS window, round(score, 4) AS loglik FROM fw WHERE site_idx % {_KERNEL_SITES} = {_KERNEL_SITES - 1} OR site_idx = {NV} - 1", windows=_KERNEL_SITES)
 def _(b):
-    """The array kernel over batches of samples, against the same SQL as the higher-order functions."""
-    p = _window(b)
-    haps = b.alleles.toPandas().sort_values(["hap_id", "site_idx"])["allele"].to_numpy().reshape(HAPS, NV)
-    sent = b.spark.sparkContext.broadcast((p.window, haps))
+    """The array kernel over batches of samples and windows, against the same SQL as the blocks of matrices."""
+    rows = hmm.states(b.gl, b.parents, b.own, b.tran, MU)
+    parents = [F.expr(f"cast(s{s} div 2 AS double)") for s in ("00", "10")] + [F.expr(f"cast(s{s} % 2 AS double)") for s in ("00", "01")]
+    cell = F.struct("site_idx", F.array("rr", "het", "aa", *parents, "t0", "t1", "t2").alias("v"))
+    packed = rows.groupBy("sample_idx", F.expr(f"site_idx div {_KERNEL_SITES}").alias("window")).agg(F.sort_array(F.collect_list(cell)).alias("x"))
+    packed = packed.select("sample_idx", "window", F.flatten(F.transform("x", lambda c: c["v"])).alias("v"))
 
     def score(batches):
-        import pandas as pd
-
         for pdf in batches:
-            w, h = sent.value
-            who = pdf["sample_idx"].to_numpy()
-            yield pd.DataFrame({"sample_idx": who, "loglik": np.round(kernel.loglik(w, h, who, np.stack(pdf["p"].to_numpy())), 4)})
-
-    return b.parents.mapInPandas(score, "sample_idx long, loglik double")
-
+            for window, part in pdf.groupby("window"):
+                v = np.stack(part["v"].tolist()).reshape(len(part), -1, 10)
+                who, haps = np.arange(len(part)), v[:, :, 3:7].transpose(0, 2, 1).reshape(4 * len(part), -1).astype(np.int64)
+                got = kernel.loglik(kernel.Window(v[:, :, :3], v[0, :, 7:], MU), haps, who, np.arange(4 * len(part)).reshape(-1, 4))
+                yield pd.DataFrame({"sample_idx": part["sample_idx"], "window": window, "loglik": np.round(got, 4)})
 
+    return packed.mapInPandas(score, "sample_idx long, window long, loglik double")

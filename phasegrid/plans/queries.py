@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from ..functions import region as regions
 from ..functions import scalar as S
 from ..operators import hmm, match, panel, quantise, sampling, tally
-from ..rng import hash32, uniform
-from . import bridge as B
+from ..rng import uniform
 from .bridge import HAPS, MU, NS, NV, ORACLE_VIEWS, Bridge, u
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, likelihoods: str | None = None):
-    """Registers a function of the bridge views under a name, with its SQL over the same views; likelihoods: SQL that stands for them in the folds."""
+def query(name: str, sql: str | None = None, likelihoods: str | None = None, windows: int | None = None):
+    """Registers a function of the bridge views under a name, with its SQL over the same views.
+
+    likelihoods: SQL that stands for them in the folds; windows: sites after which the forward fold begins anew.
+    """
     views = ORACLE_VIEWS
+    if windows:
+        views = views.replace("FROM st WHERE site_idx = 0", f"FROM st WHERE site_idx % {windows} = 0", 1).replace("s.site_idx = fw.site_idx + 1", f"s.site_idx = fw.site_idx + 1 AND s.site_idx % {windows} <> 0", 1)
     if likelihoods:
         views = views.replace("like4 AS (", f"coarse AS ({likelihoods}),\nlike4 AS (", 1).replace(" AS k3 FROM gl)", " AS k3 FROM coarse)", 1)
 
@@ -53,10 +57,12 @@ def _(b):
     return b.gl.select("site_idx", S.best_dosage(F.col("rr"), F.col("het"), F.col("aa")).alias("dosage")).groupBy("site_idx", "dosage").agg(F.count("*").alias("n"))
 
 
-@query("f01_region_parse", "SELECT * FROM (VALUES ('20:5-9', '20', 5::BIGINT, 9::BIGINT), ('X:-7', 'X', 1::BIGINT, 7::BIGINT), ('20:101363-', '20', 101363::BIGINT, 2147483647::BIGINT), ('nonsense', 'none', -1, -1)) v(region, chr, start_pos, end_pos)")
+@query("f01_region_parse", "SELECT site_idx, CASE WHEN site_idx % 4 = 3 THEN 'none' ELSE chr END AS chr, CASE site_idx % 4 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE pos END AS start_pos, CASE site_idx % 4 WHEN 0 THEN pos + 5000 WHEN 1 THEN pos WHEN 2 THEN 2147483647 ELSE -1 END AS end_pos FROM sites")
 def _(b):
-    df = b.spark.createDataFrame([("20:5-9",), ("X:-7",), ("20:101363-",), ("nonsense",)], "region string")
-    return df.select("region", regions.parsed(F.col("region")).alias("r")).select("region", F.coalesce("r.chr", F.lit("none")).alias("chr"), F.coalesce("r.start", F.lit(-1)).alias("start_pos"), F.coalesce("r.end", F.lit(-1)).alias("end_pos"))
+    """Each site's region in one of the spellings, or none at all."""
+    kind, pos = F.col("site_idx") % 4, F.col("pos").cast("string")
+    text = F.when(kind == 0, F.concat("chr", F.lit(":"), pos, F.lit("-"), (F.col("pos") + 5000).cast("string"))).when(kind == 1, F.concat("chr", F.lit(":-"), pos)).when(kind == 2, F.concat("chr", F.lit(":"), pos, F.lit("-"))).otherwise(F.concat("chr", F.lit(" "), pos))
+    return b.sites.select("site_idx", regions.parsed(text).alias("r")).select("site_idx", F.coalesce("r.chr", F.lit("none")).alias("chr"), F.coalesce("r.start", F.lit(-1)).alias("start_pos"), F.coalesce("r.end", F.lit(-1)).alias("end_pos"))
 
 
 @query("f02_region_filter", "SELECT site_idx, chr, pos, ref, alt FROM sites WHERE chr = '20' AND pos BETWEEN 110000 AND 140000")
@@ -69,9 +75,9 @@ def _(b):
     return regions.span(b.sites)
 
 
-@query("f04_sample_filter", "SELECT sample_idx, sample_id, sex FROM samples WHERE sample_id IN ('S003', 'S007', 'S023')")
+@query("f04_sample_filter", "SELECT sample_idx, sample_id, sex FROM cohort WHERE sample_id IN ('C000003', 'C000007', 'C000123')")
 def _(b):
-    return match.keep_samples(b.samples, ["S003", "S007", "S023", "absent"])
+    return match.keep_samples(b.cohort, ["C000003", "C000007", "C000123", "absent"])
 
 
 @query("f05_gl2prob", "SELECT sample_idx, site_idx, round(least(greatest(pow(10.0, log10(greatest(rr, 1e-30))), 0.0), 1.0), 6) AS p, round(least(greatest(pow(10.0, 0.5::DOUBLE), 0.0), 1.0), 6) AS cut FROM gl")
@@ -79,9 +85,10 @@ def _(b):
     return b.gl.select(*CELL, r6(S.gl2prob(F.log10(F.greatest("rr", F.lit(1e-30))))).alias("p"), r6(S.gl2prob(F.lit(0.5))).alias("cut"))
 
 
-@query("f06_phred2prob", "SELECT i AS phred, round(CASE WHEN i > 370 THEN 0.0 ELSE pow(10.0, -i / 10.0) END, 9) AS p FROM range(0, 400, 7) r(i)")
+@query("f06_phred2prob", "SELECT site_idx, i AS phred, round(CASE WHEN i > 370 THEN 0.0 ELSE pow(10.0, -i / 10.0) END, 9) AS p FROM (SELECT site_idx, pos % 400 AS i FROM sites)")
 def _(b):
-    return b.spark.range(0, 400, 7).select(F.col("id").alias("phred"), F.round(S.phred2prob(F.col("id")), 9).alias("p"))
+    phred = F.col("pos") % 400
+    return b.sites.select("site_idx", phred.alias("phred"), F.round(S.phred2prob(phred), 9).alias("p"))
 
 
 @query("f07_drop_first", "SELECT sample_idx, site_idx, round(het / (rr + het + aa), 6) AS het, round(aa / (rr + het + aa), 6) AS aa FROM gl")
@@ -100,9 +107,9 @@ def _(b):
     return males.select(*CELL, S.haploid(F.col("rr"), F.col("aa")).alias("t")).select(*CELL, r6("t.rr").alias("rr"), r6("t.aa").alias("aa"))
 
 
-@query("f10_par", "SELECT site_idx, pos, pos BETWEEN 60001 AND 2699520 OR pos >= 154931044 AS par FROM (SELECT site_idx, pos * 40 AS pos FROM sites)")
+@query("f10_par", "SELECT site_idx, pos, pos BETWEEN 60001 AND 2699520 OR pos >= 154931044 AS par FROM (SELECT site_idx, (pos - 100000) * 100 AS pos FROM sites)")
 def _(b):
-    return b.sites.select("site_idx", (F.col("pos") * 40).alias("pos")).withColumn("par", S.in_par(F.col("pos")))
+    return b.sites.select("site_idx", ((F.col("pos") - 100000) * 100).alias("pos")).withColumn("par", S.in_par(F.col("pos")))
 
 
 @query("f11_prob2phred", "SELECT sample_idx, site_idx, round(CASE WHEN p = 0 THEN 380.0 WHEN p = 1 THEN 0.0 ELSE -10 * log10(p) END, 4) AS phred FROM (SELECT *, round(rr, 6) AS p FROM gl)")
@@ -127,9 +134,11 @@ def _(b):
     return _ab(b).select(*CELL, S.phased_call(r6("a"), r6("b")).alias("gt"))
 
 
-@query("f14_mutation", f"SELECT s.i AS state, p.i AS pair, round(pow({1 - MU!r}::DOUBLE, 2 - d) * pow({MU!r}::DOUBLE, d), 12) AS p FROM range(4) s(i), range(4) p(i), LATERAL (SELECT bit_count(xor(s.i, p.i)) AS d)")
+@query("f14_mutation", f"SELECT state, pair, count(*) AS n, round(pow({1 - MU!r}::DOUBLE, 2 - bit_count(xor(state, pair))) * pow({MU!r}::DOUBLE, bit_count(xor(state, pair))), 12) AS p FROM (SELECT 2 * x.a + x.b AS state, 2 * y.a + y.b AS pair FROM truth x JOIN truth y ON y.site_idx = x.site_idx AND y.sample_idx = x.sample_idx + 1) GROUP BY 1, 2")
 def _(b):
-    both = b.spark.range(4).select(F.col("id").alias("state"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("pair"))
+    """How likely each sample's pair of alleles is where its neighbour's was copied."""
+    pair = lambda name, d: b.truth.select("site_idx", (F.col("sample_idx") - d).alias("s"), (2 * F.col("a") + F.col("b")).alias(name))
+    both = pair("state", 0).join(pair("pair", 1), ["site_idx", "s"]).groupBy("state", "pair").agg(F.count("*").alias("n"))
     return both.withColumn("p", F.round(S.mutation(F.col("state"), F.col("pair"), F.lit(MU)), 12))
 
 
@@ -139,10 +148,11 @@ def _(b):
     return e.select(*CELL, *[r6(F.col("e")[i]).alias(f"e{i}") for i in (0, 1, 3)])
 
 
-@query("f16_watterson", f"SELECT round(theta, 12) AS theta, round(theta / ({HAPS} + theta), 12) AS mu, round(0.5 * theta * (n - 1) / (b - a), 15) AS rho FROM (SELECT 1 / sum(1.0::DOUBLE / i) AS theta FROM range(1, {HAPS}) r(i)), (SELECT count(*) AS n, min(pos) AS a, max(pos) AS b FROM sites)")
+@query("f16_watterson", f"SELECT round(theta, 12) AS theta, round(theta / ({HAPS} + theta), 12) AS mu, round(0.5 * theta * (n - 1) / (b - a), 15) AS rho FROM (SELECT 1 / sum(1.0::DOUBLE / i) AS theta FROM (SELECT unnest(range(1, {HAPS})) AS i)), (SELECT count(*) AS n, min(pos) AS a, max(pos) AS b FROM sites)")
 def _(b):
-    rate = S.recombination_rate(B.THETA, F.col("n"), F.col("a"), F.col("b"))
-    return b.sites.agg(F.count("*").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b")).select(F.round(F.lit(B.THETA), 12).alias("theta"), F.round(F.lit(MU), 12).alias("mu"), F.round(rate, 15).alias("rho"))
+    theta, mu = S.watterson(b.haps)
+    rate = S.recombination_rate(theta, F.col("n"), F.col("a"), F.col("b"))
+    return b.sites.agg(F.count("*").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b")).select(F.round(F.lit(theta), 12).alias("theta"), F.round(F.lit(mu), 12).alias("mu"), F.round(rate, 15).alias("rho"))
 
 
 _GAP = f"(SELECT site_idx, pos, (pos - lag(pos) OVER (ORDER BY site_idx)) * 1e-6::DOUBLE AS d FROM sites)"
@@ -157,7 +167,7 @@ def _gap(b):
 
 @query("f17_distance_recombination", f"SELECT site_idx, round(d / (d + {HAPS}), 12) AS r FROM {_GAP}")
 def _(b):
-    return _gap(b).select("site_idx", F.round(F.col("d") / (F.col("d") + HAPS), 12).alias("r"))
+    return _gap(b).select("site_idx", F.round(F.col("d") / (F.col("d") + b.haps), 12).alias("r"))
 
 
 @query("f18_transition", "SELECT site_idx, round(t0, 9) AS t0, round(t1, 9) AS t1, round(t2, 9) AS t2 FROM tran")
@@ -170,12 +180,13 @@ def _(b):
     return b.gl.select(*CELL, S.packed_pair(r6("rr"), r6("het")).alias("code"))
 
 
-@query("f20_annealing", "SELECT i::INT AS generation, round(pow(least((i + 1) / 28.0, 1.0), 2), 9) AS simple, round(pow(least(2 * (i + 1) / 56.0, 1.0), 2), 9) AS chained FROM range(40) r(i)")
+@query("f20_annealing", "SELECT o_orderkey, round(pow(least((o_orderkey % 80 + 1) / 28.0, 1.0), 2), 9) AS simple, round(pow(least(2 * (o_orderkey % 80 + 1) / 56.0, 1.0), 2), 9) AS chained, 1.0::DOUBLE AS none FROM orders")
 def _(b):
+    """The exponent of a proposal of each generation: plain, chained, and without annealing."""
     from ..config import PhaseConfig
 
-    plain, chained = PhaseConfig(), PhaseConfig(algorithm=1)
-    return b.spark.createDataFrame([(i, round(plain.penalty(i), 9), round(chained.penalty(i), 9)) for i in range(40)], "generation int, simple double, chained double")
+    of = lambda **options: F.round(PhaseConfig(**options).penalty_of(F.col("o_orderkey") % 80), 9)
+    return b.table("orders").select("o_orderkey", of().alias("simple"), of(algorithm=1).alias("chained"), of(annealing_gens=0).alias("none"))
 
 
 @query("f22_maf", "SELECT site_idx, round(least(af, 1 - af), 6) AS maf FROM (SELECT site_idx, avg(allele) AS af FROM hap GROUP BY 1)")
@@ -278,7 +289,7 @@ _PANEL = "(SELECT h.hap_id, s.chr, s.pos, s.ref, CASE WHEN h.site_idx % 7 = 0 TH
 
 
 def _panel_rows(b):
-    p = b.alleles.join(F.broadcast(b.sites), "site_idx")
+    p = b.alleles.join(b.sites, "site_idx")
     return p.select("hap_id", "chr", "pos", "ref", F.when(F.col("site_idx") % 7 == 0, "N").otherwise(F.col("alt")).alias("alt"), "allele")
 
 
@@ -287,41 +298,42 @@ def _(b):
     return match.filter_sites(_panel_rows(b), b.sites).select("hap_id", "site_idx", "allele")
 
 
-_ASKED = f"(SELECT '20' AS chr, 100000 + 1000 * i + hh % 997 AS pos, substr('ACGT', (hh % 4 + 1)::INT, 1) AS ref, substr('ACGT', ((hh + CASE WHEN odd THEN 2 ELSE 1 END) % 4 + 1)::INT, 1) AS alt FROM (SELECT l_partkey % {NV} AS i, l_linenumber = 7 AS odd, {B.h(f"'s:' || (l_partkey % {NV})")} AS hh FROM lineitem))"
+_ASKED = "(SELECT chr, pos, ref, CASE WHEN l_linenumber = 7 THEN 'N' ELSE alt END AS alt FROM lineitem JOIN sites ON site_idx = l_partkey)"
 
 
 @query("j02_site_lookup", f"SELECT coalesce(s.site_idx, -1) AS site_idx, count(*) AS n FROM {_ASKED} a LEFT JOIN sites s ON s.chr = a.chr AND s.pos = a.pos AND s.ref = a.ref AND s.alt = a.alt GROUP BY 1")
 def _(b):
     """Each line item asks for a site by all four parts; every seventh line names an allele that isn't there."""
-    i = F.col("l_partkey") % NV
-    asked = b.table("lineitem").select(i.alias("i"), (F.col("l_linenumber") == 7).alias("odd"), hash32(F.concat(F.lit("s:"), i)).alias("h"))
-    base = lambda k: F.substring(F.lit("ACGT"), ((F.col("h") + k) % 4 + 1).cast("int"), F.lit(1))
-    asked = asked.select(F.lit("20").alias("chr"), (100000 + 1000 * F.col("i") + F.col("h") % 997).alias("pos"), base(0).alias("ref"), F.when(F.col("odd"), base(2)).otherwise(base(1)).alias("alt"))
+    lines = b.table("lineitem").select(F.col("l_partkey").alias("site_idx"), "l_linenumber").join(b.sites, "site_idx")
+    asked = lines.select("chr", "pos", "ref", F.when(F.col("l_linenumber") == 7, "N").otherwise(F.col("alt")).alias("alt"))
     found = match.look_up(asked, b.sites, strict=False)
     return found.groupBy(F.coalesce("site_idx", F.lit(-1)).alias("site_idx")).agg(F.count("*").alias("n"))
 
 
-_PS = "(SELECT sample_idx, CASE WHEN sample_idx < 6 THEN 'X' || sample_idx ELSE 'S' || lpad((29 - sample_idx)::VARCHAR, 3, '0') END AS sample_id FROM samples)"
+_PS = "(SELECT sample_idx, CASE WHEN sample_idx < 6 THEN 'X' || sample_idx ELSE 'S' || lpad((30 - sample_idx)::VARCHAR, 3, '0') END AS sample_id FROM samples)"
 
 
 def _panel_samples(b):
-    name = F.when(F.col("sample_idx") < 6, F.concat(F.lit("X"), F.col("sample_idx"))).otherwise(F.format_string("S%03d", 29 - F.col("sample_idx")))
+    name = F.when(F.col("sample_idx") < 6, F.concat(F.lit("X"), F.col("sample_idx"))).otherwise(F.format_string("S%03d", 30 - F.col("sample_idx")))
     return b.samples.select("sample_idx", name.alias("sample_id"))
 
 
 @query("j03_subset_samples", f"SELECT hap_id, site_idx, allele FROM hap WHERE hap_id // 2 IN (SELECT sample_idx FROM {_PS} WHERE sample_id IN (SELECT sample_id FROM samples))")
 def _(b):
-    return match.subset_samples(b.alleles, _panel_samples(b), b.samples).select("hap_id", "site_idx", "allele")
+    return match.subset_samples(b.own, _panel_samples(b), b.samples).select("hap_id", "site_idx", "allele")
 
 
 @query("j04_order_samples", f"SELECT 2 * s.sample_idx + h.hap_id % 2 AS hap_id, h.site_idx, h.allele FROM hap h JOIN {_PS} p ON p.sample_idx = h.hap_id // 2 JOIN samples s ON s.sample_id = p.sample_id")
 def _(b):
-    return match.order_samples(b.alleles, _panel_samples(b), b.samples).select("hap_id", "site_idx", "allele")
+    return match.order_samples(b.own, _panel_samples(b), b.samples).select("hap_id", "site_idx", "allele")
 
 
-@query("j05_match_samples", f"SELECT sample_idx, s.sample_id AS a, p.sample_id AS b FROM samples s FULL JOIN {_PS} p USING (sample_idx) WHERE s.sample_id IS DISTINCT FROM p.sample_id")
+@query("j05_match_samples", "SELECT sample_idx, s.sample_id AS a, p.sample_id AS b FROM cohort s FULL JOIN (SELECT sample_idx + CASE WHEN sample_idx % 100 = 9 THEN 1000000 ELSE 0 END AS sample_idx, CASE WHEN sample_idx % 10 = 3 THEN 'X' ELSE '' END || sample_id AS sample_id FROM cohort) p USING (sample_idx) WHERE s.sample_id IS DISTINCT FROM p.sample_id")
 def _(b):
-    return match.mismatched_samples(b.samples, _panel_samples(b))
+    """The cohort against a list of it in which some have other names, and some other places."""
+    i = F.col("sample_idx")
+    other = b.cohort.select((i + F.when(i % 100 == 9, 1000000).otherwise(0)).alias("sample_idx"), F.concat(F.when(i % 10 == 3, "X").otherwise(""), "sample_id").alias("sample_id"))
+    return match.mismatched_samples(b.cohort, other)
 
 
 @query("j06_swap_match", "SELECT site_idx FROM sites WHERE site_idx % 2 = 0")
@@ -330,9 +342,9 @@ def _(b):
     return match.swap_matches(b.sites, other).select("site_idx")
 
 
-@query("j07_overlay_scaffold", "SELECT hap_id, site_idx, (CASE WHEN site_idx % 4 = 0 THEN allele ELSE 1 - allele END)::INT AS allele FROM hap WHERE hap_id < 48")
+@query("j07_overlay_scaffold", "SELECT hap_id, site_idx, (CASE WHEN site_idx % 4 = 0 THEN allele ELSE 1 - allele END)::INT AS allele FROM hap WHERE hap_id < 50")
 def _(b):
-    flipped = b.alleles.where(F.col("hap_id") < 2 * NS).withColumn("allele", 1 - F.col("allele"))
+    flipped = b.own.withColumn("allele", 1 - F.col("allele"))
     return match.overlay_scaffold(flipped, b.scaffold)
 
 
@@ -366,10 +378,9 @@ def _(b):
     return done.select("p_partkey", F.row_number().over(Window.orderBy("group_rank", "rank")).cast("long").alias("place"))
 
 
-@query("j13_append_reference", "SELECT hap_id, count(*) AS n, sum(allele)::BIGINT AS ones FROM (SELECT hap_id, allele FROM hap WHERE hap_id < 48 UNION ALL SELECT hap_id - 48 + 48, allele FROM hap WHERE hap_id >= 48) GROUP BY 1")
+@query("j13_append_reference", "SELECT hap_id, count(*) AS n, sum(allele)::BIGINT AS ones FROM (SELECT hap_id, allele FROM hap WHERE hap_id < 50 UNION ALL SELECT hap_id - 50 + 50, allele FROM hap WHERE hap_id >= 50) GROUP BY 1")
 def _(b):
-    own, ref = b.alleles.where(F.col("hap_id") < 2 * NS), b.alleles.where(F.col("hap_id") >= 2 * NS).withColumn("hap_id", F.col("hap_id") - 2 * NS)
-    return match.append_reference(own, ref, NS).groupBy("hap_id").agg(F.count("*").alias("n"), F.sum("allele").alias("ones"))
+    return match.append_reference(b.own, b.panel.withColumn("hap_id", F.col("hap_id") - 2 * NS), NS).groupBy("hap_id").agg(F.count("*").alias("n"), F.sum("allele").alias("ones"))
 
 
 # ---- panels: frequencies, packing, distances, neighbours
@@ -393,33 +404,31 @@ def _(b):
 
 @query("d06_unpack_words", "SELECT hap_id, site_idx::INT AS site_idx, allele FROM hap")
 def _(b):
-    return panel.unpack(panel.pack(b.alleles), NV)
+    return panel.unpack(panel.pack(b.alleles), b.nv)
 
 
-_PAIRS = "(SELECT a.hap_id AS hap_a, b.hap_id AS hap_b, sum(bit_count(xor(a.bits, b.bits)))::BIGINT AS d FROM words a JOIN words b ON a.word = b.word AND a.hap_id // 2 <> b.hap_id // 2 WHERE a.hap_id < 48 GROUP BY 1, 2)"
+_PAIRS = "(SELECT a.hap_id AS hap_a, b.hap_id AS hap_b, sum(bit_count(xor(a.bits, b.bits)))::BIGINT AS d FROM words a JOIN words b ON a.word = b.word AND a.hap_id // 2 <> b.hap_id // 2 WHERE a.hap_id < 50 GROUP BY 1, 2)"
 
 
 @query("a03_hamming", f"SELECT hap_a // 2 AS sample_idx, (hap_a % 2)::INT AS which, hap_b AS hap_id, d AS distance FROM {_PAIRS}")
 def _(b):
-    packed = panel.pack(b.alleles)
-    return panel.distances(packed.where(F.col("hap_id") < 2 * NS), packed)
+    return panel.distances(panel.pack(b.own), panel.pack(b.alleles))
 
 
 def _runs(pairs: str) -> str:
     return f"(SELECT hap_a, hap_b, max(n)::BIGINT AS tract FROM (SELECT hap_a, hap_b, run, sum(1 - differs) AS n FROM (SELECT *, sum(differs) OVER (PARTITION BY hap_a, hap_b ORDER BY site_idx) AS run FROM (SELECT a.hap_id AS hap_a, b.hap_id AS hap_b, a.site_idx, (a.allele <> b.allele)::INT AS differs FROM hap a JOIN hap b ON a.site_idx = b.site_idx AND {pairs})) GROUP BY 1, 2, 3) GROUP BY 1, 2)"
 
 
-@query("a04_max_tract", f"SELECT hap_a, hap_b, tract FROM {_runs('b.hap_id = a.hap_id + 3')}")
+@query("a04_max_tract", f"SELECT hap_a, hap_b, tract FROM {_runs('b.hap_id = a.hap_id + 3 AND b.hap_id < 50')}")
 def _(b):
-    x = b.alleles.select(F.col("hap_id").alias("hap_a"), "site_idx", F.col("allele").alias("allele_a"))
-    y = b.alleles.select((F.col("hap_id") - 3).alias("hap_a"), F.col("hap_id").alias("hap_b"), "site_idx", F.col("allele").alias("allele_b"))
+    x = b.own.select(F.col("hap_id").alias("hap_a"), "site_idx", F.col("allele").alias("allele_a"))
+    y = b.own.select((F.col("hap_id") - 3).alias("hap_a"), F.col("hap_id").alias("hap_b"), "site_idx", F.col("allele").alias("allele_b"))
     return panel.max_tract(x.join(y, ["hap_a", "site_idx"]), ["hap_a", "hap_b"])
 
 
 @query("a05_tract_distance", f"SELECT hap_a // 2 AS sample_idx, (hap_a % 2)::INT AS which, hap_b AS hap_id, {NV} - tract AS distance FROM {_runs('b.hap_id // 2 <> a.hap_id // 2 AND a.hap_id < 8')}")
 def _(b):
-    packed = panel.pack(b.alleles)
-    return panel.distances(packed.where("hap_id < 8"), packed, "tract", NV)
+    return panel.distances(panel.pack(b.own.where("hap_id < 8")), panel.pack(b.alleles), "tract", b.nv)
 
 
 _KNN = f"""(WITH d AS (SELECT hap_a // 2 AS sample_idx, hap_a % 2 AS which, hap_b AS hap_id, d FROM {_PAIRS}),
@@ -429,8 +438,7 @@ _KNN = f"""(WITH d AS (SELECT hap_a // 2 AS sample_idx, hap_a % 2 AS which, hap_
 
 
 def _knn(b):
-    packed = panel.pack(b.alleles)
-    return panel.nearest(panel.near_distances(packed.where(F.col("hap_id") < 2 * NS), packed, 4, per=16), 4)
+    return panel.nearest(panel.near_distances(panel.pack(b.own), panel.pack(b.alleles), 4), 4, b.haps)
 
 
 @query("t01_knn_topk", f"SELECT * FROM {_KNN}")
@@ -438,6 +446,16 @@ def _(b):
     return _knn(b)
 
 
+_OWN_PAIRS = _PAIRS.replace("WHERE a.hap_id < 50", "WHERE a.hap_id < 50 AND b.hap_id < 50")
+
+
+@query("t02_more_neighbours_than_haplotypes", f"SELECT * FROM {_KNN.replace(_PAIRS, _OWN_PAIRS).replace('n <= 2', 'n <= 24')}")
+def _(b):
+    """A hundred neighbours asked for where there are fifty haplotypes: 48 of them, 24 from each side."""
+    own = panel.pack(b.own)
+    return panel.nearest(panel.near_distances(own, own, 100), 100, 2 * NS)
+
+
 @query("k04_neighbour_lines", f"SELECT s.sample_id, string_agg(coalesce(t.sample_id, 'ref' || (k.hap_id // 2)) || CASE WHEN k.hap_id % 2 = 0 THEN '.hapA' ELSE '.hapB' END, ' ' ORDER BY rank) AS neighbours FROM {_KNN} k JOIN samples s USING (sample_idx) LEFT JOIN samples t ON t.sample_idx = k.hap_id // 2 GROUP BY 1")
 def _(b):
     return panel.neighbour_lines(_knn(b), b.samples.select("sample_idx", "sample_id"))
@@ -447,22 +465,22 @@ def _(b):
 
 
 def _states(b):
-    return hmm.states(b.gl, b.parents, b.alleles, b.tran, MU)
+    return hmm.states(b.gl, b.parents, b.own, b.tran, MU)
 
 
-@query("w01_forward_loglik", f"SELECT sample_idx, round(score, 6) AS loglik FROM fw WHERE site_idx = {NV - 1}")
+@query("w01_forward_loglik", f"SELECT sample_idx, round(score, 6) AS loglik FROM fw WHERE site_idx = {NV} - 1")
 def forward_loglik(b):
-    return hmm.forward_loglik(hmm.sequences(_states(b))).select("sample_idx", r6("loglik").alias("loglik"))
+    return hmm.forward_loglik(_states(b)).select("sample_idx", r6("loglik").alias("loglik"))
 
 
 @query("w02_backward", "SELECT sample_idx, site_idx, round(b00, 6) AS b00, round(b01, 6) AS b01, round(b10, 6) AS b10, round(b11, 6) AS b11 FROM bw")
 def _(b):
-    return hmm.backward(hmm.sequences(_states(b))).select(*CELL, *[r6(f"b{s}").alias(f"b{s}") for s in hmm.STATES])
+    return hmm.backward(_states(b)).select(*CELL, *[r6(f"b{s}").alias(f"b{s}") for s in hmm.STATES])
 
 
 @query("w03_forward_filter", "SELECT sample_idx, site_idx, round(a00, 6) AS a00, round(a01, 6) AS a01, round(a10, 6) AS a10, round(a11, 6) AS a11 FROM fw")
 def _(b):
-    return hmm.forward_filter(hmm.sequences(_states(b))).select(*CELL, *[r6(f"a{s}").alias(f"a{s}") for s in hmm.STATES])
+    return hmm.forward_filter(_states(b)).select(*CELL, *[r6(f"a{s}").alias(f"a{s}") for s in hmm.STATES])
 
 
 def _chance(state: str, pair: int) -> str:
@@ -474,9 +492,7 @@ _WEIGHTS = f"(SELECT sample_idx, site_idx, {_C} FROM st JOIN fw USING (sample_id
 
 
 def _weights(b):
-    rows = _states(b)
-    seq = hmm.sequences(rows)
-    return hmm.pair_weights(rows, hmm.forward_filter(seq), hmm.backward(seq), MU)
+    return hmm.pair_weights(_states(b), MU)
 
 
 @query("w04_pair_weights", f"SELECT sample_idx, site_idx, round(c00, 6) AS c00, round(c01, 6) AS c01, round(c10, 6) AS c10, round(c11, 6) AS c11 FROM {_WEIGHTS}")
@@ -539,25 +555,27 @@ def _(b):
     return tally.phase_differences(got, b.truth)
 
 
-@query("a12_mean_loglik", f"SELECT round(sum(score) / count(*) / {NV}, 6) AS mean_loglik FROM fw WHERE site_idx = {NV - 1}")
+@query("a12_mean_loglik", f"SELECT round(sum(score) / count(*) / {NV}, 6) AS mean_loglik FROM fw WHERE site_idx = {NV} - 1")
 def _(b):
-    return tally.mean_loglik(hmm.forward_loglik(hmm.sequences(_states(b))), NV).select(r6("mean_loglik").alias("mean_loglik"))
+    return tally.mean_loglik(hmm.forward_loglik(_states(b)), b.nv).select(r6("mean_loglik").alias("mean_loglik"))
 
 
 # ---- draws and decisions
 
 
-_OTHER = f"floor({u("'m1'", 'sample_idx')} * {HAPS - 2})::BIGINT"
+_PEOPLE = "(SELECT count(*) FROM customer)"
+_OTHER = f"floor({u("'m1'", 'sample_idx')} * (2 * {_PEOPLE} - 2))::BIGINT"
 
 
-@query("m01_uniform_hap", f"SELECT sample_idx, {_OTHER} + CASE WHEN {_OTHER} >= 2 * sample_idx THEN 2 ELSE 0 END AS hap_id FROM samples")
+@query("m01_uniform_hap", f"SELECT sample_idx, {_OTHER} + CASE WHEN {_OTHER} >= 2 * sample_idx THEN 2 ELSE 0 END AS hap_id FROM cohort")
 def _(b):
-    return b.samples.select("sample_idx", sampling.any_other_hap(F.col("sample_idx"), HAPS, uniform("m1", F.col("sample_idx"))).alias("hap_id"))
+    return b.cohort.select("sample_idx", sampling.any_other_hap(F.col("sample_idx"), 2 * b.cohort.count(), uniform("m1", F.col("sample_idx"))).alias("hap_id"))
 
 
-@query("m02_reference_hap", f"SELECT sample_idx, {2 * NS} + floor({u("'m2'", 'sample_idx')} * {HAPS - 2 * NS})::BIGINT AS hap_id FROM samples")
+@query("m02_reference_hap", f"SELECT sample_idx, 2 * {_PEOPLE} + floor({u("'m2'", 'sample_idx')} * (SELECT count(*) FROM supplier))::BIGINT AS hap_id FROM cohort")
 def _(b):
-    return b.samples.select("sample_idx", sampling.reference_hap(NS, HAPS, uniform("m2", F.col("sample_idx"))).alias("hap_id"))
+    n = b.cohort.count()
+    return b.cohort.select("sample_idx", sampling.reference_hap(n, 2 * n + b.table("supplier").count(), uniform("m2", F.col("sample_idx"))).alias("hap_id"))
 
 
 @query("m03_neighbour_hap", f"SELECT sample_idx, h[floor({u("'m3'", 'sample_idx')} * len(h))::INT + 1] AS hap_id FROM (SELECT sample_idx, list(hap_id ORDER BY rank) AS h FROM {_KNN} GROUP BY 1)")
@@ -568,18 +586,19 @@ def _(b):
 
 @query("m06_weighted_hap", f"SELECT sample_idx, min(hap_id) AS hap_id FROM (SELECT *, sum(w) OVER (PARTITION BY sample_idx ORDER BY hap_id) AS run, sum(w) OVER (PARTITION BY sample_idx) AS total FROM (SELECT hap_a // 2 AS sample_idx, hap_b AS hap_id, ({NV} - d)::BIGINT AS w FROM {_PAIRS} WHERE hap_a % 2 = 0)) WHERE run > {u("'m6'", 'sample_idx')} * total GROUP BY 1")
 def _(b):
-    packed = panel.pack(b.alleles)
-    d = panel.distances(packed.where(F.col("hap_id") < 2 * NS), packed).where("which = 0")
-    return sampling.weighted_hap(d.select("sample_idx", "hap_id", (NV - F.col("distance")).alias("w")), uniform("m6", F.col("sample_idx")))
+    d = panel.distances(panel.pack(b.own), panel.pack(b.alleles)).where("which = 0")
+    return sampling.weighted_hap(d.select("sample_idx", "hap_id", (b.nv - F.col("distance")).alias("w")), uniform("m6", F.col("sample_idx")))
 
 
-_PROPOSALS = "(SELECT l_suppkey % 24 AS sample_idx, l_partkey % 56 AS hap_id, l_linestatus = 'F' AS accepted, (l_linenumber % 4 + 1) / 4.0 AS penalty FROM lineitem WHERE (l_partkey % 56) // 2 <> l_suppkey % 24)"
+_PROPOSALS = f"(SELECT s_nationkey::BIGINT AS sample_idx, l_partkey % {HAPS} AS hap_id, l_linestatus = 'F' AS accepted, (l_linenumber % 4 + 1) / 4.0 AS penalty FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE (l_partkey % {HAPS}) // 2 <> s_nationkey)"
 
 
-@query("m07_update_graph", f"SELECT sample_idx, col, round(sum(num), 6) AS num, round(sum(den), 6) AS den FROM (SELECT sample_idx, hap_id // 2 AS col, CASE WHEN accepted THEN penalty ELSE 0 END::DOUBLE AS num, penalty::DOUBLE AS den FROM {_PROPOSALS} UNION ALL SELECT hap_id // 2, sample_idx, CASE WHEN accepted THEN penalty ELSE 0 END::DOUBLE, penalty::DOUBLE FROM {_PROPOSALS} WHERE hap_id < 48 UNION ALL SELECT a.sample_idx, c.i, 1.0::DOUBLE, 1.0::DOUBLE FROM samples a, range(28) c(i)) GROUP BY 1, 2")
+@query("m07_update_graph", f"SELECT sample_idx, col, round(sum(num), 6) AS num, round(sum(den), 6) AS den FROM (SELECT sample_idx, hap_id // 2 AS col, CASE WHEN accepted THEN penalty ELSE 0 END::DOUBLE AS num, penalty::DOUBLE AS den FROM {_PROPOSALS} UNION ALL SELECT hap_id // 2, sample_idx, CASE WHEN accepted THEN penalty ELSE 0 END::DOUBLE, penalty::DOUBLE FROM {_PROPOSALS} WHERE hap_id < 50 UNION ALL SELECT a.sample_idx, c.i, 1.0::DOUBLE, 1.0::DOUBLE FROM samples a, (SELECT unnest(range({HAPS} // 2)) AS i) c) GROUP BY 1, 2")
 def _(b):
-    prop = b.table("lineitem").select((F.col("l_suppkey") % 24).alias("sample_idx"), (F.col("l_partkey") % HAPS).alias("hap_id"), (F.col("l_linestatus") == "F").alias("accepted"), ((F.col("l_linenumber") % 4 + 1) / 4.0).alias("penalty")).where("hap_id div 2 <> sample_idx")
-    graph = b.samples.select("sample_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HAPS // 2 - 1).cast("long"))).alias("col"), F.lit(1.0).alias("num"), F.lit(1.0).alias("den"))
+    """Each line item is a proposal: of its supplier's nation, a haplotype by its part."""
+    of = b.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("sample_idx"))
+    prop = b.table("lineitem").join(of, "l_suppkey").select("sample_idx", (F.col("l_partkey") % b.haps).alias("hap_id"), (F.col("l_linestatus") == "F").alias("accepted"), ((F.col("l_linenumber") % 4 + 1) / 4.0).alias("penalty")).where("hap_id div 2 <> sample_idx")
+    graph = b.samples.select("sample_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b.haps // 2 - 1).cast("long"))).alias("col"), F.lit(1.0).alias("num"), F.lit(1.0).alias("den"))
     return sampling.update_graph(graph, prop, NS).select("sample_idx", "col", r6("num").alias("num"), r6("den").alias("den"))
 
 
@@ -603,9 +622,12 @@ def _(b):
     return sampling.first_haps(safe, *us)
 
 
-@query("m17_transpose_parents", "SELECT slot::INT AS slot, string_agg(hap_id::VARCHAR, ' ' ORDER BY sample_idx) AS haps FROM parents GROUP BY 1")
+@query("m17_transpose_parents", f"SELECT (sample_idx // 64)::BIGINT AS block, slot::INT AS slot, string_agg(((2 * sample_idx + 2 + slot) % (2 * {_PEOPLE}))::VARCHAR, ' ' ORDER BY sample_idx) AS haps FROM cohort, range(4) k(slot) GROUP BY 1, 2")
 def _(b):
-    return sampling.four_rows(b.parents).select("slot", F.array_join(F.transform("haps", lambda x: x.cast("string")), " ").alias("haps"))
+    """Parents of the whole cohort: the next two people's haplotypes, in a circle."""
+    n = 2 * b.cohort.count()
+    parents = b.cohort.select("sample_idx", F.array(*[(2 * F.col("sample_idx") + 2 + k) % n for k in range(4)]).alias("p"))
+    return sampling.four_rows(parents, 64).select("block", "slot", F.array_join(F.transform("haps", lambda x: x.cast("string")), " ").alias("haps"))
 
 
 # ---- quantisation and medoids
@@ -653,12 +675,12 @@ def _(b):
     return _coded(b).groupBy("code").agg(F.count("*").alias("n"))
 
 
-_ALLD = "(SELECT a.hap_id, b.hap_id AS other, sum(bit_count(xor(a.bits, b.bits)))::BIGINT AS distance FROM words a JOIN words b ON a.word = b.word WHERE a.hap_id < 48 AND b.hap_id < 48 GROUP BY 1, 2)"
+_ALLD = "(SELECT a.hap_id, b.hap_id AS other, sum(bit_count(xor(a.bits, b.bits)))::BIGINT AS distance FROM words a JOIN words b ON a.word = b.word WHERE a.hap_id < 50 AND b.hap_id < 50 GROUP BY 1, 2)"
 _MED = f"(SELECT hap_id, medoid, distance FROM (SELECT d.hap_id, m.medoid, d.distance, row_number() OVER (PARTITION BY d.hap_id ORDER BY d.distance, m.rank) AS n FROM {_ALLD} d JOIN (VALUES (3, 0), (17, 1), (30, 2), (44, 3)) m(medoid, rank) ON d.other = m.medoid) WHERE n = 1)"
 
 
 def _all_distances(b):
-    packed = panel.pack(b.alleles).where(F.col("hap_id") < 2 * NS)
+    packed = panel.pack(b.own)
     other = F.broadcast(packed.select(F.col("hap_id").alias("other"), F.col("words").alias("theirs")))
     return packed.join(other).select("hap_id", "other", panel.hamming(F.col("words"), F.col("theirs")).alias("distance"))
 
