@@ -141,8 +141,8 @@ def forward_backward(rows: DataFrame, size: int = 512) -> DataFrame:
                 alpha[:, k] = a
             for k in range(e.shape[1] - 1, -1, -1):
                 beta[:, k] = b
-                b = _moved(b * e[:, k], t[:, k])
-                b = b / b.sum(1, keepdims=True)
+                before = _moved(b * e[:, k], t[:, k])
+                b = np.where((k < n)[:, None], before / before.sum(1, keepdims=True), b)
             kept = np.arange(e.shape[1])[None] < n[:, None]
             who = np.repeat(part.column("sample_idx").to_numpy(zero_copy_only=False), n)
             yield _batch(sample_idx=who, site_idx=sites, **{f"a{s}": alpha[kept][:, k] for k, s in enumerate(STATES)}, **{f"b{s}": beta[kept][:, k] for k, s in enumerate(STATES)})
