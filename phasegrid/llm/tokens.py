@@ -7,14 +7,15 @@ import string
 import struct
 from functools import lru_cache
 
-#: Bytes in each of a cache's two generations, with ENTRY for what a piece takes besides its text and ids. A worker has two caches.
-ROOM, ENTRY = 48 << 20, 200
+import numpy as np
+
+#: Bytes in each of the two generations of the cache of pieces (that of pieces without a space in front has a quarter), with ENTRY for what a piece takes besides its text and ids.
+ROOM, ENTRY = 72 << 20, 200
 #: Longer pieces recur too seldom to be kept.
 LONGEST = 64
 #: A space whose next character isn't white space: no token crosses it from the left.
 _CUT = re.compile(r" (?=\S)")
-#: A line feed alone is a token of its own.
-_FEED = re.compile(r"(?<=\S)\n(?=\S)")
+_WHITE = re.compile(r"\s")
 
 
 def default_path() -> str:
@@ -23,58 +24,35 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Joined(Exception):
-    """A part that begins with white space: it isn't a piece of its own."""
-
+class _Cache(dict):
+    """ids by piece. What wasn't used for a generation is forgotten."""
 
-class _Pieces(dict):
-    """ids by piece; `before` stands in front of each piece when it is encoded. Pieces not used for a generation are forgotten.
-
-    The vocabulary's pre-tokenizer also ends a piece at a lone line feed and between letters or digits and the
-    punctuation that follows, so a piece with either is put together from its parts.
-    """
-
-    def __init__(self, direct, before: str, first: _Pieces | None = None):
+    def __init__(self, room: int):
         super().__init__()
-        self.direct, self.before, self.first, self.old = direct, before, self if first is None else first, {}
-        self.feed, self.left = direct("\n"), ROOM
+        self.room = self.left = room
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
-        if ids is None:
-            if not part or part[0].isspace():
-                raise _Joined
-            if len(part) > LONGEST:
-                return self._lines(part)
-            ids = self._lines(part)
-        self.left -= len(part) + len(ids) + ENTRY
+    def keep(self, piece: str, ids: bytes) -> None:
+        self.left -= len(piece) + len(ids) + ENTRY
         if self.left < 0:
-            self.old, self.left = dict(self), ROOM
+            self.old, self.left = dict(self), self.room
             self.clear()
-        self[part] = ids
-        return ids
+        self[piece] = ids
 
-    def _lines(self, part: str) -> bytes:
-        if "\n" not in part:
-            return self._line(part)
-        head, *rest = _FEED.split(part)
-        if not rest:
-            return self._line(part)
-        return self.feed.join([self[head] if len(head) <= LONGEST else self._line(head), *(self.first[x] if len(x) <= LONGEST else self.first._line(x) for x in rest)])
-
-    def _line(self, part: str) -> bytes:
-        stem = part.rstrip(string.punctuation)
-        if stem and stem != part and (stem[-1].isalpha() or stem[-1].isdecimal()):
-            return (self[stem] if len(stem) <= LONGEST else self.direct(self.before + stem)) + self.first[part[len(stem) :]]
-        return self.direct(self.before + part)
+    def find(self, piece: str) -> bytes | None:
+        """From either generation; what the old one has moves to the new."""
+        ids = self.get(piece)
+        if ids is None and (ids := self.old.get(piece)) is not None:
+            self.keep(piece, ids)
+        return ids
 
 
 class Encoder:
     """ids of a text as little-endian unsigned 32-bit integers, equal to those of the tokenizer for the whole text.
 
-    A text is cut at lone line feeds and at spaces, where the pre-tokenizer ends a piece anyway; the pieces recur, and the tokenizer
-    sees those that the cache doesn't hold. The vocabulary's special tokens, spelled out in a text, are the library's
-    special ids; with plain=True they are text like any other.
+    The vocabulary's pre-tokenizer ends a piece before a space that a word follows, around a lone line feed, and between letters or digits
+    and the punctuation after them. So a text is cut there; pieces recur, and those that the cache doesn't hold go to the tokenizer together, one a line. The
+    vocabulary's special tokens, spelled out in a text, are the library's special ids; with plain=True they are text like any other.
     """
 
     def __init__(self, path: str | None = None, plain: bool = False):
@@ -83,28 +61,92 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.tokenizer.encode_special_tokens = plain
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
-        self.first = _Pieces(self._direct, "")
-        self.pieces = _Pieces(self._direct, " ", self.first)
+        #: By piece: after a space, or after a line feed if the piece begins with one; and without either.
+        self.pieces, self.first, self.feed = _Cache(ROOM), _Cache(ROOM // 4), self._direct("\n")
 
     def _direct(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """ids of each of some texts without white space but for a space in front: they are encoded as lines of one text."""
+        found = []
+        for at in range(0, len(texts), 512):
+            some = texts[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]).tolist() if len(self.feed) == 4 else []
+            if len(ends) != len(some) - 1:
+                found += map(self._direct, some)
+                continue
+            raw, starts = ids.tobytes(), [0, *(e + 1 for e in ends)]
+            found += [raw[4 * a : 4 * b] for a, b in zip(starts, [*ends, len(ids)])]
+        return found
+
+    def _learn(self, missing: set[str], made: dict[str, bytes]) -> None:
+        """Puts the ids of pieces that the cache's new generation doesn't hold into made, and into the cache."""
+        parts: list[tuple[str, str, str, str]] = []
+        asked: dict[tuple[bool, str], bytes | None] = {}
+        for piece in missing:
+            if (ids := self.pieces.find(piece)) is not None:
+                made[piece] = ids
+                continue
+            lead, word = ("\n", piece[1:]) if piece[0] == "\n" else (" ", piece)
+            stem = word.rstrip(string.punctuation)
+            stem, rest = (stem, word[len(stem) :]) if stem and stem != word and (stem[-1].isalpha() or stem[-1].isdecimal()) else (word, "")
+            parts.append((piece, lead, stem, rest))
+            for spaced, x in ((lead == " ", stem), (False, rest)):
+                if x and (spaced, x) not in asked:
+                    asked[spaced, x] = (self.pieces if spaced else self.first).find(x)
+        new = [k for k, ids in asked.items() if ids is None]
+        texts = [" " + x if spaced else x for spaced, x in new]
+        easy = [not _WHITE.search(x) for _, x in new]
+        got = iter(self._together([t for t, ok in zip(texts, easy) if ok]))
+        for (spaced, x), text, ok in zip(new, texts, easy):
+            asked[spaced, x] = ids = next(got) if ok else self._direct(text)
+            if len(x) <= LONGEST:
+                (self.pieces if spaced else self.first).keep(x, ids)
+        for piece, lead, stem, rest in parts:
+            made[piece] = ids = (self.feed if lead == "\n" else b"") + asked[lead == " ", stem] + (asked[False, rest] if rest else b"")
+            if len(piece) <= LONGEST and piece not in self.pieces:
+                self.pieces.keep(piece, ids)
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         for s in self.special:
             if s in text:
                 return self._direct(text)
-        first, ids_of, out = self.first, self.pieces.__getitem__, []
-        try:
-            for line in text.split("\n"):
-                head, *parts = line.split(" ")
-                out.append(first[head] + b"".join(map(ids_of, parts)))
-            return first.feed.join(out)
-        except _Joined:
-            head, *parts = _CUT.split(text)
-            return (self.first._lines(head) if head and not head[0].isspace() else self._direct(head)) + b"".join(map(self.pieces.__getitem__, parts))
+        head, *parts = text.replace("\n", " \n").split(" ")
+        found = list(map(self.pieces.get, parts))
+        if None in found:
+            missing = {p for p, ids in zip(parts, found) if ids is None}
+            if any(not p or p == "\n" or (p[1] if p[0] == "\n" else p[0]).isspace() for p in missing):
+                return self._runs(text)
+            made: dict[str, bytes] = {}
+            self._learn(missing, made)
+            found = [made[p] if ids is None else ids for p, ids in zip(parts, found)]
+        if head[:1].isspace() or (not head and parts):
+            return self._runs(text)
+        return (self._first(head) if head else b"") + b"".join(found)
+
+    def _first(self, head: str) -> bytes:
+        ids = self.first.find(head)
+        if ids is None:
+            ids = self._direct(head)
+            if len(head) <= LONGEST:
+                self.first.keep(head, ids)
+        return ids
+
+    def _runs(self, text: str) -> bytes:
+        """The same for texts with runs of white space, which stay with the piece before them."""
+        head, *parts = _CUT.split(text)
+        out = [self._direct(head)] if head else []
+        known = list(map(self.pieces.get, parts))
+        hard = {p for p, ids in zip(parts, known) if ids is None}
+        easy = {p for p in hard if not _WHITE.search(p)}
+        made = {p: self._direct(" " + p) for p in hard - easy}
+        self._learn(easy, made)
+        return b"".join(out + [made[p] if ids is None else ids for p, ids in zip(parts, known)])
 
 
 @lru_cache(maxsize=2)
