@@ -3,10 +3,11 @@
 Candidates come from operator 1 (SimHash fingerprints over the same shingles, linked by its Gray-order indexes) and, since its radius
 reaches few pairs at a similarity of 0.8, from MinHash: sets that share a band of minima under several hash functions. A
 signature of SIGNS minima decides on pairs that are clearly alike or clearly not; for those within SURE of the similarity the sets
-themselves do. Both are made anew from the texts, once, for the sets that have a candidate. Equal sets are one node from the start. In a band's group each node is compared with the one
-that meets most others, and then, in groups of up to SMALL, all pairs that aren't connected yet. The nodes of greater groups
-that are still apart get finer keys, which hardly join what is less alike; there all pairs that aren't connected are compared.
-So only families that stay just below the similarity cost the square of their size.
+themselves do. Both are made anew from the texts, once, for the sets that have a candidate. Equal sets are one node from the start.
+
+In a band's group some heads are compared with all others that aren't connected to them, and leave the group; then twice as many, until a
+group is one component or empty. So every pair of a group is compared or connected, and what is connected early costs no more pairs: a group of copies takes
+a few times its size. Only a family that stays just below the similarity, and so apart, takes the square of its size.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash_dedup
@@ -27,11 +28,10 @@ from .simhash_dedup import majority, shingle_hashes
 WIDTH, SIMILARITY = 5, 0.8
 #: Minima in a signature, and how far from the similarity its estimate decides alone: 3.7 standard deviations at 0.8.
 SIGNS, SURE = 128, 0.13
-SMALL = 64
 _ODD, _PLUS = np.random.default_rng(0).integers(0, 2**63, (2, SIGNS, 1), dtype=np.uint64)
 _ODD = _ODD * np.uint64(2) + np.uint64(1)
-#: The minima of each band, for all sets (16 of 5) and for those in crowded groups (64 of 10); at a similarity of 0.8, 0.2 % and 0.1 % of the pairs share none.
-BANDS = (np.arange(80).reshape(16, 5), np.stack([np.random.default_rng(i).permutation(SIGNS)[:10] for i in range(64)]))
+#: The minima of each band, 16 of 5; at a similarity of 0.8, 0.2 % of the pairs share none.
+BANDS = np.arange(80).reshape(16, 5)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -54,11 +54,11 @@ def signature(found: np.ndarray, n: int = SIGNS) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def keys(sign: np.ndarray, level: int = 0) -> list[int]:
+def keys(sign: np.ndarray) -> list[int]:
     """A key a band; none for an empty set."""
     if not len(sign):
         return []
-    return [xxhash.xxh3_64_intdigest(b.tobytes(), i) - 2**63 for i, b in enumerate(sign[BANDS[level]])]
+    return [xxhash.xxh3_64_intdigest(b.tobytes(), i) - 2**63 for i, b in enumerate(sign[BANDS])]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -73,7 +73,7 @@ def _marks(docs: DataFrame) -> DataFrame:
         for ids, texts in rows(batches, 128):
             hashes = [shingle_hashes(t, WIDTH) for t in texts]
             sets = [np.unique(h) for h in hashes]
-            columns = (ids, [node(s) for s in sets], [majority(h) for h in hashes], [keys(signature(s, BANDS[0].size)) for s in sets])
+            columns = (ids, [node(s) for s in sets], [majority(h) for h in hashes], [keys(signature(s, BANDS.size)) for s in sets])
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "node", "fp", "keys"])
 
@@ -93,17 +93,12 @@ def _estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, alike double")
 
 
-def _few(ids: DataFrame, most: int = 250_000) -> DataFrame:
-    """ids, a stored column of numbers; sent to all tasks if there are at most `most`, 4 MB, and else joined by a shuffle."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
-
-
 def _sets(docs: DataFrame, marks: DataFrame, asked: DataFrame) -> DataFrame:
     """(node, found, sign): the sets of the nodes asked(of) for and their signatures, from one text of each."""
     asked = stored(asked, "asked")
-    wanted = marks.join(_few(asked), marks["node"] == asked["of"], "left_semi")
+    wanted = marks.join(asked, marks["node"] == asked["of"], "left_semi")
     holders = stored(wanted.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct(), "holders")
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(_few(holders), F.col("doc_id") == F.col("id"), "left_semi").select("text")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(holders, F.col("doc_id") == F.col("id"), "left_semi").select("text")
     if not wanted.where("doc_id IS NULL").isEmpty():
         texts = texts.unionByName(docs.where("doc_id IS NULL").select("text"))
 
@@ -113,7 +108,7 @@ def _sets(docs: DataFrame, marks: DataFrame, asked: DataFrame) -> DataFrame:
             out = ([node(s) for s in found], [s.tobytes() for s in found], [signature(s).tobytes() for s in found])
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["node", "found", "sign"])
 
-    made = texts.mapInArrow(make, "node long, found binary, sign binary").join(_few(asked), F.col("node") == F.col("of"), "left_semi")
+    made = texts.mapInArrow(make, "node long, found binary, sign binary").join(asked, F.col("node") == F.col("of"), "left_semi")
     return stored(made.dropDuplicates(["node"]), "sets")
 
 
@@ -134,18 +129,6 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return sure.unionByName(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
 
-def _fine(sets: DataFrame, crowd: DataFrame) -> DataFrame:
-    """(node, key): the second level's keys of the nodes in crowd."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, signs in rows(batches, 128):
-            out = [keys(np.frombuffer(x, np.uint32), 1) for x in signs]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "keys"])
-
-    signs = sets.join(crowd, "node", "left_semi").select("node", "sign")
-    return signs.mapInArrow(make, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-
-
 def _by_fingerprint(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that operator 1 links: those of one fingerprint with its least node, and the least nodes of linked fingerprints."""
     marks = stored(members.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
@@ -157,12 +140,10 @@ def _by_fingerprint(members: DataFrame) -> DataFrame:
 
 
 def _grouped(bands: DataFrame) -> DataFrame:
-    """(key, node, size, head) of the keys that several nodes hold; head: the node that meets most others over all keys."""
+    """(key, node, weight) of the keys that several nodes hold; weight: how many others the node meets over all keys."""
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     bands = cut(bands.join(sizes, "key"))
-    weight = bands.groupBy("node").agg(F.sum("size").alias("weight"))
-    heads = bands.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
-    return cut(bands.join(heads, "key"))
+    return cut(bands.select("key", "node").join(bands.groupBy("node").agg(F.sum("size").alias("weight")), "node"))
 
 
 def named(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -177,30 +158,25 @@ def named(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) ->
         tried, edges = tried.unionByName(pairs), edges.unionByName(cut(_alike(pairs, sets, similarity)))
         roots = cut(components(edges))
 
-    def apart(shared: DataFrame) -> DataFrame:
+    def apart(groups: DataFrame) -> DataFrame:
         """The groups that more than one component holds, with the nodes' roots."""
-        now = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+        now = groups.join(roots, "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
         return cut(now.join(now.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key"), "key"))
 
-    def stars(shared: DataFrame) -> DataFrame:
-        return shared.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-
-    def crossed(groups: DataFrame) -> DataFrame:
-        x, y = groups.alias("x"), groups.alias("y")
-        both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
-        return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-    shared = _grouped(members.select("node", F.explode("keys").alias("key")))
-    first = cut(stars(shared).unionByName(_by_fingerprint(members)))
-    sets = _sets(docs, marks, shared.select(F.col("node").alias("of")).unionByName(first.select(F.explode(F.array("a", "b")).alias("of"))).distinct())
+    groups = _grouped(members.select("node", F.explode("keys").alias("key")))
+    head = groups.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
+    stars = groups.join(head, "key").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    first = cut(stars.unionByName(_by_fingerprint(members)))
+    sets = _sets(docs, marks, groups.select(F.col("node").alias("of")).unionByName(first.select(F.explode(F.array("a", "b")).alias("of"))).distinct())
     compare(first)
-    left = apart(shared)
-    compare(crossed(left.where(f"size <= {SMALL}")))
-    crowd = left.where(f"size > {SMALL}").select("node").distinct()
-    if not crowd.isEmpty():
-        fine = _grouped(_fine(sets, crowd))
-        compare(stars(fine))
-        compare(crossed(apart(fine)))
+    groups, n = apart(groups.join(head, "key").where("node <> head").select("key", "node", "weight")), 1
+    while not groups.isEmpty():
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
+        groups = cut(groups.withColumn("place", place))
+        heads = groups.where(F.col("place") <= n).select("key", F.col("node").alias("head"), F.col("root").alias("of"), F.col("place").alias("at"))
+        met = heads.join(groups, "key").where("root <> of AND place > at")
+        compare(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")))
+        groups, n = apart(groups.where(F.col("place") > n).select("key", "node", "weight")), 2 * n
     found = members.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = found.groupBy("root").agg(F.min("first_id").alias("least"))
     return found.join(least, "root").select("node", "root", "least")

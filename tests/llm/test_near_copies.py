@@ -28,10 +28,59 @@ def test_copies_down_to_four_fifths_go_and_others_stay(spark):
                 w[at] = "changed"
             texts.append(" ".join(w))
     family = words(300)
-    texts += [" ".join(family[:280] + words(20 + k % 3)) for k in range(80)]  # more than SMALL, all alike
+    texts += [" ".join(family[:280] + words(20 + k % 3)) for k in range(80)]  # a large group, all alike
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(None, texts[5], "c"), (None, "nobody else", "c"), (7, texts[7], "c")], "doc_id long, text string, keys string")
     out = C.near_copies(spark, docs, "")
     assert out.columns == docs.columns
     ids = [r.doc_id for r in out.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(set(brute(texts, 0.8))) and ids.count(None) == 1
     assert C.near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_families_just_below_and_above_are_told_apart(spark):
+    """120 documents of a family whose pairs are all near 0.8, so that many groups stay apart for several rounds."""
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    for edits in (2, 3):  # pairs share all but 10 x edits of 200 shingles or so: similarities about 0.82 and 0.74
+        base = words(200)
+        for _ in range(60):
+            w = list(base)
+            for at in rng.choice(38, edits, replace=False) * 5 + 4:
+                w[at] = f"new{rng.integers(0, 10**9)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in C.near_copies(spark, docs, "").collect())
+    want = sorted(set(brute(texts, 0.8)))
+    assert len(want) > 3 and set(want) <= set(got) and len(got) <= len(want) + 2
+
+
+def test_signatures_decide_as_the_sets_do():
+    """Of pairs at the similarity, and as far from it as SURE asks, the signature's verdict is the sets' in all but one in a thousand."""
+    from phasegrid.llm import near_copies as N
+
+    rng = np.random.default_rng(3)
+    wrong = 0
+    for similarity in (0.8, 0.82, 0.9, 0.79, 0.7):
+        for _ in range(200):
+            n = int(rng.integers(60, 400))
+            both = round(2 * n * similarity / (1 + similarity))
+            x = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+            a, b = np.unique(x[:n]), np.unique(np.r_[x[:both], x[n:]])
+            guess, true = (N.signature(a) == N.signature(b)).mean(), N.jaccard(a, b)
+            wrong += guess <= N.SIMILARITY - N.SURE and true >= N.SIMILARITY or guess >= N.SIMILARITY + N.SURE and true < N.SIMILARITY
+    assert wrong <= 1
+
+
+def test_bands_bring_pairs_at_the_similarity_together():
+    from phasegrid.llm import near_copies as N
+
+    rng, met = np.random.default_rng(4), 0
+    for _ in range(300):
+        n = 200
+        both = round(2 * n * 0.8 / 1.8)
+        x = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+        met += bool(set(N.keys(N.signature(np.unique(x[:n])))) & set(N.keys(N.signature(np.unique(np.r_[x[:both], x[n:]])))))
+    assert met >= 295
