@@ -24,9 +24,11 @@ def unordered_sites(sites: DataFrame, strictly: bool = False) -> DataFrame:
     return sites.withColumn("before", before).where(bad).select("site_idx", "pos", "before")
 
 
-def first_sites(sites: DataFrame, limit: int) -> DataFrame:
-    """(n_kept, n_dropped) under a limit on the number of sites."""
-    return sites.agg(F.least(F.count("*"), F.lit(limit)).alias("n_kept"), F.greatest(F.count("*") - limit, F.lit(0)).alias("n_dropped"))
+def first_sites(sites: DataFrame, limit: int, drop_ok: float = 0.05) -> DataFrame:
+    """(chr, n_kept, n_dropped, fits) under a limit on a chromosome's sites; fits: what is dropped is at most the share drop_ok of the limit."""
+    n = F.count("*")
+    dropped = F.greatest(n - limit, F.lit(0))
+    return sites.groupBy("chr").agg(F.least(n, F.lit(limit)).alias("n_kept"), dropped.alias("n_dropped"), (dropped <= drop_ok * limit).alias("fits"))
 
 
 class LoadedOnce:
@@ -41,6 +43,11 @@ class LoadedOnce:
         self.seen.add(kind)
 
 
+def repeated_panels(loads: DataFrame) -> DataFrame:
+    """(run, kind, n) of the panels that loads(run, kind) would load again, which LoadedOnce refuses; empty for a valid plan."""
+    return loads.groupBy("run", "kind").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def filter_sites(panel: DataFrame, sites: DataFrame) -> DataFrame:
     """The panel's rows at the likelihoods' sites, with their site_idx; all four parts of a site must agree."""
     return panel.join(sites.select("site_idx", *KEY), KEY)

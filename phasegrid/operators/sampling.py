@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..rng import uniform
+
 
 def any_other_hap(sample: Column, n_haps: int, u: Column) -> Column:
     """A haplotype that isn't the sample's own, each as likely."""
@@ -59,3 +61,23 @@ def four_rows(parents: DataFrame, per: int = 4096) -> DataFrame:
     each = parents.select("sample_idx", F.posexplode("p").alias("slot", "hap_id"))
     blocks = each.groupBy(F.expr(f"sample_idx div {per}").alias("block"), "slot").agg(F.sort_array(F.collect_list(F.struct("sample_idx", "hap_id"))).alias("x"))
     return blocks.select("block", "slot", F.transform("x", lambda v: v["hap_id"]).alias("haps"))
+
+
+def bisected(lists: DataFrame, least: int, seed: int = 1) -> DataFrame:
+    """(id, path, first, last): the entries first..last of each of lists(id, n) cut at random into blocks of at least `least`, neighbours sharing two entries.
+
+    A block of 2 * least + 2 entries or more is cut at a place drawn for it; path spells the cuts, l and r. Each round cuts all
+    blocks there are, so rounds grow with the logarithm of a list's length.
+    """
+    todo = lists.select("id", F.lit("").alias("path"), F.lit(0).cast("long").alias("first"), (F.col("n") - 1).alias("last"))
+    done = None
+    while True:
+        size = F.col("last") - F.col("first") + 1
+        small = todo.where(size < 2 * least + 2)
+        done = small if done is None else done.unionByName(small)
+        at = least + F.floor(uniform(seed, F.col("id"), F.col("path")) * (size - 2 * least))
+        cut = todo.where(size >= 2 * least + 2).withColumn("at", F.col("first") + at).checkpoint()
+        if cut.isEmpty():
+            return done
+        sides = F.array(F.struct(F.lit("l").alias("s"), F.col("first").alias("a"), F.col("at").alias("b")), F.struct(F.lit("r").alias("s"), (F.col("at") - 1).alias("a"), F.col("last").alias("b")))
+        todo = cut.select("id", "path", F.explode(sides).alias("x")).select("id", F.concat("path", "x.s").alias("path"), F.col("x.a").alias("first"), F.col("x.b").alias("last"))

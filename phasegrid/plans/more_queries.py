@@ -16,7 +16,7 @@ from ..streaming import pileup
 from . import engine
 from .bridge import MU, NS, NV, u
 from .queries import _AB, _BOOK, _CODED, CELL, _ab, _coded, query, r6
-from .run import phase_joined
+from .run import PhaseFiles, phase_joined, prepare
 from .scratch import scratch
 
 
@@ -73,6 +73,90 @@ def _(b):
     return readers.read_phased_vcf(b.spark, path).alleles
 
 
+def _written(b, name, lines, header=(), suffix=""):
+    """The path of a file of lines(site_idx, line)."""
+    path = scratch(b.spark, name) + suffix
+    writers.write_lines(lines, list(header), path)
+    return path
+
+
+@query("s05_choose_tag", "SELECT sample_idx, site_idx, round(rr, 2) AS rr, round(het, 2) AS het, round(aa, 2) AS aa FROM gl")
+def _(b):
+    """Records with both PL, which says nothing here, and GL: a header that declares both is read by GL."""
+    log = lambda c: F.format_string("%.5f", F.log10(F.greatest(F.col(c), F.lit(1e-30))))
+    cells = b.gl.select(*CELL, F.concat(F.lit("0,0,0:"), F.concat_ws(",", log("rr"), log("het"), log("aa"))).alias("cell"))
+    header = writers.vcf_header([f"S{i:03d}" for i in range(NS)], "20", "GL")
+    header.insert(3, '##FORMAT=<ID=PL,Number=G,Type=Integer,Description="Phreds">')
+    got = readers.read_vcf(b.spark, _written(b, "tags", writers.site_lines(cells, b.sites, "PL:GL", ".", "."), header)).gl
+    return got.select(*CELL, *[F.round(c, 2).alias(c) for c in ("rr", "het", "aa")])
+
+
+@query("s08_read_sample", "SELECT sample_idx, sample_id FROM cohort")
+def _(b):
+    lines = b.cohort.select(F.col("sample_idx").alias("site_idx"), F.concat_ws(" ", "sample_id", "sample_id", F.lit("0")).alias("line"))
+    return readers.read_sample(b.spark, _written(b, "sample", lines, ["ID_1 ID_2 missing", "0 0 0"]))
+
+
+@query("s16_read_males", "SELECT sample_id FROM cohort WHERE sex = 'male'")
+def _(b):
+    lines = b.cohort.select(F.col("sample_idx").alias("site_idx"), F.concat_ws(" ", "sample_id", "sex").alias("line"))
+    return readers.read_males(b.spark, _written(b, "sexes", lines))
+
+
+def _hap_lines(b, alleles, sep=" ", fixed=True):
+    by_site = alleles.groupBy("site_idx").agg(F.sort_array(F.collect_list(F.struct("hap_id", "allele"))).alias("x")).join(b.sites, "site_idx")
+    cells = F.array_join(F.transform("x", lambda v: v["allele"].cast("string")), sep)
+    return by_site.select("site_idx", (F.concat_ws(sep, "chr", F.lit("."), "pos", "ref", "alt", cells) if fixed else cells).alias("line"))
+
+
+@query("s10_read_tabhaps", "SELECT hap_id, site_idx - 10 AS site_idx, allele FROM hap WHERE site_idx BETWEEN 10 AND 40")
+def _(b):
+    path = _written(b, "panel", _hap_lines(b, b.alleles, "\t"), suffix=".tabhaps.gz")
+    return readers.read_tabhaps(b.spark, path, "20:110000-140999").alleles
+
+
+@query("s12_read_legend", "SELECT site_idx AS line, chr, pos, ref, alt FROM sites")
+def _(b):
+    lines = b.sites.select("site_idx", F.concat_ws(" ", F.concat(F.lit("id"), "site_idx"), "pos", "ref", "alt").alias("line"))
+    return readers.read_legend(b.spark, _written(b, "legend", lines, ["id position a0 a1"]), "20")
+
+
+@query("s13_read_hap", "SELECT hap_id - 50 AS hap_id, site_idx, allele FROM hap WHERE hap_id >= 50")
+def _(b):
+    legend = b.sites.select("site_idx", F.concat_ws(" ", F.lit("."), "pos", "ref", "alt").alias("line"))
+    hap = _written(b, "hap", _hap_lines(b, b.panel, fixed=False))
+    return readers.read_hap_legend(b.spark, hap, _written(b, "legend", legend, ["id position a0 a1"]), "20").alleles
+
+
+@query("s21_read_panel", "SELECT hap_id, site_idx, allele FROM hap WHERE hap_id < 50 AND site_idx % 4 = 0")
+def _(b):
+    """A scaffold of every fourth site whose samples stand in another order, brought into that of the likelihoods."""
+    turned = b.scaffold.select((2 * (NS - 1 - F.expr("hap_id div 2")) + F.col("hap_id") % 2).alias("hap_id"), "site_idx", "allele")
+    names = b.samples.select((NS - 1 - F.col("sample_idx")).alias("site_idx"), F.concat_ws(" ", "sample_id", "sample_id", F.lit("0")).alias("line"))
+    gl = readers.Likelihoods(b.gl, b.sites, b.samples)
+    files = {"haps": _written(b, "haps", _hap_lines(b, turned)), "sample": _written(b, "sample", names, ["ID_1 ID_2 missing", "0 0 0"])}
+    return readers.read_panel(b.spark, gl, "scaffold", **files).alleles
+
+
+@query("r01_prepare", f"""SELECT sample_idx, site_idx, round(CASE WHEN known THEN w0 / (w0 + w1 + w2) ELSE rr END, 4) AS rr, round(CASE WHEN known THEN w1 / (w0 + w1 + w2) ELSE het END, 4) AS het,
+ round(CASE WHEN known THEN w2 / (w0 + w1 + w2) ELSE aa END, 4) AS aa, round(cm, 5) AS cm FROM (SELECT *, rr * CASE dosage WHEN 0 THEN 0.9 ELSE 0.05 END AS w0, het * CASE dosage WHEN 1 THEN 0.9 ELSE 0.05 END AS w1, aa * CASE dosage WHEN 2 THEN 0.9 ELSE 0.05 END AS w2, site_idx % 4 = 0 AS known
+ FROM (SELECT sample_idx, site_idx, rr::DOUBLE AS rr, het::DOUBLE AS het, aa::DOUBLE AS aa FROM {_GL5}) JOIN truth USING (sample_idx, site_idx) JOIN located USING (site_idx))""")
+def _(b):
+    """A run's tables from its files: likelihoods, a panel, a map, sexes and known genotypes, all written from the views."""
+    names = [f"S{i:03d}" for i in range(NS)]
+    known = b.truth.where("site_idx % 4 = 0").select(*CELL, F.concat_ws("|", "a", "b").alias("cell"))
+    points = b.gmap.select(F.col("pos").alias("site_idx"), F.concat_ws(" ", "pos", F.lit("1.0"), F.format_string("%.9f", "cm")).alias("line"))
+    files = PhaseFiles(
+        _written(b, "bin", writers.bin_lines(_gl_cells(b), b.sites), ["\t".join(["chr", "pos", "allele", *names])]),
+        gmap=_written(b, "gmap", points, ["position COMBINED_rate(cM/Mb) Genetic_Map(cM)"]),
+        males=_written(b, "sexes", b.samples.select(F.col("sample_idx").alias("site_idx"), F.concat_ws(" ", "sample_id", "sex").alias("line"))),
+        reference={"haps": _written(b, "haps", _hap_lines(b, b.panel))},
+        known=_written(b, "known", writers.site_lines(known, b.sites, "GT"), writers.vcf_header(names, "20", "GT")),
+    )
+    got = prepare(b.spark, files, PhaseConfig(site_limit=b.nv, confidence=0.9))
+    return got.gl.join(got.sites.select("site_idx", "cm"), "site_idx").select(*CELL, *[F.round(c, 4).alias(c) for c in ("rr", "het", "aa")], F.round("cm", 5).alias("cm"))
+
+
 @query("s14_read_gmap", "SELECT pos, round(cm, 6) AS cm FROM gmap")
 def _(b):
     path = scratch(b.spark, "gmap")

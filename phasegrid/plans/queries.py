@@ -12,6 +12,7 @@ from ..functions import scalar as S
 from ..operators import hmm, match, panel, quantise, sampling, tally
 from ..rng import uniform
 from .bridge import HAPS, MU, NS, NV, ORACLE_VIEWS, Bridge, u
+from .scratch import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -270,11 +271,49 @@ def _(b):
 # ---- sites, samples and joins
 
 
-@query("s07_site_limit", f"SELECT least(count(*), 100) AS n_kept, greatest(count(*) - 100, 0) AS n_dropped FROM sites")
+@query("s07_site_limit", "SELECT '20' AS chr, least(count(*), 100) AS n_kept, greatest(count(*) - 100, 0) AS n_dropped, greatest(count(*) - 100, 0) <= 5 AS fits FROM sites")
 def _(b):
     return match.first_sites(b.sites, 100)
 
 
+@query("t05_drop_tolerance", "SELECT chr, least(n, 1024) AS n_kept, greatest(n - 1024, 0) AS n_dropped, greatest(n - 1024, 0) <= 0.05 * 1024 AS fits FROM (SELECT 'r' || o_custkey % 64 AS chr, count(*) AS n FROM orders, (SELECT unnest(range(4))) GROUP BY 1)")
+def _(b):
+    """Which regions a run may take with a limit of 1,024 sites: the customers' orders, four sites each, dealt out to 64 regions."""
+    sites = b.table("orders").select(F.concat(F.lit("r"), F.col("o_custkey") % 64).alias("chr"), F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return match.first_sites(sites, 1024)
+
+
+@query("j14_repeated_panels", "SELECT l_orderkey AS run, CASE WHEN l_linestatus = 'F' THEN 'reference' ELSE 'scaffold' END AS kind, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def _(b):
+    """Each order as a run whose lines each load a panel."""
+    kind = F.when(F.col("l_linestatus") == "F", "reference").otherwise("scaffold")
+    return match.repeated_panels(b.table("lineitem").select(F.col("l_orderkey").alias("run"), kind.alias("kind")))
+
+
+@query("f21_proposals", "SELECT c_nationkey, 3 * count(*) AS folded, 7::BIGINT AS nested FROM customer GROUP BY 1")
+def _(b):
+    """How many proposals a generation takes with each nation's customers as samples."""
+    from ..config import PhaseConfig
+
+    n = b.table("customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return n.select("c_nationkey", PhaseConfig(fold=3).proposals(F.col("n")).alias("folded"), F.lit(PhaseConfig(nested_gens=7).proposals(F.col("n"))).cast("long").alias("nested"))
+
+
+_CUT = f"first + 4 + floor({u('3', 'id', 'path')} * (last - first + 1 - 8))::BIGINT"
+
+
+@query("f31_bisected_blocks", f"""SELECT id, path, first, last FROM (WITH RECURSIVE cuts AS (
+  SELECT c_nationkey::BIGINT AS id, '' AS path, 0::BIGINT AS first, count(*) - 1 AS last FROM customer GROUP BY 1
+  UNION ALL
+  SELECT id, path || s, CASE WHEN s = 'l' THEN first ELSE place - 1 END, CASE WHEN s = 'l' THEN place ELSE last END FROM (SELECT *, {_CUT} AS place, unnest(['l', 'r']) AS s FROM cuts WHERE last - first + 1 >= 10))
+  SELECT * FROM cuts WHERE last - first + 1 < 10)""")
+def _(b):
+    """The lists of each nation's customers, cut at random."""
+    n = b.table("customer").groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.count("*").alias("n"))
+    shared(b.spark)
+    return sampling.bisected(n, 4, 3)
+
+
 @query("t03_order_violations", "SELECT site_idx, pos, before FROM (SELECT *, lag(pos) OVER (ORDER BY site_idx) AS before FROM (SELECT site_idx, pos - CASE WHEN site_idx % 10 = 3 THEN 2500 ELSE 0 END AS pos FROM sites)) WHERE pos < before")
 def _(b):
     return match.unordered_sites(b.sites.withColumn("pos", F.col("pos") - F.when(F.col("site_idx") % 10 == 3, 2500).otherwise(0)))

@@ -8,10 +8,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, which driver and executors share; in local mode in a folder of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; in local mode a folder of our own where that is unset. It holds checkpoints, too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = base or "file://" + tempfile.mkdtemp(prefix="phasegrid-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"

@@ -54,11 +54,15 @@ def vcf_header(samples: list[str], chrom: str, fmt: str, command: str = "") -> l
 
 
 def write_lines(lines: DataFrame, header: list[str], path: str) -> None:
-    """One gzipped text: the header, then lines by site_idx. A window's records are a thousand lines at most."""
+    """A folder of gzipped parts: the header, then lines by site_idx. In order of their names the parts are one file: gzipped files may follow each other in one.
+
+    Lines are dealt out by ranges of sites, so parts are written side by side; Spark's commit protocol keeps those of lost tasks out.
+    """
     spark = lines.sparkSession
     top = spark.createDataFrame([(i - len(header), x) for i, x in enumerate(header)], "site_idx long, line string")
     both = top.unionByName(lines.select(F.col("site_idx").cast("long").alias("site_idx"), "line"))
-    both.coalesce(1).sortWithinPartitions("site_idx").select("line").write.option("compression", "gzip").text(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both.repartitionByRange(n, "site_idx").sortWithinPartitions("site_idx").select("line").write.option("compression", "gzip").text(path)
 
 
 def write_vcf(posterior: DataFrame, sites: DataFrame, samples: list[str], path: str, command: str = "", plain: bool = False) -> None:
