@@ -36,10 +36,10 @@ def pieces(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         kinds = [pa.int64()] * 5 + [pa.binary()]
-        for doc_ids, texts in rows(batches, 128):
+        for doc_ids, texts in rows(batches, 64):
             out = []
-            for doc_id, text in zip(doc_ids, texts):
-                ids = encode(text) + end
+            for doc_id, ids in zip(doc_ids, encode.many(texts)):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, length):
                     part = ids[4 * at : 4 * (at + length)]

@@ -215,14 +215,14 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str | No
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, shard = encoder(vocabulary), None, TaskContext.get().partitionId()
-        for ids, texts in rows(batches, 128):
-            for doc_id, text in zip(ids, texts):
+        for ids, texts in rows(batches, 64):
+            for doc_id, value in zip(ids, encode.many(texts)):
                 if writer is None:
                     path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.sst"
                     where, at = fs.FileSystem.from_uri(path)
                     where.create_dir(at.rpartition("/")[0], recursive=True)
                     writer = Writer(out := where.open_output_stream(at))
-                value = encode(text) + end
+                value += end
                 writer.add(key_of(doc_id), pack_ids(value), len(value) // 4)
         if writer is not None:
             writer.close()

@@ -6,6 +6,7 @@ import re
 import string
 import struct
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -32,19 +33,27 @@ class _Cache(dict):
         self.room = self.left = room
         self.old: dict[str, bytes] = {}
 
-    def keep(self, piece: str, ids: bytes) -> None:
-        self.left -= len(piece) + len(ids) + ENTRY
-        if self.left < 0:
-            self.old, self.left = dict(self), self.room
-            self.clear()
-        self[piece] = ids
-
-    def find(self, piece: str) -> bytes | None:
-        """From either generation; what the old one has moves to the new."""
-        ids = self.get(piece)
-        if ids is None and (ids := self.old.get(piece)) is not None:
-            self.keep(piece, ids)
-        return ids
+    def learn(self, made: dict[str, bytes]) -> None:
+        """Keeps the pieces of made that aren't too long."""
+        if max(map(len, made), default=0) > LONGEST:
+            made = {k: v for k, v in made.items() if len(k) <= LONGEST}
+        for at in range(0, len(made), 64) if len(made) > 64 else (0,):
+            some = dict(islice(made.items(), at, at + 64)) if len(made) > 64 else made
+            self.left -= sum(map(len, some)) + sum(map(len, some.values())) + ENTRY * len(some)
+            if self.left < 0:
+                self.old, self.left = dict(self), self.room
+                self.clear()
+            self.update(some)
+
+    def find(self, pieces: list[str]) -> tuple[dict[str, bytes], list[str]]:
+        """What either generation has of the pieces, and the rest; what the old one has moves to the new."""
+        known = {p: ids for p in pieces if (ids := self.get(p)) is not None}
+        left = [p for p in pieces if p not in known] if known else pieces
+        moved = {p: ids for p in left if (ids := self.old.get(p)) is not None}
+        if moved:
+            self.learn(moved)
+            left = [p for p in left if p not in moved]
+        return known | moved, left
 
 
 class Encoder:
@@ -69,73 +78,73 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        """ids of each of some texts without white space but for a space in front: they are encoded as lines of one text."""
-        found = []
+        """ids of each of some texts. Those without white space, but for a space in front, are encoded as lines of one text."""
+        found: list[bytes] = []
         for at in range(0, len(texts), 512):
             some = texts[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]).tolist() if len(self.feed) == 4 else []
-            if len(ends) != len(some) - 1:
-                found += map(self._direct, some)
-                continue
-            raw, starts = ids.tobytes(), [0, *(e + 1 for e in ends)]
-            found += [raw[4 * a : 4 * b] for a, b in zip(starts, [*ends, len(ids)])]
+            text = "\n".join(some)
+            if len(self.feed) == 4 and len(text.split()) == len(some):
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]).tolist()
+                if len(ends) == len(some) - 1:
+                    raw, starts = ids.tobytes(), [0, *(e + 1 for e in ends)]
+                    found += [raw[4 * a : 4 * b] for a, b in zip(starts, [*ends, len(ids)])]
+                    continue
+            found += map(self._direct, some)
         return found
 
-    def _learn(self, missing: set[str], made: dict[str, bytes]) -> None:
-        """Puts the ids of pieces that the cache's new generation doesn't hold into made, and into the cache."""
-        parts: list[tuple[str, str, str, str]] = []
-        asked: dict[tuple[bool, str], bytes | None] = {}
-        for piece in missing:
-            if (ids := self.pieces.find(piece)) is not None:
-                made[piece] = ids
+    def _learn(self, missing: set[str], heads: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """ids of pieces, put together from their parts, and of heads, which nothing precedes. What is new to the tokenizer goes there at once."""
+        made, new = self.pieces.find(list(missing))
+        spaced, bare, parts = {p for p in new if p[-1].isalnum() and p[0] != "\n"}, set(heads), []
+        for piece in new:
+            if piece in spaced:
                 continue
             lead, word = ("\n", piece[1:]) if piece[0] == "\n" else (" ", piece)
             stem = word.rstrip(string.punctuation)
             stem, rest = (stem, word[len(stem) :]) if stem and stem != word and (stem[-1].isalpha() or stem[-1].isdecimal()) else (word, "")
             parts.append((piece, lead, stem, rest))
-            for spaced, x in ((lead == " ", stem), (False, rest)):
-                if x and (spaced, x) not in asked:
-                    asked[spaced, x] = (self.pieces if spaced else self.first).find(x)
-        new = [k for k, ids in asked.items() if ids is None]
-        texts = [" " + x if spaced else x for spaced, x in new]
-        easy = [not _WHITE.search(x) for _, x in new]
-        got = iter(self._together([t for t, ok in zip(texts, easy) if ok]))
-        for (spaced, x), text, ok in zip(new, texts, easy):
-            asked[spaced, x] = ids = next(got) if ok else self._direct(text)
-            if len(x) <= LONGEST:
-                (self.pieces if spaced else self.first).keep(x, ids)
-        for piece, lead, stem, rest in parts:
-            made[piece] = ids = (self.feed if lead == "\n" else b"") + asked[lead == " ", stem] + (asked[False, rest] if rest else b"")
-            if len(piece) <= LONGEST and piece not in self.pieces:
-                self.pieces.keep(piece, ids)
+            (spaced if lead == " " else bare).add(stem)
+            if rest:
+                bare.add(rest)
+        (after, some), (first, others) = self.pieces.find(list(spaced)), self.first.find(list(bare))
+        if some or others:
+            got = self._together([*(" " + w for w in some), *others])
+            for cache, words, known, at in ((self.pieces, some, after, 0), (self.first, others, first, len(some))):
+                learnt = dict(zip(words, got[at : at + len(words)]))
+                cache.learn(learnt)
+                known |= learnt
+        if parts:
+            whole = {piece: (after[stem] if lead == " " else self.feed + first[stem]) + (first[rest] if rest else b"") for piece, lead, stem, rest in parts}
+            self.pieces.learn(whole)
+            after |= whole
+        return made | after, first
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        for s in self.special:
-            if s in text:
-                return self._direct(text)
-        head, *parts = text.replace("\n", " \n").split(" ")
-        found = list(map(self.pieces.get, parts))
-        if None in found:
-            missing = {p for p, ids in zip(parts, found) if ids is None}
-            if any(not p or p == "\n" or (p[1] if p[0] == "\n" else p[0]).isspace() for p in missing):
-                return self._runs(text)
-            made: dict[str, bytes] = {}
-            self._learn(missing, made)
-            found = [made[p] if ids is None else ids for p, ids in zip(parts, found)]
-        if head[:1].isspace() or (not head and parts):
-            return self._runs(text)
-        return (self._first(head) if head else b"") + b"".join(found)
-
-    def _first(self, head: str) -> bytes:
-        ids = self.first.find(head)
-        if ids is None:
-            ids = self._direct(head)
-            if len(head) <= LONGEST:
-                self.first.keep(head, ids)
-        return ids
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """ids of each of some texts."""
+        out, waiting, missing, heads = [b""] * len(texts), [], set(), set()
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if any(s in text for s in self.special):
+                out[i] = self._direct(text)
+                continue
+            head, *parts = text.replace("\n", " \n").split(" ")
+            found = list(map(self.pieces.get, parts))
+            new = {p for p, ids in zip(parts, found) if ids is None} if None in found else ()
+            if not head or head[0].isspace() or any(not p or p == "\n" or (p[1] if p[0] == "\n" else p[0]).isspace() for p in new):
+                out[i] = self._runs(text)
+                continue
+            missing.update(new)
+            heads.add(head)
+            waiting.append((i, head, parts, found, bool(new)))
+        made, first = self._learn(missing, heads)
+        for i, head, parts, found, new in waiting:
+            out[i] = first[head] + b"".join([made[p] if ids is None else ids for p, ids in zip(parts, found)] if new else found)
+        return out
 
     def _runs(self, text: str) -> bytes:
         """The same for texts with runs of white space, which stay with the piece before them."""
@@ -144,8 +153,7 @@ class Encoder:
         known = list(map(self.pieces.get, parts))
         hard = {p for p, ids in zip(parts, known) if ids is None}
         easy = {p for p in hard if not _WHITE.search(p)}
-        made = {p: self._direct(" " + p) for p in hard - easy}
-        self._learn(easy, made)
+        made = {p: self._direct(" " + p) for p in hard - easy} | self._learn(easy, set())[0]
         return b"".join(out + [made[p] if ids is None else ids for p, ids in zip(parts, known)])
 
 
