@@ -5,7 +5,7 @@ reaches few pairs at a similarity of 0.8, from MinHash: sets that share a band o
 signature of SIGNS minima decides on pairs that are clearly alike or clearly not; for those within SURE of the similarity the sets
 themselves do. Both are made anew from the texts, once, for the sets that have a candidate. Equal sets are one node from the start.
 
-In a band's group some heads are compared with all others that aren't connected to them, and leave the group; then twice as many, until a
+In a band's group some heads are compared with all others that aren't connected to them, and leave the group; then four times as many, until a
 group is one component or empty. So every pair of a group is compared or connected, and what is connected early costs no more pairs: a group of copies takes
 a few times its size. Only a family that stays just below the similarity, and so apart, takes the square of its size.
 """
@@ -149,18 +149,20 @@ def _grouped(bands: DataFrame) -> DataFrame:
 def named(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root, least): of each node of marks, which are those of docs, its component and the component's least doc_id."""
     members = stored(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "keys")]), "members")
-    tried = edges = marks.sparkSession.createDataFrame([], "a long, b long")
-    roots = marks.sparkSession.createDataFrame([], "node long, root long")
+    roots = stored(members.select("node", F.col("node").alias("root")), "roots")
 
     def compare(pairs: DataFrame) -> None:
-        nonlocal tried, edges, roots
-        pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried, edges = tried.unionByName(pairs), edges.unionByName(cut(_alike(pairs, sets, similarity)))
-        roots = cut(components(edges))
+        """Joins the components of the pairs that are alike: only their roots are edges, whatever was joined before."""
+        nonlocal roots
+        alike = _alike(cut(pairs.distinct()), sets, similarity)
+        of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
+        merged = components(alike.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        moved = merged.select(F.col("node").alias("was"), F.col("root").alias("now"))
+        roots = stored(roots.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")), "roots")
 
     def apart(groups: DataFrame) -> DataFrame:
         """The groups that more than one component holds, with the nodes' roots."""
-        now = groups.join(roots, "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
+        now = groups.join(roots, "node").select("key", "node", "weight", "root")
         return cut(now.join(now.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key"), "key"))
 
     groups = _grouped(members.select("node", F.explode("keys").alias("key")))
@@ -169,15 +171,15 @@ def named(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) ->
     first = cut(stars.unionByName(_by_fingerprint(members)))
     sets = _sets(docs, marks, groups.select(F.col("node").alias("of")).unionByName(first.select(F.explode(F.array("a", "b")).alias("of"))).distinct())
     compare(first)
-    groups, n = apart(groups.join(head, "key").where("node <> head").select("key", "node", "weight")), 1
+    groups, n = apart(groups.join(head, "key").where("node <> head").select("key", "node", "weight")), 2
     while not groups.isEmpty():
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
-        groups = cut(groups.withColumn("place", place))
+        groups = groups.withColumn("place", place)
         heads = groups.where(F.col("place") <= n).select("key", F.col("node").alias("head"), F.col("root").alias("of"), F.col("place").alias("at"))
         met = heads.join(groups, "key").where("root <> of AND place > at")
         compare(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")))
-        groups, n = apart(groups.where(F.col("place") > n).select("key", "node", "weight")), 2 * n
-    found = members.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+        groups, n = apart(groups.where(F.col("place") > n).select("key", "node", "weight")), 4 * n
+    found = members.select("node", "first_id").join(roots, "node")
     least = found.groupBy("root").agg(F.min("first_id").alias("least"))
     return found.join(least, "root").select("node", "root", "least")
 

@@ -37,12 +37,13 @@ class _Cache(dict):
         """Keeps the pieces of made that aren't too long."""
         if max(map(len, made), default=0) > LONGEST:
             made = {k: v for k, v in made.items() if len(k) <= LONGEST}
-        for at in range(0, len(made), 64) if len(made) > 64 else (0,):
-            some = dict(islice(made.items(), at, at + 64)) if len(made) > 64 else made
-            self.left -= sum(map(len, some)) + sum(map(len, some.values())) + ENTRY * len(some)
-            if self.left < 0:
+        for at in range(0, len(made), 32):
+            some = dict(islice(made.items(), at, at + 32)) if len(made) > 32 else made
+            cost = sum(map(len, some)) + sum(map(len, some.values())) + ENTRY * len(some)
+            if cost > self.left:
                 self.old, self.left = dict(self), self.room
                 self.clear()
+            self.left -= cost
             self.update(some)
 
     def find(self, pieces: list[str]) -> tuple[dict[str, bytes], list[str]]:
