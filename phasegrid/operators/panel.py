@@ -86,34 +86,84 @@ def _blocks(haps: DataFrame, per: int) -> tuple[DataFrame, int]:
     return dealt.select("block", F.transform("x", lambda h: h["hap_id"]).alias("ids"), F.flatten(F.transform("x", lambda h: h["words"])).alias("words")), n
 
 
-def _longest_equal(a: np.ndarray, b: np.ndarray, n_sites: int) -> np.ndarray:
-    """(a, b): the longest run of equal sites of each two rows of words."""
-    bits = [np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")[:, :n_sites] for x in (a, b)]
-    at, out = np.arange(1, n_sites + 1), np.empty((len(a), len(b)), np.int64)
-    for i, row in enumerate(bits[0]):
-        last = np.maximum.accumulate(np.where(bits[1] != row, at, 0), axis=1)
-        out[i] = (at - last).max(1)
-    return out
+def _prefix_orders(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """After each site m of x (haplotype, site): the haplotypes in order of their alleles read backwards from m, and for each the site from which it equals the one before.
 
-
-def near_distances(targets: DataFrame, panel: DataFrame, k: int, metric: str = "hamming", n_sites: int | None = None, per: int = 1024) -> DataFrame:
+    A site's allele deals the order out stably, so a step is linear in the haplotypes; neighbours in the order have the longest
+    equal runs that end at m.
+    """
+    order, since = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for m in range(x.shape[1]):
+        allele, orders, starts = x[order, m], [], []
+        for side in (0, 1):
+            at = np.flatnonzero(allele == side)
+            if len(at):
+                # The run with the one before of the same allele begins where the last of those between them ends it.
+                met = np.maximum.reduceat(since[: at[-1] + 1], np.r_[0, at[:-1] + 1])
+                met[0] = m + 1
+                orders.append(order[at])
+                starts.append(met)
+        order, since = np.concatenate(orders), np.concatenate(starts)
+        yield m, order, since
+
+
+def _tract_neighbours(x: np.ndarray, targets: np.ndarray, allowed: np.ndarray, keep: int) -> np.ndarray:
+    """(target, haplotype): the longest equal run of each of targets (rows of x) with each haplotype that is among the keep of the longest, ties included; 0 elsewhere.
+
+    allowed (target, haplotype): what may be a neighbour. A haplotype of the keep longest is within keep places in the order at the site where its run ends, so
+    a first walk looks that far and bounds the keep-th longest from below; a second walk looks as far as runs reach that bound.
+    """
+    n, best = len(x), np.zeros((len(targets), len(x)), np.int32)
+    least = None
+    for _ in range(2):
+        for m, order, since in _prefix_orders(x):
+            place = np.empty(n, np.int64)
+            place[order] = np.arange(n)
+            for step in (-1, 1):
+                t, at, begun, far = np.arange(len(targets)), place[targets], np.zeros(len(targets), np.int64), 0
+                while len(t) and (least is not None or far < keep):
+                    at, far = at + step, far + 1
+                    inside = (at >= 0) & (at < n)
+                    t, at, begun = t[inside], at[inside], begun[inside]
+                    begun = np.maximum(begun, since[at + 1] if step < 0 else since[at])
+                    run = m + 1 - begun
+                    if least is not None:
+                        long = (run >= least[t]) & (run > 0)
+                        t, at, begun, run = t[long], at[long], begun[long], run[long]
+                    best[t, order[at]] = np.maximum(best[t, order[at]], run)
+        known = np.where(allowed, best, -1)
+        least = np.maximum(0, -np.partition(-known, min(keep, n) - 1, axis=1)[:, min(keep, n) - 1])
+    return best
+
+
+def near_distances(targets: DataFrame, panel: DataFrame, k: int, metric: str = "hamming", n_sites: int | None = None, per: int | None = None) -> DataFrame:
     """The rows of distances() that nearest() needs for k neighbours, and few others: each target's nearest of each block of the panel.
 
-    Targets and panel are dealt into blocks of about per haplotypes; each two blocks meet in one task, which keeps a target's k + 1
-    nearest of the panel's block. So what is written is targets x blocks x k rows, and nothing is sent to all tasks.
+    Targets are dealt into blocks of about 1,024 haplotypes, the panel into blocks of per; each two blocks meet in one task, which keeps a target's k + 1
+    nearest of the panel's block. So what is written is targets x blocks x k rows, and nothing is sent to all tasks. Hamming distances
+    are made for all pairs of two blocks; runs are read off prefix orders, in time linear in the haplotypes of both.
     """
-    mine, _ = _blocks(targets, per)
+    per = per or (1024 if metric == "hamming" else 16384)
+    mine, _ = _blocks(targets, min(per, 1024))
     theirs, n = _blocks(panel, per)
     met = mine.select(F.col("ids").alias("t"), F.col("words").alias("tw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(theirs, "block")
     keep = 2 * ((k + 1) // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["t", "tw", "ids", "words"]).to_pylist():
-                t, p = np.array(row["t"]), np.array(row["ids"])
-                a, b = (np.array(row[c], np.int64).view(np.uint64).reshape(len(i), -1) for c, i in (("tw", t), ("words", p)))
-                far = n_sites - _longest_equal(a, b, n_sites) if metric != "hamming" else np.stack([np.bitwise_count(b ^ x).sum(1, dtype=np.int64) for x in a])
+            for at in range(batch.num_rows):
+                flat = {c: batch.column(c).slice(at, 1).flatten().to_numpy(zero_copy_only=False) for c in ("t", "tw", "ids", "words")}
+                t, p = flat["t"], flat["ids"]
+                a, b = (flat[c].view(np.uint64).reshape(len(i), -1) for c, i in (("tw", t), ("words", p)))
                 own = (t // 2)[:, None] == (p // 2)[None]
+                if metric == "hamming":
+                    far = np.stack([np.bitwise_count(b ^ x).sum(1, dtype=np.int64) for x in a])
+                else:
+                    every, first = np.unique(np.r_[p, t], return_index=True)
+                    bits = np.unpackbits(np.concatenate([b, a])[first].view(np.uint8), axis=1, bitorder="little")[:, :n_sites]
+                    allowed = np.isin(every, p)[None] & ((t // 2)[:, None] != (every // 2)[None])
+                    best = _tract_neighbours(bits, np.searchsorted(every, t), allowed, keep)
+                    far = n_sites - best[:, np.searchsorted(every, p)].astype(np.int64)
                 order = np.lexsort((np.broadcast_to(p, far.shape), far, own), axis=1)[:, :keep]
                 i = np.repeat(np.arange(len(t)), order.shape[1])
                 j = order.ravel()
