@@ -64,18 +64,12 @@ def frequent_sites(alleles: DataFrame, low: float, high: float, use_maf: bool =
     return af.where((maf(F.col("af")) if use_maf else F.col("af")).between(low, high))
 
 
-def distances(targets: DataFrame, panel: DataFrame, metric: str = "hamming", n_sites: int | None = None, most_sent: int = 200_000) -> DataFrame:
+def distances(targets: DataFrame, panel: DataFrame, metric: str = "hamming", n_sites: int | None = None, per: int = 1024) -> DataFrame:
     """(sample_idx, which, hap_id, distance): each target haplotype against the panel's, those of its own sample left out.
 
-    All pairs are what is asked for. A panel of up to most_sent haplotypes (128 bytes each in a window of 1,024 sites)
-    goes to every task, and targets stay where they are; beyond that Spark joins partition by partition.
+    All pairs are what is asked for: both sides are dealt into blocks of about per haplotypes, and each two blocks meet in one task.
     """
-    t = targets.select(F.expr("hap_id div 2").alias("sample_idx"), F.expr("cast(hap_id % 2 AS int)").alias("which"), F.col("words").alias("mine"))
-    p = panel.select("hap_id", "words")
-    small = p.limit(most_sent + 1).count() <= most_sent
-    joined = t.join(F.broadcast(p) if small else p, F.expr("hap_id div 2") != F.col("sample_idx"))
-    far = hamming(F.col("mine"), F.col("words")) if metric == "hamming" else (n_sites - max_tract_words(F.col("mine"), F.col("words"), n_sites)).cast("long")
-    return joined.select("sample_idx", "which", "hap_id", far.alias("distance"))
+    return _met(targets, panel, metric, n_sites, per, per, None)
 
 
 def _blocks(haps: DataFrame, per: int) -> tuple[DataFrame, int]:
@@ -136,18 +130,18 @@ def _tract_neighbours(x: np.ndarray, targets: np.ndarray, allowed: np.ndarray, k
     return best
 
 
-def near_distances(targets: DataFrame, panel: DataFrame, k: int, metric: str = "hamming", n_sites: int | None = None, per: int | None = None) -> DataFrame:
-    """The rows of distances() that nearest() needs for k neighbours, and few others: each target's nearest of each block of the panel.
+def _all_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(a, b): the longest equal run of each two rows of alleles."""
+    at, out = np.arange(1, a.shape[1] + 1), np.empty((len(a), len(b)), np.int64)
+    for i, row in enumerate(a):
+        out[i] = (at - np.maximum.accumulate(np.where(b != row, at, 0), axis=1)).max(1)
+    return out
 
-    Targets are dealt into blocks of about 1,024 haplotypes, the panel into blocks of per; each two blocks meet in one task, which keeps a target's k + 1
-    nearest of the panel's block. So what is written is targets x blocks x k rows, and nothing is sent to all tasks. Hamming distances
-    are made for all pairs of two blocks; runs are read off prefix orders, in time linear in the haplotypes of both.
-    """
-    per = per or (1024 if metric == "hamming" else 16384)
-    mine, _ = _blocks(targets, min(per, 1024))
+
+def _met(targets: DataFrame, panel: DataFrame, metric: str, n_sites: int | None, mine_per: int, per: int, keep: int | None) -> DataFrame:
+    mine, _ = _blocks(targets, mine_per)
     theirs, n = _blocks(panel, per)
     met = mine.select(F.col("ids").alias("t"), F.col("words").alias("tw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(theirs, "block")
-    keep = 2 * ((k + 1) // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,13 +150,15 @@ def near_distances(targets: DataFrame, panel: DataFrame, k: int, metric: str = "
                 t, p = flat["t"], flat["ids"]
                 a, b = (flat[c].view(np.uint64).reshape(len(i), -1) for c, i in (("tw", t), ("words", p)))
                 own = (t // 2)[:, None] == (p // 2)[None]
+                bits = lambda words: np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, :n_sites]
                 if metric == "hamming":
                     far = np.stack([np.bitwise_count(b ^ x).sum(1, dtype=np.int64) for x in a])
+                elif keep is None:
+                    far = n_sites - _all_runs(bits(a), bits(b))
                 else:
                     every, first = np.unique(np.r_[p, t], return_index=True)
-                    bits = np.unpackbits(np.concatenate([b, a])[first].view(np.uint8), axis=1, bitorder="little")[:, :n_sites]
                     allowed = np.isin(every, p)[None] & ((t // 2)[:, None] != (every // 2)[None])
-                    best = _tract_neighbours(bits, np.searchsorted(every, t), allowed, keep)
+                    best = _tract_neighbours(bits(np.concatenate([b, a])[first]), np.searchsorted(every, t), allowed, keep)
                     far = n_sites - best[:, np.searchsorted(every, p)].astype(np.int64)
                 order = np.lexsort((np.broadcast_to(p, far.shape), far, own), axis=1)[:, :keep]
                 i = np.repeat(np.arange(len(t)), order.shape[1])
@@ -174,6 +170,17 @@ def near_distances(targets: DataFrame, panel: DataFrame, k: int, metric: str = "
     return met.mapInArrow(run, "sample_idx long, which int, hap_id long, distance long")
 
 
+def near_distances(targets: DataFrame, panel: DataFrame, k: int, metric: str = "hamming", n_sites: int | None = None, per: int | None = None) -> DataFrame:
+    """The rows of distances() that nearest() needs for k neighbours, and few others: each target's nearest of each block of the panel.
+
+    Targets are dealt into blocks of about 1,024 haplotypes, the panel into blocks of per; each two blocks meet in one task, which keeps a target's k + 1
+    nearest of the panel's block. So what is written is targets x blocks x k rows, and nothing is sent to all tasks. Hamming distances
+    are made for all pairs of two blocks; runs are read off prefix orders, in time linear in the haplotypes of both.
+    """
+    per = per or (1024 if metric == "hamming" else 16384)
+    return _met(targets, panel, metric, n_sites, min(per, 1024), per, 2 * ((k + 1) // 2))
+
+
 def nearest(dist: DataFrame, k: int, n_haps: int) -> DataFrame:
     """(sample_idx, rank, hap_id): for each sample ceil(k / 2) neighbours of its first haplotype and as many others of its second, alternating; ties go to the lesser haplotype.
 

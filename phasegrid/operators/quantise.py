@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..rng import uniform
+from .panel import hamming, pack
 
 #: The first four centres (rr, het) of every codebook.
 SEEDS = ((0.0, 1.0), (0.0, 0.0), (1.0, 0.0), (1 / 3, 1 / 3))
@@ -74,49 +79,75 @@ def unpack_codes(words: DataFrame, codebook: DataFrame, bits: int = 4) -> DataFr
     return each.join(F.broadcast(codebook), "code").select("sample_idx", "site_idx", "rr", "het", F.greatest(1 - F.col("rr") - F.col("het"), F.lit(0.0)).alias("aa"))
 
 
-def nearest_medoid(dist: DataFrame, medoids: DataFrame) -> DataFrame:
-    """(hap_id, medoid, distance) from dist(hap_id, other, distance): the nearest of medoids(medoid, rank), the first on ties."""
-    near = dist.join(F.broadcast(medoids), dist["other"] == medoids["medoid"])
-    best = near.groupBy("hap_id").agg(F.min(F.struct("distance", "rank", "medoid")).alias("b"))
-    return best.select("hap_id", F.col("b.medoid").alias("medoid"), F.col("b.distance").alias("distance"))
+def nearest_medoid(haps: DataFrame, medoids: DataFrame) -> DataFrame:
+    """(hap_id, medoid, distance) of haps(hap_id, words): the nearest of medoids(medoid, rank), the first on ties. A haplotype meets the medoids only."""
+    words = medoids.join(haps.select(F.col("hap_id").alias("medoid"), "words"), "medoid")
+    # As many words as there are medoids, a run's option.
+    listed = words.agg(F.sort_array(F.collect_list(F.struct("rank", "medoid", "words"))).alias("book"))
+    best = F.array_min(F.transform("book", lambda m: F.struct(hamming(F.col("words"), m["words"]).alias("distance"), m["rank"].alias("rank"), m["medoid"].alias("medoid"))))
+    return haps.join(F.broadcast(listed)).select("hap_id", best.alias("b")).select("hap_id", F.col("b.medoid").alias("medoid"), F.col("b.distance").alias("distance"))
 
 
 def medoid_loss(assigned: DataFrame, power: int) -> DataFrame:
     return assigned.agg(F.sum(F.pow(F.col("distance").cast("double"), F.lit(power))).alias("loss"))
 
 
-def better_medoids(dist: DataFrame, assigned: DataFrame, power: int = 1) -> DataFrame:
-    """(medoid, best, loss): inside each cluster the member with the least loss, the least id on ties."""
-    a, b = assigned.select("hap_id", "medoid"), assigned.select(F.col("hap_id").alias("other"), F.col("medoid").alias("m2"))
-    inside = dist.join(a, "hap_id").join(b, "other").where("medoid = m2")
-    loss = inside.groupBy("medoid", F.col("other").alias("best")).agg(F.sum(F.pow(F.col("distance").cast("double"), F.lit(power))).alias("loss"))
+def better_medoids(alleles: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(medoid, best, loss): inside each cluster the member with the least sum of distances to the others, the least id on ties.
+
+    A member differs at a site from as many as have the other allele there, so a cluster's counts of each site tell every member's
+    loss: time and rows are linear in alleles(hap_id, site_idx, allele), and no two haplotypes meet.
+    """
+    of = alleles.join(assigned.select("hap_id", "medoid"), "hap_id")
+    counts = of.groupBy("medoid", "site_idx").agg(F.sum("allele").alias("ones"), F.count("*").alias("n"))
+    others = F.when(F.col("allele") == 1, F.col("n") - F.col("ones")).otherwise(F.col("ones"))
+    loss = of.join(counts, ["medoid", "site_idx"]).groupBy("medoid", F.col("hap_id").alias("best")).agg(F.sum(others).cast("double").alias("loss"))
     return loss.groupBy("medoid").agg(F.min(F.struct("loss", "best")).alias("b")).select("medoid", F.col("b.best").alias("best"), F.col("b.loss").alias("loss"))
 
 
-def best_swap(dist: DataFrame, assigned: DataFrame, medoids: DataFrame, power: int = 2) -> DataFrame:
-    """(medoid, candidate, loss): for each medoid the other haplotype that would make the whole loss least in its place."""
-    kept = dist.join(F.broadcast(medoids), dist["other"] == medoids["medoid"]).select("hap_id", "medoid", F.col("distance").alias("d"))
-    two = kept.groupBy("hap_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "medoid"))), 1, 2).alias("near"))
-    # What is left for a haplotype if a medoid goes: the nearest one, or the second nearest if the nearest was that.
-    without = two.join(F.broadcast(medoids)).select("hap_id", "medoid", F.when(F.col("near")[0]["medoid"] != F.col("medoid"), F.col("near")[0]["d"]).otherwise(F.get("near", F.lit(1))["d"]).alias("left"))
-    cost = F.pow(F.least("distance", F.coalesce("left", "distance")).cast("double"), F.lit(power))
-    tried = dist.join(without, "hap_id").groupBy("medoid", F.col("other").alias("candidate")).agg(F.sum(cost).alias("loss"))
+def best_swap(haps: DataFrame, medoids: DataFrame, power: int = 2, per: int = 1024) -> DataFrame:
+    """(medoid, candidate, loss): for each medoid the other haplotype that would make the whole loss least in its place.
+
+    What a haplotype is left with if a medoid goes is the nearest one, or the second nearest if the nearest was that. Blocks of candidates meet
+    blocks of haplotypes in tasks, which add up losses: pairs are compared, as the search asks, but none is a row.
+    """
+    ids = [r.medoid for r in medoids.orderBy("rank").collect()]
+    words = medoids.join(haps.select(F.col("hap_id").alias("medoid"), "words"), "medoid").agg(F.sort_array(F.collect_list(F.struct("rank", "words"))).alias("book"))
+    far = haps.join(F.broadcast(words)).select("hap_id", "words", F.transform("book", lambda m: hamming(F.col("words"), m["words"])).alias("far"))
+    n = max(1, -(-haps.count() // per))
+    each = F.sort_array(F.collect_list(F.struct("hap_id", "words", "far")))
+    dealt = far.groupBy(F.pmod(F.xxhash64("hap_id"), F.lit(n)).cast("int").alias("block")).agg(each.alias("x"))
+    part = lambda name: F.transform("x", lambda h: h[name])
+    theirs = dealt.select("block", F.flatten(part("words")).alias("words"), F.flatten(part("far")).alias("far"))
+    mine = dealt.select(part("hap_id").alias("ids"), F.flatten(part("words")).alias("tw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                flat = {c: batch.column(c).slice(at, 1).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "tw", "words", "far")}
+                d = flat["far"].reshape(-1, len(ids)).astype(float)
+                a, b = flat["tw"].view(np.uint64).reshape(len(flat["ids"]), -1), flat["words"].view(np.uint64).reshape(len(d), -1)
+                left = np.stack([np.delete(d, i, 1).min(1, initial=np.inf) for i in range(len(ids))], 1)
+                loss = np.stack([(np.minimum(np.bitwise_count(b ^ x).sum(1, dtype=np.int64)[:, None], left) ** power).sum(0) for x in a])
+                columns = (np.tile(ids, len(a)), np.repeat(flat["ids"], len(ids)), loss.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["medoid", "candidate", "loss"])
+
+    tried = mine.join(theirs, "block").mapInArrow(run, "medoid long, candidate long, loss double").groupBy("medoid", "candidate").agg(F.sum("loss").alias("loss"))
     return tried.groupBy("medoid").agg(F.min(F.struct("loss", "candidate")).alias("b")).select("medoid", F.col("b.candidate").alias("candidate"), F.col("b.loss").alias("loss"))
 
 
-def kmedoids(dist: DataFrame, k: int, seed: int = 1, inside: bool = False, most: int = 100) -> DataFrame:
-    """(hap_id, medoid, distance): clusters around k medoids.
+def kmedoids(alleles: DataFrame, k: int, seed: int = 1, inside: bool = False, most: int = 100) -> DataFrame:
+    """(hap_id, medoid, distance): clusters of alleles(hap_id, site_idx, allele), which should be stored, around k medoids.
 
-    dist(hap_id, other, distance) has all pairs of the haplotypes clustered, each with itself at 0, and should be stored. From k
-    haplotypes chosen by hash, medoids move to better members of their cluster (inside) or to any better haplotype, one at a time, while the loss falls.
+    From k haplotypes chosen by hash, medoids move to better members of their cluster (inside) or to any better haplotype, one at a time,
+    while the loss falls. Only the medoids' ids pass through the driver; no table of pairs is made.
     """
-    spark, power = dist.sparkSession, 1 if inside else 2
-    ids = [r[0] for r in dist.select("hap_id").distinct().orderBy(uniform(seed, "medoid", F.col("hap_id")), "hap_id").limit(k).collect()]
+    spark, power, haps = alleles.sparkSession, 1 if inside else 2, pack(alleles).checkpoint()
+    ids = [r[0] for r in haps.orderBy(uniform(seed, "medoid", F.col("hap_id")), "hap_id").select("hap_id").limit(k).collect()]
     table = lambda m: spark.createDataFrame(list(zip(m, range(len(m)))), "medoid long, rank int")
-    loss = medoid_loss(nearest_medoid(dist, table(ids)), power).first()[0]
+    loss = medoid_loss(nearest_medoid(haps, table(ids)), power).first()[0]
     for _ in range(most):
-        assigned = nearest_medoid(dist, table(ids))
-        moves = better_medoids(dist, assigned, power) if inside else best_swap(dist, assigned, table(ids).select("medoid"), power).withColumnRenamed("candidate", "best")
+        moves = better_medoids(alleles, nearest_medoid(haps, table(ids))) if inside else best_swap(haps, table(ids), power).withColumnRenamed("candidate", "best")
         found = [r for r in moves.collect() if r.best not in ids]
         if inside:
             to = {r.medoid: r.best for r in found}
@@ -124,11 +155,11 @@ def kmedoids(dist: DataFrame, k: int, seed: int = 1, inside: bool = False, most:
         else:
             top = min(found, key=lambda r: (r.loss, r.best), default=None)
             new = [top.best if top and m == top.medoid else m for m in ids]
-        now = medoid_loss(nearest_medoid(dist, table(new)), power).first()[0]
+        now = medoid_loss(nearest_medoid(haps, table(new)), power).first()[0]
         if not now < loss:
             break
         ids, loss = new, now
-    return nearest_medoid(dist, table(ids))
+    return nearest_medoid(haps, table(ids))
 
 
 def cluster_haps(assigned: DataFrame, hap_id: Column | str = "hap_id") -> DataFrame:

@@ -727,33 +727,35 @@ _ALLD = "(SELECT a.hap_id, b.hap_id AS other, sum(bit_count(xor(a.bits, b.bits))
 _MED = f"(SELECT hap_id, medoid, distance FROM (SELECT d.hap_id, m.medoid, d.distance, row_number() OVER (PARTITION BY d.hap_id ORDER BY d.distance, m.rank) AS n FROM {_ALLD} d JOIN (VALUES (3, 0), (17, 1), (30, 2), (44, 3)) m(medoid, rank) ON d.other = m.medoid) WHERE n = 1)"
 
 
-def _all_distances(b):
-    packed = panel.pack(b.own)
-    other = F.broadcast(packed.select(F.col("hap_id").alias("other"), F.col("words").alias("theirs")))
-    return packed.join(other).select("hap_id", "other", panel.hamming(F.col("words"), F.col("theirs")).alias("distance"))
-
-
 def _medoids(b):
     return b.spark.createDataFrame([(3, 0), (17, 1), (30, 2), (44, 3)], "medoid long, rank int")
 
 
 @query("m04_assign_medoids", f"SELECT hap_id, medoid::BIGINT AS medoid, distance FROM {_MED}")
 def _(b):
-    return quantise.nearest_medoid(_all_distances(b), _medoids(b))
+    return quantise.nearest_medoid(panel.pack(b.own), _medoids(b))
 
 
 @query("a09_medoid_loss", f"SELECT round(sum(pow(distance, 2)), 6) AS loss FROM {_MED}")
 def _(b):
-    return quantise.medoid_loss(quantise.nearest_medoid(_all_distances(b), _medoids(b)), 2)
+    return quantise.medoid_loss(quantise.nearest_medoid(panel.pack(b.own), _medoids(b)), 2)
 
 
 @query("m04_better_medoids", f"SELECT medoid::BIGINT AS medoid, best, loss FROM (SELECT *, row_number() OVER (PARTITION BY medoid ORDER BY loss, best) AS n FROM (SELECT x.medoid, d.other AS best, sum(pow(d.distance, 1)) AS loss FROM {_ALLD} d JOIN {_MED} x ON x.hap_id = d.hap_id JOIN {_MED} y ON y.hap_id = d.other AND y.medoid = x.medoid GROUP BY 1, 2)) WHERE n = 1")
 def _(b):
-    d = _all_distances(b)
-    return quantise.better_medoids(d, quantise.nearest_medoid(d, _medoids(b)))
+    return quantise.better_medoids(b.own, quantise.nearest_medoid(panel.pack(b.own), _medoids(b)))
+
+
+_SWAPS = f"""(SELECT m.medoid, d.other AS candidate, sum(pow(least(d.distance, r.rest), 2)) AS loss FROM {_ALLD} d, (VALUES (3), (17), (30), (44)) m(medoid)
+ JOIN (SELECT x.hap_id, g.gone, min(x.distance) AS rest FROM {_ALLD} x, (VALUES (3), (17), (30), (44)) g(gone) WHERE x.other IN (3, 17, 30, 44) AND x.other <> g.gone GROUP BY 1, 2) r ON r.gone = m.medoid WHERE r.hap_id = d.hap_id GROUP BY 1, 2)"""
+
+
+@query("m04_best_swap", f"SELECT medoid::BIGINT AS medoid, candidate, loss FROM (SELECT *, row_number() OVER (PARTITION BY medoid ORDER BY loss, candidate) AS n FROM {_SWAPS}) WHERE n = 1")
+def _(b):
+    return quantise.best_swap(panel.pack(b.own), _medoids(b))
 
 
 @query("m05_cluster_haps", f"SELECT sample_idx, string_agg(DISTINCT y.hap_id::VARCHAR, ' ' ORDER BY y.hap_id::VARCHAR) AS haps FROM (SELECT DISTINCT hap_id // 2 AS sample_idx, medoid FROM {_MED}) x JOIN {_MED} y ON y.medoid = x.medoid AND y.hap_id // 2 <> x.sample_idx GROUP BY 1")
 def _(b):
-    got = quantise.cluster_haps(quantise.nearest_medoid(_all_distances(b), _medoids(b)))
+    got = quantise.cluster_haps(quantise.nearest_medoid(panel.pack(b.own), _medoids(b)))
     return got.select("sample_idx", F.array_join(F.array_sort(F.transform("haps", lambda x: x.cast("string"))), " ").alias("haps"))

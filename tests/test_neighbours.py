@@ -87,3 +87,31 @@ def test_borders_that_say_nothing_leave_windows_as_they_are(spark):
     rows = [("20", w, 0, m, 0.5, 0.5) for w in (0, 1, 2) for m in range(8 * w, min(18, 8 * w + 10))]
     parts = spark.createDataFrame(rows, "chr string, window long, sample_idx long, site_idx long, p_a double, p_b double")
     assert L.ligate(parts, 10, 2).count() == 18 and L.ligate(parts.limit(0), 10, 2).count() == 0
+
+
+def test_medoids_by_counts_and_by_blocks(spark):
+    """Both searches against all pairs: the member with the least sum, and the swap with the least loss."""
+    from phasegrid.operators import quantise as Q
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 2, (3, 70))[rng.integers(0, 3, 30)] ^ (rng.random((30, 70)) < 0.1)
+    alleles = spark.createDataFrame([(h, m, int(x[h, m])) for h in range(30) for m in range(70)], "hap_id long, site_idx long, allele int")
+    haps, ids = P.pack(alleles), [4, 9, 20]
+    medoids = spark.createDataFrame(list(zip(ids, range(3))), "medoid long, rank int")
+    d = (x[:, None] != x[None]).sum(2)
+    near = d[:, ids].argmin(1)
+    assigned = Q.nearest_medoid(haps, medoids)
+    assert sorted(map(tuple, assigned.collect())) == [(h, ids[near[h]], d[h, ids[near[h]]]) for h in range(30)]
+    for r in Q.better_medoids(alleles, assigned).collect():
+        pool = np.flatnonzero(near == ids.index(r.medoid))
+        loss = d[np.ix_(pool, pool)].sum(0)
+        assert (r.best, r.loss) == (pool[loss.argmin()], loss.min())
+    for r in Q.best_swap(haps, medoids, 2, per=7).collect():
+        rest = np.delete(d[:, ids], ids.index(r.medoid), 1).min(1)
+        loss = (np.minimum(d, rest[:, None]) ** 2).sum(0)
+        assert (r.candidate, r.loss) == (loss.argmin(), loss.min())
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    for inside in (True, False):
+        done = Q.kmedoids(alleles, 3, inside=inside).collect()
+        assert len(done) == 30 and len({r.medoid for r in done}) <= 3
+    assert sum(r.distance for r in done) <= 30 * 12

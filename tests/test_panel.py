@@ -34,13 +34,13 @@ def test_neighbours_alternate_and_are_unique(spark):
     x = rng.integers(0, 2, (16, 40))
     rows = [(i, m, int(x[i, m])) for i in range(16) for m in range(40)]
     packed = panel.pack(spark.createDataFrame(rows, "hap_id long, site_idx long, allele int"))
-    got = panel.nearest(panel.distances(packed, packed), 5).toPandas()
+    got = panel.nearest(panel.distances(packed, packed), 5, 16).toPandas()
     from phasegrid.plans.engine import nearest_lists
 
     for metric in ("hamming", "tract"):  # the blocks' nearest rows are all that is needed
-        every, some = (panel.nearest(d, 5).collect() for d in (panel.distances(packed, packed, metric, 40), panel.near_distances(packed, packed, 5, metric, 40, per=3)))
+        every, some = (panel.nearest(d, 5, 16).collect() for d in (panel.distances(packed, packed, metric, 40), panel.near_distances(packed, packed, 5, metric, 40, per=3)))
         assert sorted(every) == sorted(some)
-    assert panel.nearest(panel.near_distances(packed, packed, 500, per=5), 500).count() == 8 * 14
+    assert panel.nearest(panel.near_distances(packed, packed, 500, per=5), 500, 16).count() == 8 * 14
     want = nearest_lists(x, 8, 5)
     for i in range(8):
         mine = got[got.sample_idx == i].sort_values("rank").hap_id.tolist()
