@@ -32,6 +32,8 @@ from .tokens import encoder
 MAGIC = b"PGRIDSST"
 FOOTER = struct.Struct("<QQQQQQI4x8s")  # places and lengths of index and filter, documents, tokens, hashes, magic
 RESTART, BLOCK, KEY_BITS, HASHES = 16, 1 << 16, 10, 7
+#: Bytes and documents after which a shard ends.
+SHARD, SHARD_DOCS = 256 << 20, 1 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -200,36 +202,43 @@ def open_shard(path: str) -> Shard:
     return Shard(where.open_input_file(at))
 
 
-MANIFEST = "shard int, path string, first_id long, last_id long, n_docs long, n_tokens long"
+MANIFEST = "shard long, path string, first_id long, last_id long, n_docs long, n_tokens long"
 
 
-def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = SHARD) -> DataFrame:
     """The manifest of the shards that hold the ids of docs(doc_id, text), with end_id after each document's.
 
     folder: a URI that all executors reach. Shards ascend by identifier, null first; equal identifiers go by text. Null texts
-    are empty. Other columns are not read. An empty table gives an empty manifest. The manifest is stored.
+    are empty. Other columns are not read. An empty table gives an empty manifest. The manifest is stored. A task begins
+    another shard after shard_bytes, or SHARD_DOCS documents, whose keys it holds.
     """
     spark, vocabulary = docs.sparkSession, tokenizer
     folder = f"{folder or shared_dir(spark)}/sst-{uuid.uuid4().hex}"
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, shard = encoder(vocabulary), None, TaskContext.get().partitionId()
+        encode, writer, shard = encoder(vocabulary), None, TaskContext.get().partitionId() << 24
         for ids, texts in rows(batches, 64):
             for doc_id, value in zip(ids, encode.many(texts)):
                 if writer is None:
-                    path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.sst"
+                    path = f"{folder}/{shard:012d}-{uuid.uuid4().hex}.sst"
                     where, at = fs.FileSystem.from_uri(path)
                     where.create_dir(at.rpartition("/")[0], recursive=True)
                     writer = Writer(out := where.open_output_stream(at))
                 value += end
                 writer.add(key_of(doc_id), pack_ids(value), len(value) // 4)
+                if writer.at >= shard_bytes or len(writer.keys) >= SHARD_DOCS:
+                    yield closed(shard, path, writer, out)
+                    writer, shard = None, shard + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            row = (shard, path, id_of(writer.keys[0]), id_of(writer.keys[-1]), len(writer.keys), writer.n_tokens)
-            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in MANIFEST.split(", ")])
+            yield closed(shard, path, writer, out)
+
+    def closed(shard: int, path: str, writer: Writer, out) -> pa.RecordBatch:
+        writer.close()
+        out.close()
+        row = (shard, path, id_of(writer.keys[0]), id_of(writer.keys[-1]), len(writer.keys), writer.n_tokens)
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in MANIFEST.split(", ")])
 
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(write, MANIFEST), "manifest")

@@ -57,6 +57,14 @@ def test_cache_is_bounded_in_bytes(monkeypatch, encode):
         assert all(len(k) <= tokens.LONGEST for k in cache) and sum(len(k) + len(v) + tokens.ENTRY for k, v in cache.items()) <= 20_000 + 1000
 
 
+def test_shards_end_at_their_size(spark, encode):
+    docs = spark.createDataFrame([(i, f"text {i} " * 400) for i in range(300)], "doc_id long, text string")
+    manifest = S.write_shards(docs, shard_bytes=1)
+    assert manifest.count() > 4 and [r.doc_id for r in S.read_shards(manifest).orderBy("start").collect()] == list(range(300))
+    found = S.lookup(manifest, [0, 7, 150, 299, 300])
+    assert [len(found[k]) for k in (0, 7, 150, 299, 300)] == [1, 1, 1, 1, 0] and found[150][0] == encode("text 150 " * 400) + struct.pack("<I", 2)
+
+
 def test_shards_hold_all_ids_in_order(spark, encode):
     docs = spark.createDataFrame(rows(), SCHEMA)
     manifest = S.write_shards(docs)
