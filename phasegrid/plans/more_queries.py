@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import PhaseConfig
 from ..functions import scalar as S
-from ..operators import hmm, kernel, panel, quantise
+from ..operators import chains, hmm, kernel, panel, quantise
 from ..operators.ligate import border_signs, ligate, windows_of
 from ..rng import uniform
 from ..sources import readers, writers
@@ -278,6 +278,97 @@ def _(b):
     return phase_joined(b.gl.select(*CELL, "rr", "het", "aa"), sites, _SMALL, b.panel, 256)
 
 
+_CHAINS = 5
+_LL = "(SELECT o_custkey AS id, list_transform(range(5), lambda i: -((sum(round(o_totalprice * 100)::BIGINT)::BIGINT + i * 7919) % 5000) / 10.0::DOUBLE) AS ll FROM orders GROUP BY 1)"
+_SET = lambda i: f"list_transform(range(4), lambda j: (id * 31 + {i} * 17 + j * 7) % 2000)"
+_CUM = "list_transform(range(5), lambda k: list_sum(list_transform(ll[1:k + 1], lambda x: exp((x - list_max(ll)) / 10000))))"
+_PICK = lambda name: f"least(len(list_filter({_CUM}, lambda c: {u(f"'{name}'", 'id', '0')} * {_CUM}[5] >= c)), 4)"
+
+
+def _chain_rows(b):
+    """Each customer's five chains: log-likelihoods from the sum of the orders."""
+    total = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    rows = b.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(total.alias("total"))
+    return rows.select("id", F.array(*[-((F.col("total") + i * 7919) % 5000) / F.lit(10.0) for i in range(_CHAINS)]).alias("ll"))
+
+
+def _set_of(i):
+    return F.array(*[(F.col("id") * 31 + i * 17 + j * 7) % 2000 for j in range(4)])
+
+
+@query("m10_chain_weights", f"SELECT id, i - 1 AS chain, round(i * 2.0 / 5, 9) AS heat, round(exp((ll[i] - list_max(ll)) / 10000), 9) AS weight FROM (SELECT *, unnest(range(1, 6)) AS i FROM {_LL})")
+def _(b):
+    each = _chain_rows(b).select("id", F.posexplode(chains.weights(F.col("ll"))).alias("chain", "weight"))
+    return each.select("id", F.col("chain").cast("long").alias("chain"), F.round(chains.heat(F.col("chain"), _CHAINS, 2.0), 9).alias("heat"), F.round("weight", 9).alias("weight"))
+
+
+_M11 = f"(SELECT id, ll, floor({u("'m11'", 'id', '1')} * 5)::INT AS chain, floor({u("'m11'", 'id', '2')} * 4)::INT AS slot, floor({u("'m11'", 'id', '3')} * 2000)::BIGINT AS hap, {u("'m11'", 'id', '4')} AS u, -(id * 37 % 5000) / 10.0::DOUBLE AS new FROM {_LL})"
+
+
+@query("m11_mutate", f"SELECT id, chain, array_to_string(list_transform(range(4), lambda j: CASE WHEN j = slot THEN hap ELSE (id * 31 + chain * 17 + j * 7) % 2000 END), ' ') AS parents, u < exp(least(0.0, (new - ll[chain + 1]) / ((chain + 1) / 5.0) * 0.5)) AS kept FROM {_M11}")
+def _(b):
+    """A chain takes another parent in one of its slots, if the likelihood it would have allows it."""
+    draw = lambda k: uniform("m11", F.col("id"), F.lit(k))
+    chain = F.floor(draw(1) * _CHAINS).cast("int")
+    gain = (-(F.col("id") * 37 % 5000) / F.lit(10.0) - F.get("ll", chain)) / chains.heat(chain, _CHAINS)
+    new = chains.mutated(_set_of(chain), F.floor(draw(2) * 4).cast("int"), F.floor(draw(3) * 2000))
+    return _chain_rows(b).select("id", chain.alias("chain"), F.array_join(new.cast("array<string>"), " ").alias("parents"), chains.gains(gain, 0.5, draw(4)).alias("kept"))
+
+
+_M12 = f"(SELECT *, (one + 1 + floor({u("'m12'", 'id', '1')} * 4)::INT) % 5 AS two, floor({u("'m12'", 'id', '2')} * 16)::INT AS mask, {u("'m12'", 'id', '3')} AS u, -(id * 41 % 5000) / 10.0::DOUBLE AS la, -(id * 43 % 5000) / 10.0::DOUBLE AS lb FROM (SELECT *, {_PICK('m12')}::INT AS one FROM {_LL}))"
+
+
+@query("m12_crossover", f"""SELECT id, one, two, array_to_string(list_transform(range(4), lambda j: (id * 31 + CASE WHEN (mask >> j::INT) & 1 = 1 THEN two ELSE one END * 17 + j * 7) % 2000), ' ') AS first, array_to_string(list_transform(range(4), lambda j: (id * 31 + CASE WHEN (mask >> j::INT) & 1 = 1 THEN one ELSE two END * 17 + j * 7) % 2000), ' ') AS second,
+ u < exp(least(0.0, ((la - ll[one + 1]) / ((one + 1) / 5.0) + (lb - ll[two + 1]) / ((two + 1) / 5.0)) * 0.5)) AS kept FROM {_M12}""")
+def _(b):
+    """A chain by its weight and another change parents by four bits, if the likelihoods they would have allow it."""
+    draw = lambda k: uniform("m12", F.col("id"), F.lit(k))
+    rows = _chain_rows(b).withColumn("one", chains.roulette(F.col("ll"), draw(0))).withColumn("two", chains.other(F.col("one"), _CHAINS, draw(1)))
+    x, y = chains.crossed(_set_of(F.col("one")), _set_of(F.col("two")), F.floor(draw(2) * 16).cast("int"))
+    gain = sum((-(F.col("id") * k % 5000) / F.lit(10.0) - F.get("ll", F.col(c))) / chains.heat(F.col(c), _CHAINS) for k, c in ((41, "one"), (43, "two")))
+    text = lambda c: F.array_join(c.cast("array<string>"), " ")
+    return rows.select("id", "one", "two", text(x).alias("first"), text(y).alias("second"), chains.gains(gain, 0.5, draw(3)).alias("kept"))
+
+
+_M13 = "l[c + 2] - l[c + 1]) * (5.0 / (c + 1) - 5.0 / (c + 2)"
+
+
+@query("m13_exchange", f"""SELECT id, array_to_string(list_transform(l, lambda x: round(x, 1)::VARCHAR), ' ') AS loglik FROM (WITH RECURSIVE ex AS (
+  SELECT id, 0 AS t, ll AS l FROM {_LL}
+  UNION ALL
+  SELECT id, t + 1, CASE WHEN {u("'m13.u'", 'id', 't')} < exp(least(0.0, ({_M13}))) THEN list_transform(l, lambda x, i: CASE WHEN i = c + 1 THEN l[c + 2] WHEN i = c + 2 THEN l[c + 1] ELSE x END) ELSE l END FROM (SELECT *, floor({u("'m13.c'", 'id', 't')} * 4)::INT AS c FROM ex WHERE t < 5))
+  SELECT * FROM ex WHERE t = 5)""")
+def _(b):
+    """Neighbouring chains are offered to change places, as often as there are chains."""
+    draws = F.array(*[F.struct(uniform("m13.c", F.col("id"), F.lit(t)).alias("pick"), uniform("m13.u", F.col("id"), F.lit(t)).alias("u")) for t in range(_CHAINS)])
+    done = chains.exchanged(F.col("ll"), draws, _CHAINS)
+    return _chain_rows(b).select("id", F.array_join(F.transform(done, lambda x: F.round(x, 1).cast("string")), " ").alias("loglik"))
+
+
+@query("m14_final_chain", f"SELECT id, {_PICK('m14')}::INT AS chain FROM {_LL}")
+def _(b):
+    return _chain_rows(b).select("id", chains.roulette(F.col("ll"), uniform("m14", F.col("id"), F.lit(0))).alias("chain"))
+
+
+_M9 = f"(SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, -((o_orderkey * 7919) % 500) / 100.0::DOUBLE AS x, {u("'m9'", 'o_orderkey')} AS u FROM orders)"
+
+
+@query("m09_delayed_steps", f"""SELECT id, array_to_string(list_transform(acc, lambda a: CASE WHEN a THEN '1' ELSE '0' END), '') AS accepted, round(cur, 6) AS loglik FROM (WITH RECURSIVE steps AS MATERIALIZED {_M9}, go AS (
+  SELECT id, 0::BIGINT AS n, -2.0::DOUBLE AS cur, 0.0::DOUBLE AS sec, false AS wait, []::BOOLEAN[] AS acc FROM (SELECT DISTINCT id FROM steps)
+  UNION ALL
+  SELECT id, n + 1, CASE WHEN ok THEN x ELSE cur END, CASE WHEN ok THEN 0.0 ELSE x END, NOT ok AND NOT wait, list_append(acc, ok) FROM (
+    SELECT go.id, go.n, x, cur, sec, wait, acc, CASE WHEN wait THEN x >= sec AND (x >= cur OR u < coalesce(exp(x - cur) * (1 - least(1.0, exp(sec - x))) / nullif(1 - least(1.0, exp(sec - cur)), 0.0), 0.0)) ELSE x >= cur OR u < exp(least(0.0, (x - cur) * 0.5)) END AS ok
+    FROM go JOIN steps s ON s.id = go.id AND s.n = go.n + 1))
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS r FROM go) WHERE r = 1""")
+def _(b):
+    """Each customer's orders as proposals, in order, with delayed rejection."""
+    o = F.col("o_orderkey")
+    step = F.struct(o.alias("n"), (-((o * 7919) % 500) / F.lit(100.0)).alias("loglik"), uniform("m9", o).alias("u"))
+    rows = b.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list(step)).alias("steps"))
+    done = rows.select("id", chains.delayed(F.lit(-2.0), F.col("steps"), 0.5).alias("d"))
+    return done.select("id", F.array_join(F.transform("d.accepted", lambda a: F.when(a, "1").otherwise("0")), "").alias("accepted"), F.round("d.now", 6).alias("loglik"))
+
+
 @query("k05_proposal_log")
 def _(b):
     """Every generation's proposals of Metropolis steps and of chains, as rows that the tasks write."""
