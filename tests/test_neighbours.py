@@ -115,3 +115,31 @@ def test_medoids_by_counts_and_by_blocks(spark):
         done = Q.kmedoids(alleles, 3, inside=inside).collect()
         assert len(done) == 30 and len({r.medoid for r in done}) <= 3
     assert sum(r.distance for r in done) <= 30 * 12
+
+
+def test_a_run_in_windows_has_no_more_switches_than_one_window(spark):
+    from phasegrid.config import PhaseConfig
+    from phasegrid.plans.run import phase_joined
+
+    rng = np.random.default_rng(4)
+    n, sites = 12, 200
+    founders = rng.integers(0, 2, (8, sites))
+    truth = founders[rng.integers(0, 8, (2 * n, sites // 40)).repeat(40, axis=1), np.arange(sites)]
+    dosage = truth[0::2] + truth[1::2]
+    gl = [(i, m, *(0.98 if g == dosage[i, m] else 0.01 for g in range(3))) for i in range(n) for m in range(sites)]
+    gl = spark.createDataFrame(gl, "sample_idx long, site_idx long, rr double, het double, aa double")
+    where = spark.createDataFrame([(m, "20", 1000 * m, m * 0.02) for m in range(sites)], "site_idx long, chr string, pos long, cm double")
+    panel = spark.createDataFrame([(h, m, int(founders[h, m])) for h in range(8) for m in range(sites)], "hap_id long, site_idx long, allele int")
+    cfg = PhaseConfig(annealing_gens=5, burnin_gens=5, sampling_gens=15, nested_gens=60, seed=3)
+
+    def switches(window, overlap):
+        got = phase_joined(gl, where, cfg, panel, window, overlap=overlap).toPandas()
+        total = 0
+        for i in range(n):
+            mine = got[got.sample_idx == i].sort_values("site_idx")
+            het = np.flatnonzero(dosage[i] == 1)
+            side = (mine.p_a.to_numpy() > mine.p_b.to_numpy())[het] == (truth[2 * i] == 1)[het]
+            total += int((np.diff(side.astype(int)) != 0).sum())
+        return total
+
+    assert switches(50, 12) <= switches(200, 0) + 1
