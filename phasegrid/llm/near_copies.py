@@ -98,7 +98,7 @@ def _sets(docs: DataFrame, marks: DataFrame, asked: DataFrame) -> DataFrame:
     asked = stored(asked, "asked")
     wanted = marks.join(asked, marks["node"] == asked["of"], "left_semi")
     holders = stored(wanted.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct(), "holders")
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(holders, F.col("doc_id") == F.col("id"), "left_semi").select("text")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(holders.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").select("text")
     if not wanted.where("doc_id IS NULL").isEmpty():
         texts = texts.unionByName(docs.where("doc_id IS NULL").select("text"))
 
@@ -193,7 +193,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     marks = stored(_marks(docs), "marks")
     found = cut(marks.select("doc_id", "node").join(named(docs, marks, similarity), "node"))
     kept = found.where("doc_id = least").select(F.col("doc_id").alias("of")).distinct()
-    with_id = first_by_id(docs.join(kept, docs["doc_id"] == kept["of"], "left_semi"))
+    with_id = first_by_id(docs.join(kept.hint("merge"), docs["doc_id"] == kept["of"], "left_semi"))
     nameless = docs.where("doc_id IS NULL")
     if nameless.isEmpty():
         return with_id

@@ -360,7 +360,8 @@ def _aligned(docs: DataFrame, pairs: DataFrame, least_words: int, similarity: fl
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((doc, of, side, start, out, more), kinds)], ["doc_id", "of_id", "side", "from", "words", "more"])
 
-    texts = docs.withColumnRenamed("doc_id", "id").join(asked, "id").select("text", "doc_id", "of_id", "side", "from", "to")
+    # By shuffles whatever is asked: a plan that changes with the number of requests would tell little about more of them.
+    texts = docs.withColumnRenamed("doc_id", "id").hint("merge").join(asked, "id").select("text", "doc_id", "of_id", "side", "from", "to")
     parts = texts.mapInArrow(fetch, "doc_id long, of_id long, side int, from int, words string, more boolean")
     both = parts.groupBy("doc_id", "of_id").agg(*[F.max(F.when(F.col("side") == s, F.struct("from", "words", "more"))).alias(c) for s, c in ((0, "x"), (1, "y"))])
     both = both.select("doc_id", "of_id", *[F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in ("x", "y") for k in ("from", "words", "more")])
@@ -405,7 +406,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs(doc_id, text and others) without the passages; documents of which no word is left go. n_chars, if there, is set anew where text changes."""
     columns, name = docs.columns, fresh("spans", docs.columns)
     spans = passages.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias(name))
-    joined = docs.join(spans, docs["doc_id"] == spans["of"], "left").select(*[docs[c] for c in columns], name)
+    joined = docs.join(spans.hint("merge"), docs["doc_id"] == spans["of"], "left").select(*[docs[c] for c in columns], name)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ def test_copies_down_to_four_fifths_go_and_others_stay(spark):
 
 
 def test_families_just_below_and_above_are_told_apart(spark):
-    """120 documents of a family whose pairs are all near 0.8, so that many groups stay apart for several rounds."""
+    """80 documents of two families whose pairs are all near 0.8, so that many groups stay apart for several rounds."""
     import corpus_pipeline as C
 
     rng = np.random.default_rng(5)
@@ -46,7 +46,7 @@ def test_families_just_below_and_above_are_told_apart(spark):
     texts = []
     for edits in (2, 3):  # pairs share all but 10 x edits of 200 shingles or so: similarities about 0.82 and 0.74
         base = words(200)
-        for _ in range(60):
+        for _ in range(40):
             w = list(base)
             for at in rng.choice(38, edits, replace=False) * 5 + 4:
                 w[at] = f"new{rng.integers(0, 10**9)}"

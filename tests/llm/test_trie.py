@@ -42,7 +42,7 @@ def _tables(spark, convs):
     return spark.createDataFrame(turns, "conv_id long, depth long, digest string, chars long"), spark.createDataFrame([(c, len(x)) for c, x in convs.items()], "conv_id long, size long")
 
 
-@pytest.mark.parametrize("seed, block, piece, long", [(1, 1 << 16, 4096, 1024), (2, 4, 2, 3), (3, 7, 3, 2), (4, 1, 1, 1)])
+@pytest.mark.parametrize("seed, block, piece, long", [(1, 1 << 16, 4096, 1024), (2, 4, 2, 3)])
 def test_random_conversations_in_blocks_of_any_size(spark, seed, block, piece, long):
     rng = random.Random(seed)
     pool = [(t, 3 * t + 1) for t in range(3)]
