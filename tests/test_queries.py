@@ -6,8 +6,8 @@ SMALL = "/root/testdata/sf0.001"
 assert more_queries
 
 
-#: One in three, and the longer folds; the driver's own comparison runs them all.
-SOME = sorted({*sorted(genomic.ORACLES)[::3], "t01_knn_topk", "w01_forward_loglik", "w05_draw_haplotypes", "m16_batched_kernel", "a13_streamed_pileup", "r01_ligate", "r01_prepare", "t01_tract_topk", "s21_read_panel", "m04_best_swap", "f31_bisected_blocks"})
+#: One in six, and the longer folds; the driver's own comparison runs them all.
+SOME = sorted({*sorted(genomic.ORACLES)[::6], "t01_knn_topk", "w01_forward_loglik", "w05_draw_haplotypes", "m16_batched_kernel", "a13_streamed_pileup", "r01_ligate", "r01_prepare", "t01_tract_topk", "s21_read_panel", "m04_best_swap", "f31_bisected_blocks"})
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -15,7 +15,7 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, same_rows, name):
     same_rows(genomic.QUERIES[name](spark, SMALL), duck.sql(genomic.ORACLES[name]))
 
 
-@pytest.mark.parametrize("name", ["w06_quantised_loglik", "m04_kmedoids", "r04_phase_metropolis", "k06_progress", "k05_proposal_log", "r04_phase_windows"])
+@pytest.mark.parametrize("name", ["w06_quantised_loglik", "m04_kmedoids", "r04_phase_metropolis", "k05_proposal_log"])
 def test_query_without_sql_gives_rows(spark, name):
     assert genomic.QUERIES[name](spark, SMALL).count() > 0
 
