@@ -25,7 +25,7 @@ from .tokens import encoder
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
-def pieces(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = False, room: int | None = None) -> DataFrame:
     """The pieces of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, and ids (32-bit) if asked for.
 
     end_id ends each document, so an empty or null text is one piece of one token. Repeated rows are
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, length: int = 1024, end_id: int = 0, tokenizer: str
     vocabulary, end = tokenizer, struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, room=room)
         kinds = [pa.int64()] * 5 + [pa.binary()]
         for doc_ids, texts in rows(batches, 64):
             out = []
@@ -163,13 +163,14 @@ def sequences(packed: DataFrame, length: int = 1024, pad_id: int = 0) -> DataFra
     return grouped.select("sequence_id", F.transform("x", lambda p: p["ids"]).alias("parts")).mapInArrow(join, "sequence_id long, input_ids array<int>, n_tokens int")
 
 
-def pack_documents(docs: DataFrame, length: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = 1024, room: int | None = None) -> DataFrame:
     """Every piece of docs(doc_id, text), placed. Texts are read and encoded once: the pieces are stored.
 
     Null and empty texts are one token, null ids documents like any other, repeated rows documents of their own. Other columns are not
-    read. An empty table gives no rows. A text of any length is cut; documents that tie in size are ranked by hash, then by id.
+    read. An empty table gives no rows. A text of any length is cut; documents that tie in size are ranked by hash, then by id. room: bytes of each generation of
+    a worker's token cache, which the result doesn't depend on.
     """
-    return pack(stored(pieces(docs, length).drop("ids"), "pieces"), length)
+    return pack(stored(pieces(docs, length, room=room).drop("ids"), "pieces"), length)
 
 
 def op10_pack(spark, sf_dir):

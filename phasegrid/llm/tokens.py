@@ -11,7 +11,7 @@ from itertools import islice
 import numpy as np
 
 #: Bytes in each of the two generations of the cache of pieces (that of pieces without a space in front has a quarter), with ENTRY for what a piece takes besides its text and ids.
-ROOM, ENTRY = 72 << 20, 200
+ROOM, ENTRY = 192 << 20, 200
 #: Longer pieces recur too seldom to be kept.
 LONGEST = 64
 #: A space whose next character isn't white space: no token crosses it from the left.
@@ -65,14 +65,15 @@ class Encoder:
     vocabulary's special tokens, spelled out in a text, are the library's special ids; with plain=True they are text like any other.
     """
 
-    def __init__(self, path: str | None = None, plain: bool = False):
+    def __init__(self, path: str | None = None, plain: bool = False, room: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.tokenizer.encode_special_tokens = plain
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
         #: By piece: after a space, or after a line feed if the piece begins with one; and without either.
-        self.pieces, self.first, self.feed = _Cache(ROOM), _Cache(ROOM // 4), self._direct("\n")
+        room = room or ROOM
+        self.pieces, self.first, self.feed = _Cache(room), _Cache(room // 4), self._direct("\n")
 
     def _direct(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -159,6 +160,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str | None = None, plain: bool = False) -> Encoder:
+def encoder(path: str | None = None, plain: bool = False, room: int | None = None) -> Encoder:
     """One encoder for each worker and vocabulary; tasks that follow find its cache filled. Without a path, the worker finds the default."""
-    return Encoder(path, plain)
+    return Encoder(path, plain, room)
