@@ -53,7 +53,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are one token. Repeated rows and null ids are documents of their own. Only the pieces are returned.
     """
-    return packing.pack_documents(docs)
+    # The workers also hold what the stages before left there, so the token cache is small.
+    return packing.pack_documents(docs, room=24 << 20)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("mix", mix), ("pack", pack)]
