@@ -61,7 +61,7 @@ def small_batches(spark: SparkSession, n: int = 1000) -> None:
     """Rows that hold whole texts go to Python n at a time, and 16 MB at a time, where the session still has Spark's defaults of ten and four times as many."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216b")
 
 
