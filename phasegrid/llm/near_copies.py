@@ -7,7 +7,9 @@ themselves do. Both are made anew from the texts, once, for the sets that have a
 
 In a band's group some heads are compared with all others that aren't connected to them, and leave the group; then four times as many, until a
 group is one component or empty. So every pair of a group is compared or connected, and what is connected early costs no more pairs: a group of copies takes
-a few times its size. Only a family that stays just below the similarity, and so apart, takes the square of its size.
+a few times its size. In a large group each set is also told by what sets it apart from the first head. Of that, what no other set has can't bring it nearer to any,
+which bounds the sets that may be alike to it: pairs beyond the bound aren't compared, and sets that nothing is left for leave the group. So edited copies of one
+text stay cheap though they are too far from each other; only sets that share what sets them apart, and yet stay just below the similarity, take the square of their number.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ _ODD, _PLUS = np.random.default_rng(0).integers(0, 2**63, (2, SIGNS, 1), dtype=n
 _ODD = _ODD * np.uint64(2) + np.uint64(1)
 #: The minima of each band, 16 of 5; at a similarity of 0.8, 0.2 % of the pairs share none.
 BANDS = np.arange(80).reshape(16, 5)
+#: Groups of more sets get bounds; smaller ones are compared as they are, at most so many pairs a set.
+BOUNDED = 32
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -146,6 +150,35 @@ def _grouped(bands: DataFrame) -> DataFrame:
     return cut(bands.select("key", "node").join(bands.groupBy("node").agg(F.sum("size").alias("weight")), "node"))
 
 
+def _bounds(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(head, node, far, reach) of the nodes of groups(key, node, head) with over BOUNDED of them. Sets x and y of one head can only be alike if x's far is at most y's reach, and the reverse.
+
+    D(x) are the hashes that x or the head has, not both. x and y are alike if |D(x)| + |D(y)| - 2 |D(x) & D(y)|, in which they differ, is at most
+    the share c of their sizes, and the common part is at most what D(x) shares with any other of the head's nodes: |D(x)| less its own hashes.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    large = groups.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BOUNDED).select("key")
+    asked = groups.join(large, "key").select("node", "head").distinct()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x, y = ([np.frombuffer(v, np.uint64) for v in part.column(n).to_pylist()] for n in ("x", "y"))
+                own = [np.setxor1d(p, q, assume_unique=True).view(np.int64) for p, q in zip(x, y)]
+                columns = [part.column("head"), part.column("node"), pa.array([len(p) for p in x], pa.int64()), pa.array(own, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["head", "node", "size", "own"])
+
+    mine = asked.join(sets.select("node", F.col("found").alias("x")), "node").join(sets.select(F.col("node").alias("head"), F.col("found").alias("y")), "head")
+    apart = cut(mine.select("head", "node", "x", "y").mapInArrow(compare, "head long, node long, size long, own array<long>"))
+    alone = apart.select("head", "node", F.explode("own").alias("hash")).groupBy("head", "hash").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = alone.groupBy("head", "node").agg(F.count("*").alias("alone"))
+    size, most = F.size("own"), F.col("size") * c
+    # A hair more, for the rounding of the share.
+    reach = most + size - 2 * F.coalesce("alone", F.lit(0)) + 1e-6
+    return apart.join(alone, ["head", "node"], "left").select("head", "node", (size - most).alias("far"), reach.alias("reach"))
+
+
 def named(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root, least): of each node of marks, which are those of docs, its component and the component's least doc_id."""
     members = stored(marks.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "keys")]), "members")
@@ -161,8 +194,10 @@ def named(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) ->
         roots = stored(roots.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")), "roots")
 
     def apart(groups: DataFrame) -> DataFrame:
-        """The groups that more than one component holds, with the nodes' roots."""
-        now = groups.join(roots, "node").select("key", "node", "weight", "root")
+        """groups without the nodes that none of their group can be alike to, of the groups that more than one component holds; with the nodes' roots."""
+        ends = groups.groupBy("key").agg(F.max("reach").alias("most"), F.min("far").alias("least"))
+        near = groups.join(ends, "key").where("far <= most AND reach >= least").select(*groups.columns)
+        now = cut(near.join(roots, "node"))
         return cut(now.join(now.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key"), "key"))
 
     groups = _grouped(members.select("node", F.explode("keys").alias("key")))
@@ -171,14 +206,21 @@ def named(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) ->
     first = cut(stars.unionByName(_by_fingerprint(members)))
     sets = _sets(docs, marks, groups.select(F.col("node").alias("of")).unionByName(first.select(F.explode(F.array("a", "b")).alias("of"))).distinct())
     compare(first)
-    groups, n = apart(groups.join(head, "key").where("node <> head").select("key", "node", "weight")), 2
+    groups = cut(groups.join(head, "key").where("node <> head").join(roots, "node"))
+    groups = groups.join(groups.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key"), "key")
+    bounds = _bounds(cut(groups), sets, similarity)
+    endless = F.lit(float("inf"))
+    kept = ["key", "node", "weight", "far", "reach"]
+    groups = groups.join(bounds, ["head", "node"], "left").withColumns({"far": F.coalesce("far", -endless), "reach": F.coalesce("reach", endless)})
+    groups, n = apart(groups.select(*kept)), 2
     while not groups.isEmpty():
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
-        groups = groups.withColumn("place", place)
-        heads = groups.where(F.col("place") <= n).select("key", F.col("node").alias("head"), F.col("root").alias("of"), F.col("place").alias("at"))
-        met = heads.join(groups, "key").where("root <> of AND place > at")
-        compare(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")))
-        groups, n = apart(groups.where(F.col("place") > n).select("key", "node", "weight")), 4 * n
+        # The greatest reach is a head's, too: while such a set is there, no other can leave.
+        place = lambda by: F.row_number().over(Window.partitionBy("key").orderBy(F.desc(by), "node"))
+        groups = cut(groups.withColumn("first", (place("weight") <= n) | (place("reach") <= n)))
+        heads = groups.where("first").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "far", "reach")])
+        met = heads.join(groups, "key").where("root <> root_ AND far <= reach_ AND far_ <= reach AND (NOT first OR node > node_)")
+        compare(met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")))
+        groups, n = apart(groups.where("NOT first").select(*kept)), 4 * n
     found = members.select("node", "first_id").join(roots, "node")
     least = found.groupBy("root").agg(F.min("first_id").alias("least"))
     return found.join(least, "root").select("node", "root", "least")

@@ -84,3 +84,28 @@ def test_bands_bring_pairs_at_the_similarity_together():
         x = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
         met += bool(set(N.keys(N.signature(np.unique(x[:n])))) & set(N.keys(N.signature(np.unique(np.r_[x[:both], x[n:]])))))
     assert met >= 295
+
+
+def test_edited_copies_too_far_from_each_other_do_not_all_meet(spark, monkeypatch):
+    """240 documents of one text with 0 to 8 edits: those with few are one component, the others, alike to none, aren't compared with all."""
+    import corpus_pipeline as C
+    from phasegrid.llm import near_copies as N
+
+    met, alike = [], N._alike
+
+    def counted(pairs, sets, similarity):
+        met.append(pairs.count())
+        return alike(pairs, sets, similarity)
+
+    monkeypatch.setattr(N, "_alike", counted)
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{x}" for x in rng.integers(0, 5000, 150)], []
+    for i in range(240):
+        w = list(base)
+        for at in rng.choice(29, i % 9, replace=False) * 5 + 2:
+            w[at] = f"new{rng.integers(0, 10**9)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in C.near_copies(spark, docs, "").collect())
+    assert got == sorted(set(brute(texts, 0.8))) and len(got) > 100
+    assert sum(met) < 12 * len(texts)
