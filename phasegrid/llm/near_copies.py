@@ -5,11 +5,12 @@ reaches few pairs at a similarity of 0.8, from MinHash: sets that share a band o
 signature of SIGNS minima decides on pairs that are clearly alike or clearly not; for those within SURE of the similarity the sets
 themselves do. Both are made anew from the texts, once, for the sets that have a candidate. Equal sets are one node from the start.
 
-In a band's group some heads are compared with all others that aren't connected to them, and leave the group; then four times as many, until a
-group is one component or empty. So every pair of a group is compared or connected, and what is connected early costs no more pairs: a group of copies takes
-a few times its size. In a large group each set is also told by what sets it apart from the first head. Of that, what no other set has can't bring it nearer to any,
-which bounds the sets that may be alike to it: pairs beyond the bound aren't compared, and sets that nothing is left for leave the group. So edited copies of one
-text stay cheap though they are too far from each other; only sets that share what sets them apart, and yet stay just below the similarity, take the square of their number.
+In a band's group one head is compared with all others, then up to 64, then eight times as many that aren't connected to them; heads leave the group, until
+it is one component or empty. So every pair is compared or connected in the first band that both share, and what is connected early costs no more pairs: a group of copies
+takes a few times its size. In a large group each set is also told by what sets it apart from the root of the largest component that reaches into it, so
+that the groups of several bands share theirs. Of that, what no other set has can't bring it nearer to any, which bounds the sets that may be alike to it: pairs beyond the bound aren't compared, and sets that nothing is left for leave the group.
+So edited copies of one text stay cheap though they are too far from each other; only sets that share what sets them apart, and yet stay just below the similarity, take the
+square of their number. A round's tables are small, and have tasks in proportion to their rows.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ _ODD, _PLUS = np.random.default_rng(0).integers(0, 2**63, (2, SIGNS, 1), dtype=n
 _ODD = _ODD * np.uint64(2) + np.uint64(1)
 #: The minima of each band, 16 of 5; at a similarity of 0.8, 0.2 % of the pairs share none.
 BANDS = np.arange(80).reshape(16, 5)
-#: Groups of more sets get bounds; smaller ones are compared as they are, at most so many pairs a set.
+#: Groups of more sets get bounds; smaller ones are compared as they are, at most so many pairs a set. As many heads of either kind come first.
 BOUNDED = 32
+#: Pairs, and other rows of a round, for each task.
+PAIRS, ROWS = 1_000, 10_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -84,7 +87,18 @@ def _marks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, node long, fp long, keys array<long>")
 
 
-def _estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _tasks(n: int, each: int) -> int:
+    """Tasks for n rows."""
+    return n // each + 1
+
+
+def _of_both(pairs: DataFrame, sets: DataFrame, column: str, tasks: int) -> DataFrame:
+    """pairs(a, b) with x and y, the column of their sets."""
+    mine = pairs.join(sets.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").coalesce(tasks)
+    return mine.join(sets.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").coalesce(tasks).select("a", "b", "x", "y")
+
+
+def _estimated(pairs: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
     """pairs(a, b) with the share of equal minima in their signatures."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +106,8 @@ def _estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint32).reshape(-1, SIGNS) for n in ("x", "y"))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).mean(1))], ["a", "b", "alike"])
 
-    mine = pairs.join(sets.select(F.col("node").alias("a"), F.col("sign").alias("x")), "a")
-    both = mine.join(sets.select(F.col("node").alias("b"), F.col("sign").alias("y")), "b").where("length(x) > 0 AND length(y) > 0")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, alike double")
+    both = _of_both(pairs, sets, "sign", tasks).where("length(x) > 0 AND length(y) > 0")
+    return both.mapInArrow(compare, "a long, b long, alike double")
 
 
 def _sets(docs: DataFrame, marks: DataFrame, asked: DataFrame) -> DataFrame:
@@ -117,8 +130,9 @@ def _sets(docs: DataFrame, marks: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs(a, b) whose sets are similar enough."""
-    guessed = cut(_estimated(pairs, sets).where(F.col("alike") > similarity - SURE))
+    """The pairs(a, b), which are stored, whose sets are similar enough."""
+    tasks = _tasks(pairs.count(), PAIRS)
+    guessed = cut(_estimated(pairs, sets, tasks).where(F.col("alike") > similarity - SURE))
     sure, unsure = guessed.where(F.col("alike") >= similarity + SURE).select("a", "b"), guessed.where(F.col("alike") < similarity + SURE).select("a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +142,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 x, y = (part.column(n).to_pylist() for n in ("x", "y"))
                 yield part.select(["a", "b"]).filter(pa.array([jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= similarity for p, q in zip(x, y)], pa.bool_()))
 
-    mine = unsure.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
-    both = mine.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
-    return sure.unionByName(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    return sure.unionByName(_of_both(unsure, sets, "found", tasks).mapInArrow(check, "a long, b long"))
 
 
 def _by_fingerprint(members: DataFrame) -> DataFrame:
@@ -150,10 +162,15 @@ def _grouped(bands: DataFrame) -> DataFrame:
     return cut(bands.select("key", "node").join(bands.groupBy("node").agg(F.sum("size").alias("weight")), "node"))
 
 
+def _several(groups: DataFrame) -> DataFrame:
+    """The keys of groups(key, root) that more than one component holds."""
+    return groups.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+
+
 def _bounds(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(head, node, far, reach) of the nodes of groups(key, node, head) with over BOUNDED of them. Sets x and y of one head can only be alike if x's far is at most y's reach, and the reverse.
 
-    D(x) are the hashes that x or the head has, not both. x and y are alike if |D(x)| + |D(y)| - 2 |D(x) & D(y)|, in which they differ, is at most
+    D(x) are the hashes that x or the head has, not both; any set may be the head. x and y are alike if |D(x)| + |D(y)| - 2 |D(x) & D(y)|, in which they differ, is at most
     the share c of their sizes, and the common part is at most what D(x) shares with any other of the head's nodes: |D(x)| less its own hashes.
     """
     c = (1 - similarity) / (1 + similarity)
@@ -169,7 +186,8 @@ def _bounds(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 columns = [part.column("head"), part.column("node"), pa.array([len(p) for p in x], pa.int64()), pa.array(own, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["head", "node", "size", "own"])
 
-    mine = asked.join(sets.select("node", F.col("found").alias("x")), "node").join(sets.select(F.col("node").alias("head"), F.col("found").alias("y")), "head")
+    # By node last: one head may have most of the nodes.
+    mine = asked.join(sets.select(F.col("node").alias("head"), F.col("found").alias("y")), "head").join(sets.select("node", F.col("found").alias("x")), "node")
     apart = cut(mine.select("head", "node", "x", "y").mapInArrow(compare, "head long, node long, size long, own array<long>"))
     alone = apart.select("head", "node", F.explode("own").alias("hash")).groupBy("head", "hash").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     alone = alone.groupBy("head", "node").agg(F.count("*").alias("alone"))
@@ -187,40 +205,50 @@ def named(docs: DataFrame, marks: DataFrame, similarity: float = SIMILARITY) ->
     def compare(pairs: DataFrame) -> None:
         """Joins the components of the pairs that are alike: only their roots are edges, whatever was joined before."""
         nonlocal roots
-        alike = _alike(cut(pairs.distinct()), sets, similarity)
+        alike = _alike(pairs, sets, similarity)
         of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
-        merged = components(alike.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        tasks = _tasks(pairs.count(), ROWS)
+        edges = alike.join(of("a", "x"), "a").coalesce(tasks).join(of("b", "y"), "b").coalesce(tasks)
+        merged = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")), each=ROWS)
         moved = merged.select(F.col("node").alias("was"), F.col("root").alias("now"))
         roots = stored(roots.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")), "roots")
 
-    def apart(groups: DataFrame) -> DataFrame:
+    def apart(groups: DataFrame, tasks: int) -> DataFrame:
         """groups without the nodes that none of their group can be alike to, of the groups that more than one component holds; with the nodes' roots."""
         ends = groups.groupBy("key").agg(F.max("reach").alias("most"), F.min("far").alias("least"))
         near = groups.join(ends, "key").where("far <= most AND reach >= least").select(*groups.columns)
-        now = cut(near.join(roots, "node"))
-        return cut(now.join(now.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key"), "key"))
+        now = cut(near.join(roots, "node").coalesce(tasks))
+        return now.join(_several(now), "key").coalesce(tasks)
 
     groups = _grouped(members.select("node", F.explode("keys").alias("key")))
-    head = groups.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
+    head = cut(groups.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("head")))
     stars = groups.join(head, "key").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-    first = cut(stars.unionByName(_by_fingerprint(members)))
+    first = cut(stars.unionByName(_by_fingerprint(members)).distinct())
     sets = _sets(docs, marks, groups.select(F.col("node").alias("of")).unionByName(first.select(F.explode(F.array("a", "b")).alias("of"))).distinct())
     compare(first)
-    groups = cut(groups.join(head, "key").where("node <> head").join(roots, "node"))
-    groups = groups.join(groups.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key"), "key")
-    bounds = _bounds(cut(groups), sets, similarity)
+    groups = groups.join(head, "key").where("node <> head").drop("head").join(roots, "node")
+    groups = cut(groups.join(_several(groups), "key"))
+    large = groups.join(roots.groupBy("root").agg(F.count("*").alias("n")), "root").groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("head"))
+    groups = cut(groups.join(large, "key"))
+    tasks = _tasks(groups.count(), ROWS)
+    bounds = _bounds(groups, sets, similarity)
     endless = F.lit(float("inf"))
-    kept = ["key", "node", "weight", "far", "reach"]
+    kept = ["key", "node", "weight", "far", "reach", "keys"]
     groups = groups.join(bounds, ["head", "node"], "left").withColumns({"far": F.coalesce("far", -endless), "reach": F.coalesce("reach", endless)})
-    groups, n = apart(groups.select(*kept)), 2
-    while not groups.isEmpty():
+    groups, n = apart(groups.join(members.select("node", "keys"), "node").select(*kept), tasks), BOUNDED
+    while True:
         # The greatest reach is a head's, too: while such a set is there, no other can leave.
         place = lambda by: F.row_number().over(Window.partitionBy("key").orderBy(F.desc(by), "node"))
-        groups = cut(groups.withColumn("first", (place("weight") <= n) | (place("reach") <= n)))
-        heads = groups.where("first").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "far", "reach")])
-        met = heads.join(groups, "key").where("root <> root_ AND far <= reach_ AND far_ <= reach AND (NOT first OR node > node_)")
-        compare(met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")))
-        groups, n = apart(groups.where("NOT first").select(*kept)), 4 * n
+        groups = cut(groups.withColumn("first", (place("weight") <= n) | (place("reach") <= n)).coalesce(tasks))
+        if not (size := groups.count()):
+            break
+        tasks = _tasks(size, ROWS)
+        heads = groups.where("first").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "far", "reach", "keys")])
+        # Of the bands that both share the first alone compares them: there they stay until they are compared, connected or beyond their bounds.
+        once = F.array_intersect("keys", "keys_")[0] == F.col("key")
+        met = heads.join(groups, "key").where("root <> root_ AND far <= reach_ AND far_ <= reach AND (NOT first OR node > node_)").where(once)
+        compare(cut(met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).coalesce(_tasks(size, PAIRS))))
+        groups, n = apart(groups.where("NOT first").select(*kept), tasks), 8 * n
     found = members.select("node", "first_id").join(roots, "node")
     least = found.groupBy("root").agg(F.min("first_id").alias("least"))
     return found.join(least, "root").select("node", "root", "least")

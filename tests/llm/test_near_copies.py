@@ -109,3 +109,35 @@ def test_edited_copies_too_far_from_each_other_do_not_all_meet(spark, monkeypatc
     got = sorted(r.doc_id for r in C.near_copies(spark, docs, "").collect())
     assert got == sorted(set(brute(texts, 0.8))) and len(got) > 100
     assert sum(met) < 12 * len(texts)
+
+
+def test_a_family_is_bounded_once_and_compared_in_few_rounds(spark, monkeypatch):
+    """Bands that share a family measure it from one head, so what sets its members apart is listed once; and no pair of a family is compared twice in a round."""
+    import corpus_pipeline as C
+    from phasegrid.llm import near_copies as N
+
+    apart, rounds, alike, bounds = [], [], N._alike, N._bounds
+
+    def counted(pairs, sets, similarity):
+        rounds.append((pairs.count(), pairs.distinct().count()))
+        return alike(pairs, sets, similarity)
+
+    def listed(groups, sets, similarity):
+        large = groups.groupBy("key").count().where(f"count > {N.BOUNDED}")
+        apart.append((groups.join(large, "key").select("head", "node").distinct().count(), groups.join(large, "key").select("node").distinct().count()))
+        return bounds(groups, sets, similarity)
+
+    monkeypatch.setattr(N, "_alike", counted)
+    monkeypatch.setattr(N, "_bounds", listed)
+    rng = np.random.default_rng(9)
+    base, texts = [f"w{x}" for x in rng.integers(0, 5000, 150)], []
+    for i in range(300):
+        w = list(base)
+        for at in rng.choice(29, 2 + i % 5, replace=False) * 5 + 2:
+            w[at] = f"new{rng.integers(0, 10**9)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in C.near_copies(spark, docs, "").collect())
+    assert got == sorted(set(brute(texts, 0.8)))
+    assert len(apart) == 1 and apart[0][0] <= 1.1 * apart[0][1]
+    assert all(n == distinct for n, distinct in rounds) and len(rounds) <= 4
