@@ -96,12 +96,13 @@ def better_medoids(alleles: DataFrame, assigned: DataFrame) -> DataFrame:
     """(medoid, best, loss): inside each cluster the member with the least sum of distances to the others, the least id on ties.
 
     A member differs at a site from as many as have the other allele there, so a cluster's counts of each site tell every member's
-    loss: time and rows are linear in alleles(hap_id, site_idx, allele), and no two haplotypes meet.
+    loss: time and rows are linear in alleles(hap_id, site_idx, allele), and no two haplotypes meet. Clusters, a row a haplotype, are sent to all
+    tasks; cells and counts are joined by shuffle, whatever Spark makes of their number.
     """
-    of = alleles.join(assigned.select("hap_id", "medoid"), "hap_id")
+    of = alleles.join(F.broadcast(assigned.select("hap_id", "medoid")), "hap_id")
     counts = of.groupBy("medoid", "site_idx").agg(F.sum("allele").alias("ones"), F.count("*").alias("n"))
     others = F.when(F.col("allele") == 1, F.col("n") - F.col("ones")).otherwise(F.col("ones"))
-    loss = of.join(counts, ["medoid", "site_idx"]).groupBy("medoid", F.col("hap_id").alias("best")).agg(F.sum(others).cast("double").alias("loss"))
+    loss = of.join(counts.hint("merge"), ["medoid", "site_idx"]).groupBy("medoid", F.col("hap_id").alias("best")).agg(F.sum(others).cast("double").alias("loss"))
     return loss.groupBy("medoid").agg(F.min(F.struct("loss", "best")).alias("b")).select("medoid", F.col("b.best").alias("best"), F.col("b.loss").alias("loss"))
 
 
